@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # A side is broadcast only when its measured size stays below this.
@@ -64,19 +64,17 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_enough(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    size = df.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0]
-    return (size or 0) <= limit
-
-
-def with_broadcast(small: DataFrame) -> DataFrame:
+def with_broadcast(small: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Settle a table and mark it for broadcast if its measured size allows.
 
-    Beyond the bound the hint is left off: Spark then shuffles both sides and
-    adaptive execution splits the skewed keys.
+    The size is observed while the table is written. Beyond the bound the hint
+    is left off: Spark then shuffles both sides and adaptive execution splits
+    the skewed keys.
     """
-    small = settle(small)
-    return F.broadcast(small) if small_enough(small) else small
+    size = Observation()
+    text = F.length(F.to_json(F.struct("*")))
+    kept = settle(small.observe(size, F.sum(text).alias("chars")))
+    return F.broadcast(kept) if (size.get["chars"] or 0) <= limit else kept
 
 
 _FACTS: dict[tuple[str, str, str], DataFrame] = {}
