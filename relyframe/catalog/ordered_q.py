@@ -93,8 +93,8 @@ def moving_average(spark, root):
 
 @query(
     "e07_linear_forecast",
-    """SELECT dataset_id, metric, n, round(CASE WHEN n = 1 THEN only ELSE greatest(0, least(100, intercept + slope * n)) END, 4) AS forecast FROM
-       (SELECT dataset_id, metric, count(*) AS n, regr_slope(v, x) AS slope, regr_intercept(v, x) AS intercept, max(v) AS only FROM
+    """SELECT dataset_id, metric, n, round(CASE WHEN n = 1 THEN sole ELSE greatest(0, least(100, intercept + slope * n)) END, 4) AS forecast FROM
+       (SELECT dataset_id, metric, count(*) AS n, regr_slope(v, x) AS slope, regr_intercept(v, x) AS intercept, max(v) AS sole FROM
         (SELECT dataset_id, metric, v, (row_number() OVER (PARTITION BY dataset_id, metric ORDER BY version_number) - 1)::DOUBLE AS x FROM
          (SELECT dataset_id, version_number, unnest(['health_score', 'quality_score', 'anomaly_score', 'drift_score']) AS metric,
                  unnest([health_score, quality_score, anomaly_score, drift_score]) AS v FROM reports_v)) GROUP BY ALL)""",

@@ -35,12 +35,12 @@ VIEWS["raw_orders"] = """
 SELECT dataset_id, version_number, CAST(o_orderkey AS VARCHAR) AS order_id,
        CASE WHEN version_number < 3 THEN CAST(o_custkey AS VARCHAR) END AS buyer_name,
        CASE WHEN version_number >= 3 THEN CAST(o_custkey AS VARCHAR) END AS customer_id,
-       CASE WHEN version_number >= 5 THEN CASE o_orderstatus WHEN 'F' THEN '1' WHEN 'O' THEN '2' ELSE '3' END
+       CASE WHEN version_number >= 5 THEN CASE o_orderstatus WHEN 'F' THEN '1' WHEN 'O' THEN '2' WHEN 'P' THEN '3' END
             ELSE o_orderstatus END AS state_code,
        CASE WHEN version_number >= 6 THEN CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR)
             ELSE CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) || '.5' END AS total_price,
        strftime(o_orderdate, '%Y-%m-%d') AS created_date
-FROM orders_v"""
+FROM dirty_orders"""
 
 VIEWS["raw_long"] = _union(
     [
@@ -58,7 +58,7 @@ FROM (SELECT dataset_id, version_number, column_name, count(*) AS filled,
              bool_and(regexp_matches(value, '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$')) AS nums,
              bool_and(regexp_matches(value, '^(True|False|TRUE|FALSE|true|false)$')) AS bools
       FROM raw_long GROUP BY ALL) k
-JOIN (SELECT dataset_id, version_number, count(*) AS row_count FROM orders_v GROUP BY ALL) n
+JOIN (SELECT dataset_id, version_number, count(*) AS row_count FROM dirty_orders GROUP BY ALL) n
   USING (dataset_id, version_number)"""
 
 VIEWS["dataset_dim"] = """
@@ -276,3 +276,48 @@ JOIN (SELECT dataset_id, version_number, created_at FROM versions_v) USING (data
 VIEWS["scorecards_v"] = """
 SELECT *, CASE WHEN reliability_score >= 90 THEN 'excellent' WHEN reliability_score >= 75 THEN 'good' WHEN reliability_score >= 50 THEN 'warning' ELSE 'critical' END AS classification
 FROM (SELECT *, greatest(0, least(100, 0.4 * health_score + 0.3 * quality_score + 0.2 * drift_score + 0.1 * anomaly_score)) AS reliability_score FROM reports_v)"""
+
+VIEWS["catalog_v"] = """
+SELECT *, CASE WHEN n LIKE '%id%' THEN 'IDENTIFIER'
+     WHEN n LIKE '%email%' OR n LIKE '%phone%' OR n LIKE '%mobile%' OR n LIKE '%name%' OR n LIKE '%address%' OR n LIKE '%ip%' THEN 'PII'
+     WHEN regexp_matches(n, 'revenue|amount|price|sales|cost|salary') THEN 'FINANCIAL'
+     WHEN regexp_matches(n, 'country|city|state|zip|region|postal') THEN 'GEOGRAPHY'
+     WHEN regexp_matches(n, 'date|time|created|updated|timestamp') THEN 'TEMPORAL' ELSE 'QUANTITY' END AS semantic_type,
+   CASE WHEN n LIKE '%id%' THEN 'NONE' WHEN n LIKE '%email%' THEN 'EMAIL' WHEN n LIKE '%phone%' OR n LIKE '%mobile%' THEN 'PHONE'
+     WHEN n LIKE '%name%' THEN 'NAME' WHEN n LIKE '%address%' THEN 'ADDRESS' WHEN n LIKE '%ip%' THEN 'IP' ELSE 'NONE' END AS pii_class
+FROM (SELECT *, lower(column_name) AS n FROM schema_rows)"""
+
+VIEWS["sensitivity_v"] = """
+SELECT dataset_id, count(*) FILTER (WHERE semantic_type = 'PII') AS pii_columns,
+       CASE WHEN bool_or(semantic_type = 'PII') THEN 'CONFIDENTIAL' ELSE 'PUBLIC' END AS sensitivity_level
+FROM catalog_v GROUP BY dataset_id"""
+
+VIEWS["contracts_v"] = """
+SELECT dataset_no * 10 + s AS contract_id, dataset_id, TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(s * 14 AS INTEGER)) AS created_at
+FROM dataset_dim, (SELECT unnest([0, 1]) AS s)"""
+
+VIEWS["contract_facts"] = """
+SELECT r.dataset_id, r.version_number, count(*) AS n, count(customer_id) AS cust_n, count(DISTINCT customer_id) AS cust_d,
+       count(order_id) AS id_n, count(DISTINCT order_id) AS id_d,
+       count(*) - count(state_code) AS state_null,
+       count(*) FILTER (WHERE NOT regexp_matches(state_code, '^(?:[FOP])')) AS state_bad,
+       bool_or(TRY_CAST(total_price AS DOUBLE) < 1200) AS price_low, bool_or(TRY_CAST(total_price AS DOUBLE) > 9000000) AS price_high
+FROM raw_orders r GROUP BY ALL"""
+
+VIEWS["contract_violations_v"] = """
+SELECT f.dataset_id, f.version_number, d.dataset_no * 10 + 1 AS contract_id, d.dataset_no * 100 + k AS rule_id, rule_type, column_name, severity, message FROM dataset_dim d JOIN (
+  SELECT v.dataset_id, v.version_number, 1 AS k, 'column_exists' AS rule_type, 'customer_id' AS column_name, 'critical' AS severity,
+         'Required column ''customer_id'' is missing from the schema.' AS message FROM versions_v v
+   WHERE NOT EXISTS (SELECT 1 FROM schema_rows s WHERE s.dataset_id = v.dataset_id AND s.version_number = v.version_number AND s.column_name = 'customer_id')
+  UNION ALL SELECT dataset_id, version_number, 2, 'column_type', 'total_price', 'high',
+         'Column ''total_price'' inferred type ''FINANCIAL'' does not match expected ''QUANTITY''.' FROM catalog_v WHERE column_name = 'total_price'
+  UNION ALL SELECT dataset_id, version_number, 3, 'max_null_pct', 'state_code', 'medium', printf('Column ''state_code'' null percentage %.2f%% exceeds threshold of %.2f%%.', a, 4.0::DOUBLE)
+       FROM (SELECT *, state_null * 100.0::DOUBLE / n AS a FROM contract_facts) WHERE a > 4.0
+  UNION ALL SELECT dataset_id, version_number, 4, 'uniqueness', 'order_id', 'high', printf('Column ''order_id'' uniqueness ratio %.2f%% is below expected threshold of %.2f%%.', a, 95.0::DOUBLE)
+       FROM (SELECT *, id_d * 100.0::DOUBLE / id_n AS a FROM contract_facts) WHERE a < 95.0
+  UNION ALL SELECT dataset_id, version_number, 5, 'regex', 'state_code', 'high', printf('Column ''state_code'' has %d values that do not match the expected pattern.', state_bad)
+       FROM contract_facts WHERE state_bad > 0
+  UNION ALL SELECT dataset_id, version_number, 6, 'range', 'total_price', 'low',
+       CASE WHEN price_low THEN printf('Column ''total_price'' has values below minimum limit of %.2f.', 1200.0::DOUBLE)
+            ELSE printf('Column ''total_price'' has values above maximum limit of %.2f.', 9000000.0::DOUBLE) END
+       FROM contract_facts WHERE price_low OR price_high) f USING (dataset_id)"""

@@ -35,34 +35,41 @@ def schema_hash(columns: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def contract_metrics(df: DataFrame, keys: list[str], rules: list[tuple]) -> DataFrame:
-    """One pass per group for nulls, patterns and limits; keyed by rule id."""
+    """Nulls, patterns and limits of each group in one pass.
+
+    Equal checks of different contracts are computed once: rows are keyed by
+    what is checked, not by the rule that asks for it.
+    """
     present = set(value_columns(df, keys))
-    aggs, parts = [F.count(F.lit(1)).alias("_n")], []
     none_b, none_s = F.lit(None).cast("bigint"), F.lit(None).cast("string")
-    for rid, _cid, kind, col, expected, _sev in rules:
-        if col not in present or kind not in ("max_null_pct", "regex", "range"):
-            continue
-        v = F.col(col)
+    checks = sorted(
+        {(r[2], r[3], r[4]) for r in rules if r[3] in present and r[4] and r[2] in ("max_null_pct", "regex", "range")}
+    )
+    aggs, parts = [F.count(F.lit(1)).alias("_n")], []
+    for i, (kind, col, expected) in enumerate(checks):
+        v, out = F.col(col), f"x{i}"
         fail, side = none_b, none_s
         if kind == "max_null_pct":
-            aggs.append(F.count_if(v.isNull()).alias(f"x{rid}"))
-            fail = F.col(f"x{rid}")
-        elif kind == "regex" and expected:
-            aggs.append(F.count_if(~v.cast("string").rlike(anchored(expected))).alias(f"x{rid}"))
-            fail = F.col(f"x{rid}")
-        elif kind == "range":
+            aggs.append(F.count_if(v.isNull()).alias(out))
+            fail = F.col(out)
+        elif kind == "regex":
+            aggs.append(F.count_if(~v.cast("string").rlike(anchored(expected))).alias(out))
+            fail = F.col(out)
+        else:
             limits = F.from_json(F.lit(expected), "min double, max double")
             num = v.cast("string").try_cast("double")
-            aggs.append(F.struct(
-                F.bool_or(num < limits["min"]).alias("low"), F.bool_or(num > limits["max"]).alias("high")
-            ).alias(f"x{rid}"))
-            side = F.when(F.coalesce(F.col(f"x{rid}.low"), F.lit(False)), "min").when(
-                F.coalesce(F.col(f"x{rid}.high"), F.lit(False)), "max"
-            )
-        parts.append(F.struct(F.lit(rid).alias("rule_id"), F.col("_n").alias("rows"), fail.alias("fail_count"), side.alias("side")))
+            low, high = F.bool_or(num < limits["min"]), F.bool_or(num > limits["max"])
+            aggs.append(F.struct(low.alias("low"), high.alias("high")).alias(out))
+            hit = lambda c: F.coalesce(F.col(f"{out}.{c}"), F.lit(False))  # noqa: B023, E731
+            side = F.when(hit("low"), "min").when(hit("high"), "max")
+        names = zip(("rule_type", "column_name", "expected_value"), (kind, col, expected))
+        parts.append(
+            F.struct(*[F.lit(x).alias(n) for n, x in names], F.col("_n").alias("rows"), fail.alias("fail_count"), side.alias("side"))
+        )
     wide = df.groupBy(*keys).agg(*aggs)
     if not parts:
-        return wide.select(*keys, F.lit(None).cast("int").alias("rule_id"), F.col("_n").alias("rows"), none_b.alias("fail_count"), none_s.alias("side")).limit(0)
+        blank = [none_s.alias(n) for n in ("rule_type", "column_name", "expected_value")]
+        return wide.select(*keys, *blank, F.col("_n").alias("rows"), none_b.alias("fail_count"), none_s.alias("side"))
     return wide.select(*keys, F.explode(F.array(*parts)).alias("e")).select(*keys, "e.*")
 
 
@@ -85,7 +92,9 @@ def check_contracts(
     groups = df.select(*keys).distinct()
     work = groups.join(todo, "dataset_id")
     types = column_types.select(*keys, "column_name", "semantic_type").withColumn("_has", F.lit(True))
-    work = work.join(types, [*keys, "column_name"], "left").join(contract_metrics(df, keys, rules), [*keys, "rule_id"], "left")
+    work = work.join(types, [*keys, "column_name"], "left").join(
+        contract_metrics(df, keys, rules), [*keys, "rule_type", "column_name", "expected_value"], "left"
+    )
     if unique_rates is not None:
         work = work.join(unique_rates.select(*keys, "column_name", "filled", "unique_pct"), [*keys, "column_name"], "left")
     else:

@@ -229,7 +229,7 @@ def fill_template(template: str, **fields: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """Words between white space."""
-    return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    return F.regexp_count(text, F.lit(r"\S+"))
 
 
 def summary_texts(df: DataFrame, prompt: Column, response: Column) -> DataFrame:

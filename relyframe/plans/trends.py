@@ -38,10 +38,10 @@ def forecast(series: DataFrame, keys: list[str], order: str, value: str) -> Data
         F.count(F.lit(1)).alias("n"),
         F.regr_slope(value, "_x").alias("slope"),
         F.regr_intercept(value, "_x").alias("intercept"),
-        F.max(value).alias("only"),
+        F.max(value).alias("sole"),
     )
     line = clamp(F.col("intercept") + F.col("slope") * F.col("n"))
-    return fit.select(*keys, "n", F.when(F.col("n") == 1, F.col("only")).otherwise(line).alias("forecast"))
+    return fit.select(*keys, "n", F.when(F.col("n") == 1, F.col("sole")).otherwise(line).alias("forecast"))
 
 
 def improvement(reports: DataFrame, score: str = "health_score") -> DataFrame:

@@ -50,11 +50,9 @@ def raw_orders(spark: SparkSession, root: str) -> DataFrame:
     ``o_custkey`` becomes ``customer_id`` in version 3, the status is coded as
     a digit from version 5, and prices lose their decimals in version 6.
     """
-    o = orders_v(spark, root)
-    v = F.col("version_number")
-    status_code = (
-        F.when(F.col("o_orderstatus") == "F", "1").when(F.col("o_orderstatus") == "O", "2").otherwise("3")
-    )
+    o = dirty_orders(spark, root)
+    v, status = F.col("version_number"), F.col("o_orderstatus")
+    status_code = F.when(status == "F", "1").when(status == "O", "2").when(status == "P", "3")
     whole = F.floor("o_totalprice").cast("bigint").cast("string")
     return o.select(
         *KEYS,
