@@ -23,12 +23,12 @@ def zscore(spark, root):
 
 @query(
     "k02_iqr",
-    """SELECT dataset_id, version_number, column_name, row_key AS o_orderkey, round(abs(value - median) / CASE WHEN iqr > 0 THEN iqr ELSE 1 END, 4) AS score, 'IQR' AS anomaly_type,
-              round(value, 4) AS value, round(lower_bound, 4) + 0.0 AS lower_bound, round(upper_bound, 4) AS upper_bound
+    """SELECT dataset_id, version_number, column_name, row_key AS o_orderkey, round(abs(value - median) / CASE WHEN iqr > 0 THEN iqr ELSE 1 END, 6) AS score, 'IQR' AS anomaly_type,
+              round(value, 6) AS value, round(lower_bound, 6) + 0.0 AS lower_bound, round(upper_bound, 6) AS upper_bound
        FROM num_long JOIN fences_v USING (dataset_id, version_number, column_name) WHERE value < lower_bound OR value > upper_bound""",
 )
 def iqr(spark, root):
-    return r4(anomaly.iqr_anomalies(inputs.dirty_orders(spark, root), K, ["o_orderkey"]))
+    return r4(anomaly.iqr_anomalies(inputs.dirty_orders(spark, root), K, ["o_orderkey"]), 6)
 
 
 @query(

@@ -54,14 +54,14 @@ def with_views(sql: str) -> str:
     return f"WITH RECURSIVE {head} {body}"
 
 
-def r4(df: DataFrame) -> DataFrame:
+def r4(df: DataFrame, digits: int = 4) -> DataFrame:
     """Doubles at four decimals (and no negative zero), timestamps as text."""
     out = []
     for f in df.schema.fields:
         kind = f.dataType.typeName()
         c = F.col(f"`{f.name}`")
         if kind in ("double", "float"):
-            c = F.round(c, 4) + F.lit(0.0)
+            c = F.round(c, digits) + F.lit(0.0)
         elif kind in ("timestamp", "timestamp_ntz", "date"):
             c = c.cast("string")
         out.append(c.alias(f.name))

@@ -321,3 +321,115 @@ SELECT f.dataset_id, f.version_number, d.dataset_no * 10 + 1 AS contract_id, d.d
        CASE WHEN price_low THEN printf('Column ''total_price'' has values below minimum limit of %.2f.', 1200.0::DOUBLE)
             ELSE printf('Column ''total_price'' has values above maximum limit of %.2f.', 9000000.0::DOUBLE) END
        FROM contract_facts WHERE price_low OR price_high) f USING (dataset_id)"""
+
+VIEWS["targets_v"] = "SELECT dataset_id, 24 AS target_hours, 60.0::DOUBLE + dataset_no * 3 AS target_quality FROM dataset_dim"
+
+VIEWS["newest_v"] = """
+SELECT v.dataset_id, v.version_number, v.created_at, r.health_score, r.quality_score, r.overall_drift_score
+FROM (SELECT dataset_id, max(version_number) AS version_number, max_by(created_at, version_number) AS created_at FROM versions_v GROUP BY 1) v
+LEFT JOIN reports_v r ON r.dataset_id = v.dataset_id AND r.version_number = v.version_number"""
+
+VIEWS["sla_v"] = """
+SELECT *, (CAST(freshness_met AS INTEGER) + CAST(quality_met AS INTEGER)) / 2.0::DOUBLE * 100 AS compliance_pct FROM (
+  SELECT d.dataset_id, coalesce(n.created_at >= TIMESTAMP '2024-02-01' - to_hours(target_hours), false) AS freshness_met,
+         coalesce(n.quality_score >= target_quality, false) AS quality_met
+  FROM dataset_dim d LEFT JOIN newest_v n USING (dataset_id) LEFT JOIN targets_v t USING (dataset_id))"""
+
+VIEWS["fresh_metrics_v"] = """
+SELECT dataset_id, dataset_no, greatest(0, 100 - latest_delay)::DOUBLE AS freshness_score, latest_status IN ('late', 'critical') AS sla_breach,
+       round(avg_delay, 2) AS average_delay_minutes, latest_status, latest_delay
+FROM dataset_dim JOIN (SELECT dataset_no, max_by(delay_minutes, (actual_time, record_id)) AS latest_delay,
+  max_by(status, (actual_time, record_id)) AS latest_status, avg(delay_minutes) AS avg_delay FROM freshness_v GROUP BY 1) USING (dataset_no)"""
+
+VIEWS["policies_v"] = """
+SELECT dataset_id, 'P' || k AS policy_id, category FROM dataset_dim,
+  (VALUES (1, 'PII Compliance'), (2, 'Retention Policy'), (3, 'Freshness Policy'), (4, 'Schema Governance'), (5, 'Quality Standards')) p(k, category)
+WHERE dataset_no <> 5 AND k <> dataset_no"""
+
+VIEWS["judged_v"] = """
+SELECT p.*, coalesce(CASE category WHEN 'PII Compliance' THEN s.pii_columns > 0 AND s.sensitivity_level = 'PUBLIC'
+   WHEN 'Retention Policy' THEN (SELECT count(*) FROM versions_v v WHERE v.dataset_id = p.dataset_id) > 5
+   WHEN 'Freshness Policy' THEN f.latest_status = 'critical'
+   WHEN 'Schema Governance' THEN (SELECT count(*) FROM contract_violations_v c WHERE c.dataset_id = n.dataset_id AND c.version_number = n.version_number) > 0
+   WHEN 'Quality Standards' THEN n.health_score < 80 END, false) AS failed
+FROM policies_v p LEFT JOIN sensitivity_v s USING (dataset_id) LEFT JOIN fresh_metrics_v f USING (dataset_id) LEFT JOIN newest_v n USING (dataset_id)"""
+
+VIEWS["compliance_v"] = """
+SELECT d.dataset_id, coalesce(count(*) FILTER (WHERE NOT failed) * 100.0::DOUBLE / nullif(count(policy_id), 0), 100.0) AS compliance_score,
+       coalesce(string_agg(policy_id, ',' ORDER BY policy_id) FILTER (WHERE failed), '') AS failed_policies,
+       coalesce(string_agg(policy_id, ',' ORDER BY policy_id) FILTER (WHERE NOT failed), '') AS passed_policies
+FROM dataset_dim d LEFT JOIN judged_v j USING (dataset_id) GROUP BY d.dataset_id"""
+
+VIEWS["platform_v"] = """
+SELECT *, 0.30 * quality_avg + 0.25 * health_avg + 0.20 * sla_compliance + 0.15 * freshness_score + 0.10 * stability AS platform_score FROM (
+  SELECT *, greatest(0, 100.0::DOUBLE - 15 * critical_incidents - 5 * active_incidents) AS stability FROM (
+    SELECT g.dataset_id, g.datasets_monitored, i.active_incidents, i.critical_incidents, r.quality_avg, r.health_avg, r.drift_avg, r.anomaly_avg, s.sla_compliance, f.freshness_score
+    FROM (SELECT coalesce(dataset_id, 'ALL') AS dataset_id, count(*) AS datasets_monitored FROM dataset_dim GROUP BY ROLLUP (dataset_id)) g
+    JOIN (SELECT coalesce(dataset_id, 'ALL') AS dataset_id, count(*) FILTER (WHERE status = 'OPEN') AS active_incidents,
+            count(*) FILTER (WHERE status = 'OPEN' AND severity = 'critical') AS critical_incidents FROM incidents_v JOIN dataset_dim USING (dataset_no) GROUP BY ROLLUP (dataset_id)) i USING (dataset_id)
+    JOIN (SELECT coalesce(dataset_id, 'ALL') AS dataset_id, avg(quality_score) AS quality_avg, avg(health_score) AS health_avg, avg(drift_score) AS drift_avg, avg(anomaly_score) AS anomaly_avg
+          FROM reports_v GROUP BY ROLLUP (dataset_id)) r USING (dataset_id)
+    JOIN (SELECT coalesce(dataset_id, 'ALL') AS dataset_id, avg(compliance_pct) AS sla_compliance FROM sla_v GROUP BY ROLLUP (dataset_id)) s USING (dataset_id)
+    JOIN (SELECT coalesce(dataset_id, 'ALL') AS dataset_id, 100 - 100.0::DOUBLE * count(*) FILTER (WHERE status = 'critical') / count(*) AS freshness_score
+          FROM freshness_v JOIN dataset_dim USING (dataset_no) GROUP BY ROLLUP (dataset_id)) f USING (dataset_id)))"""
+
+VIEWS["intelligence_v"] = """
+SELECT *, CASE WHEN score >= 90 THEN 'Excellent' WHEN score >= 75 THEN 'Good' WHEN score >= 50 THEN 'Warning' ELSE 'Critical' END AS rating FROM (
+  SELECT *, greatest(0, least(100, 0.25 * reliability + 0.20 * sla_compliance + 0.20 * governance_compliance + 0.15 * incident_stability + 0.10 * contract_compliance + 0.10 * workflow_success_rate)) AS score FROM (
+    SELECT (SELECT platform_score FROM platform_v WHERE dataset_id = 'ALL') AS reliability, (SELECT avg(compliance_pct) FROM sla_v) AS sla_compliance,
+           (SELECT avg(compliance_score) FROM compliance_v) AS governance_compliance,
+           (SELECT greatest(0, 100.0::DOUBLE - 10 * count(*)) FROM incidents_v WHERE status = 'OPEN') AS incident_stability,
+           (SELECT greatest(0, 100.0::DOUBLE - 10 * count(*)) FROM contract_violations_v) AS contract_compliance,
+           (SELECT 100.0::DOUBLE * count(*) FILTER (WHERE event_type <> 'error') / count(*) FROM events) AS workflow_success_rate))"""
+
+VIEWS["boards_v"] = """
+SELECT *, CAST(row_number() OVER (PARTITION BY category ORDER BY score DESC, dataset_id) AS INTEGER) AS rank FROM (
+  SELECT dataset_id, unnest(['best_quality', 'best_health', 'lowest_drift', 'lowest_anomalies', 'most_improved', 'best_overall']) AS category,
+         unnest([quality_score, health_score, drift_score, anomaly_score, health_score - first_health, reliability_score]) AS score
+  FROM scorecards_v s JOIN (SELECT dataset_id, max(version_number) AS last_version, min_by(health_score, version_number) AS first_health FROM reports_v GROUP BY 1) f
+    USING (dataset_id) WHERE s.version_number = f.last_version)"""
+
+VIEWS["causes_v"] = """
+SELECT dataset_id, version_number, 'quality' AS issue_type, root_cause, least(affected / 5.0::DOUBLE * 0.5 + weight / 4 * 0.5, 1) AS confidence, finding_count FROM (
+  SELECT dataset_id, version_number, count(*) AS finding_count, count(DISTINCT column_name) AS affected,
+         max(CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END)::DOUBLE AS weight FROM violations_v GROUP BY ALL)
+JOIN (SELECT dataset_id, version_number, cause AS root_cause FROM (
+    SELECT *, row_number() OVER (PARTITION BY dataset_id, version_number ORDER BY c DESC, cause) AS r FROM (
+      SELECT dataset_id, version_number, cause, count(*) AS c FROM (
+        SELECT *, CASE WHEN u LIKE '%NULL%' OR u LIKE '%MISSING%' THEN 'missing_data' WHEN u LIKE '%DUPLICATE%' THEN 'duplicate_records'
+          WHEN u LIKE '%REGEX%' OR u LIKE '%FORMAT%' THEN 'schema_violations' WHEN u LIKE '%MIN%' OR u LIKE '%MAX%' THEN 'range_failures'
+          WHEN u LIKE '%REFERENTIAL%' THEN 'referential_breaks' ELSE 'schema_violations' END AS cause FROM (SELECT *, upper(message) AS u FROM violations_v)) GROUP BY ALL)) WHERE r = 1)
+  USING (dataset_id, version_number)
+UNION ALL
+SELECT dataset_id, version_number, 'anomaly', 'single_column_outlier', least(count(*) / 5.0::DOUBLE * 0.5 + 0.5, 1), CAST(sum(outlier_count) AS BIGINT)
+FROM outliers_v WHERE outlier_count > 0 GROUP BY dataset_id, version_number
+UNION ALL
+SELECT dataset_id, version_number, 'drift', root_cause, least(affected / 5.0::DOUBLE * 0.5 + weight / 4 * 0.5, 1), finding_count FROM (
+  SELECT dataset_id, version_number, count(*) AS finding_count, count(DISTINCT column_name) AS affected, max(CASE severity WHEN 'HIGH' THEN 4.0 ELSE 2.5 END)::DOUBLE AS weight
+  FROM drift_v WHERE severity <> 'LOW' GROUP BY ALL)
+JOIN (SELECT dataset_id, version_number, cause AS root_cause FROM (
+    SELECT *, row_number() OVER (PARTITION BY dataset_id, version_number ORDER BY c DESC, cause) AS r FROM (
+      SELECT dataset_id, version_number, CASE drift_metric WHEN 'MEAN_SHIFT' THEN 'mean_shift' WHEN 'STD_SHIFT' THEN 'variance_shift' WHEN 'CARD_DRIFT' THEN 'cardinality_shift' ELSE 'distribution_shift' END AS cause, count(*) AS c
+      FROM drift_v WHERE severity <> 'LOW' GROUP BY ALL)) WHERE r = 1) USING (dataset_id, version_number)"""
+
+VIEWS["recs_v"] = """
+SELECT dataset_id, version_number, 'QUALITY_REMEDIATION' AS recommendation_type, severity AS priority, 'Resolve Quality Failure in ' || coalesce(column_name, 'dataset') AS title, message AS evidence
+FROM violations_v WHERE severity IN ('high', 'critical')
+UNION ALL
+SELECT dataset_id, version_number, 'ANOMALY_INVESTIGATION', CASE WHEN outlier_count > 5 THEN 'high' ELSE 'medium' END, 'Investigate Outliers in Column ' || column_name,
+       printf('Detected %d anomaly points using algorithm iqr.', outlier_count) FROM outliers_v WHERE outlier_count > 0
+UNION ALL
+SELECT dataset_id, version_number, 'DRIFT_REVIEW', CASE severity WHEN 'HIGH' THEN 'high' ELSE 'medium' END, 'Review Drift in Column ' || column_name,
+       printf('Metric ''%s'' score is %.4f (Severity: %s).', drift_metric, drift_score, severity) FROM drift_v WHERE severity <> 'LOW'"""
+
+VIEWS["triggers_v"] = """
+SELECT dataset_id, version_number, 'critical' AS severity, 'Critical Dataset Health Score Breach' AS title,
+       printf('Dataset health score dropped to %.2f, breaching the threshold limit.', health_score) AS description FROM reports_v WHERE health_score < 50
+UNION ALL
+SELECT dataset_id, version_number, 'high', 'Critical Quality Validation Violations', printf('Detected %d critical validation checks failing in quality execution run.', count(*))
+FROM violations_v WHERE severity = 'critical' GROUP BY dataset_id, version_number
+UNION ALL
+SELECT dataset_id, version_number, 'medium', 'Excessive Outliers Detected', printf('Outlier validation run detected a high density of %d anomalous points.', anomaly_count) FROM reports_v WHERE anomaly_count > 10"""
+
+VIEWS["reach_v"] = """
+SELECT src AS root, dst AS node FROM edges_v UNION SELECT reach_v.root, e.dst FROM reach_v JOIN edges_v e ON e.src = reach_v.node"""

@@ -104,7 +104,8 @@ def check_contracts(
     null_pct = F.col("fail_count") * 100.0 / F.col("rows")
     null_cap = F.coalesce(want.try_cast("double"), F.lit(0.0))
     unique_floor = F.coalesce(want.try_cast("double"), F.lit(100.0))
-    bound = F.get_json_object(want, F.concat(F.lit("$."), F.col("side"))).cast("double")
+    limits = F.from_json(want, "min double, max double")
+    bound = F.when(F.col("side") == "min", limits["min"]).otherwise(limits["max"])
     message = (
         F.when((kind == "column_exists") & ~has, F.format_string("Required column '%s' is missing from the schema.", col))
         .when(
