@@ -6,6 +6,7 @@ from relyframe.catalog.registry import query, r4
 from relyframe.operators import anomaly, drift, profile, schema
 from relyframe.plans import contracting, reports
 from relyframe.sources import inputs
+from relyframe.sources.tables import table
 
 K = inputs.KEYS
 
@@ -47,6 +48,44 @@ def anomaly_summary(spark, root):
     )
 
 
+@query("k03_isolation_forest")
+def isolation_forest(spark, root):
+    """Whole line items on four measures; the model is random, so rows only."""
+    from relyframe.operators.forest import isolation_forest as detect
+
+    li = table(spark, root, "lineitem")
+    cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    found = detect(li, ["l_orderkey", "l_linenumber"], cols)
+    return r4(found.select("l_orderkey", "l_linenumber", *[F.get("x", F.lit(i)).alias(c) for i, c in enumerate(cols)], "score"))
+
+
+@query(
+    "k04_local_outlier_factor",
+    """WITH p AS (SELECT c_custkey AS id, c_acctbal AS a, c_nationkey::DOUBLE AS b FROM customer),
+       nb AS (SELECT * FROM (SELECT p.id, q.id AS nid, sqrt((p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b)) AS d,
+                row_number() OVER (PARTITION BY p.id ORDER BY sqrt((p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b)), q.a, q.b) AS r
+              FROM p JOIN p q ON p.id <> q.id) WHERE r <= 20),
+       kd AS (SELECT id, max(d) AS kd FROM nb GROUP BY 1),
+       lrd AS (SELECT nb.id, 1 / (avg(greatest(d, kd)) + 1e-10) AS lrd FROM nb JOIN kd ON kd.id = nid GROUP BY 1),
+       lof AS (SELECT nb.id, avg(n.lrd) / max(s.lrd) AS lof FROM nb JOIN lrd n ON n.id = nid JOIN lrd s ON s.id = nb.id GROUP BY 1),
+       cut AS (SELECT quantile_cont(-lof, 0.05) AS c FROM lof)
+       SELECT id AS c_custkey, round(lof, 4) AS score FROM lof, cut WHERE -lof < c""",
+)
+def local_outlier_factor(spark, root):
+    from relyframe.operators.density import lof_anomalies
+
+    c = table(spark, root, "customer").withColumn("c_nationkey", F.col("c_nationkey").cast("double"))
+    return r4(lof_anomalies(c, ["c_custkey"], ["c_acctbal", "c_nationkey"]).select("c_custkey", "score"))
+
+
+@query("k04_lof_orders")
+def lof_orders(spark, root):
+    """Whole orders on price and customer; too many pairs for plain SQL, so checked on fixtures."""
+    from relyframe.operators.density import lof_anomalies
+
+    return r4(lof_anomalies(table(spark, root, "orders"), ["o_orderkey"], ["o_totalprice", "o_custkey"]).select("o_orderkey", "score"))
+
+
 _D = "dataset_id, version_number, column_name, drift_metric, round(drift_score, 4) + 0.0 AS drift_score, severity"
 
 
