@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from relyframe.catalog.registry import query, r4
 from relyframe.operators import drift, profile, relational
 from relyframe.plans import reports
-from relyframe.session import with_broadcast
+from relyframe.session import spread, with_broadcast
 from relyframe.sources import inputs
 from relyframe.sources.tables import table
 
@@ -84,7 +84,8 @@ def line_quartiles(spark, root):
     """Whole-table groups: found by narrowing to the intervals that hold the ranks."""
     from relyframe.operators.quantiles import exact_quantiles
 
-    rows = profile.long_numbers(table(spark, root, "lineitem"), [], ["l_quantity", "l_extendedprice", "l_tax"])
+    cols = ["l_quantity", "l_extendedprice", "l_tax"]
+    rows = profile.long_numbers(spread(table(spark, root, "lineitem").select(*cols)), [], cols)
     q = exact_quantiles(rows, ["column_name"], "value", [0.25, 0.5, 0.75], small_group=10_000)
     return r4(q.select("column_name", "n", *[F.get("q", F.lit(i)).alias(c) for i, c in enumerate(("p25", "median", "p75"))]))
 
@@ -262,7 +263,7 @@ def full_profile(spark, root):
 )
 def lineitem_profile(spark, root):
     li = table(spark, root, "lineitem")
-    li = li.select(*profile.numeric_columns(li, []))
+    li = spread(li.select(*profile.numeric_columns(li, [])))
     return r4(
         profile.profile(li, []).select(
             "column_name", "row_count", "unique_count", "min", "max", "mean", "median", "std", "p25", "p75", "outlier_count"

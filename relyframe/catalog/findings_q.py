@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from relyframe.catalog.registry import query, r4
 from relyframe.operators import anomaly, drift, profile, schema
 from relyframe.plans import contracting, reports
+from relyframe.session import spread
 from relyframe.sources import inputs
 from relyframe.sources.tables import table
 
@@ -53,8 +54,8 @@ def isolation_forest(spark, root):
     """Whole line items on four measures; the model is random, so rows only."""
     from relyframe.operators.forest import isolation_forest as detect
 
-    li = table(spark, root, "lineitem")
     cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    li = spread(table(spark, root, "lineitem").select("l_orderkey", "l_linenumber", *cols))
     found = detect(li, ["l_orderkey", "l_linenumber"], cols)
     return r4(found.select("l_orderkey", "l_linenumber", *[F.get("x", F.lit(i)).alias(c) for i, c in enumerate(cols)], "score"))
 

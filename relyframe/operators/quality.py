@@ -124,6 +124,7 @@ def metric_rows(
     keys: list[str],
     rules: list[tuple],
     targets: dict[str, DataFrame] | None = None,
+    summary: DataFrame | None = None,
 ) -> DataFrame:
     """Every figure the rules need: keys, kind, column, detail, actual value.
 
@@ -142,7 +143,7 @@ def metric_rows(
         )
 
     if kinds & {"NULL_PERCENT", "DUPLICATE_PERCENT"}:
-        s = table_summary(df, keys)
+        s = table_summary(df, keys) if summary is None else summary
         pair = F.array(
             F.struct(F.lit("NULL_PERCENT").alias("kind"), F.col("missing_cells_percent").alias("a")),
             F.struct(F.lit("DUPLICATE_PERCENT").alias("kind"), F.col("duplicate_rows_percent").alias("a")),
@@ -196,15 +197,17 @@ def violations(
     keys: list[str],
     rules: list[tuple],
     targets: dict[str, DataFrame] | None = None,
+    summary: DataFrame | None = None,
 ) -> DataFrame:
     """One row per broken rule and group; a value equal to the limit passes.
 
     A rule on an absent column is a violation with empty values. Rules of an
-    unknown kind are ignored here (the profile check reports them).
+    unknown kind are ignored here (the profile check reports them). A computed
+    ``summary`` of the same groups saves the pass over whole rows.
     """
     split = F.broadcast(split_rules(rules_frame(spark, rules)))  # as many rows as there are rules
     columns = value_columns(df, keys)
-    metrics = metric_rows(df, keys, rules, targets)
+    metrics = metric_rows(df, keys, rules, targets, summary)
     below = F.col("kind") == "COLUMN_MIN"
     actual, limit = F.col("actual_value"), F.col("threshold")
     detail = F.coalesce("pattern", F.concat_ws(":", "target_table", "target_column"))

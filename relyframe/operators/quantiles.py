@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from relyframe.session import settle, with_broadcast
 
-# Groups up to this many rows use the built-in exact percentile directly.
+# Groups up to this many rows are simply sorted in one task each.
 SMALL_GROUP = 200_000
 SKETCH_ACCURACY = 10_000
 _REACH = 0.0005
@@ -32,22 +32,42 @@ def exact_quantiles(
     if whole:
         rows, keys = rows.withColumn("_all", F.lit(0)), ["_all"]
     rows = rows.select(*keys, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v)")
-    cut_at = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-_REACH, _REACH)})
-    sketch = settle(
-        rows.groupBy(*keys).agg(
-            F.count("_v").alias("n"), F.percentile_approx("_v", cut_at, SKETCH_ACCURACY).alias("cuts")
-        )
-    )
-    largest = sketch.agg(F.max("n")).first()[0] or 0
+    largest = rows.groupBy(*keys).agg(F.count("_v").alias("n")).agg(F.max("n")).first()[0] or 0
     if largest <= small_group:
-        out = rows.groupBy(*keys).agg(
-            F.count("_v").alias("n"), F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias("q")
-        )
+        out = _sorted(rows, keys, probs)
     else:
-        out = _narrow(rows, keys, probs, with_broadcast(sketch), len(cut_at))
+        cut_at = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-_REACH, _REACH)})
+        cuts = F.percentile_approx("_v", cut_at, SKETCH_ACCURACY).alias("cuts")
+        out = _narrow(rows, keys, probs, with_broadcast(rows.groupBy(*keys).agg(cuts)), len(cut_at))
     return out.drop("_all") if whole else out
 
 
+def _read_off(found: DataFrame, keys: list[str], probs: list[float], at) -> DataFrame:
+    """Interpolate between the two values around each wanted position."""
+    out = []
+    for i, p in enumerate(probs):
+        pos = F.lit(float(p)) * (F.max("n") - 1)
+        lo, hi = at(i, False), at(i, True)
+        out.append(lo + (hi - lo) * (pos - F.floor(pos)))
+    return found.groupBy(*keys).agg(F.max("n").alias("n"), F.array(*out).alias("q"))
+
+
+def _sorted(rows: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+    """Small groups: one shuffle by key, sorted, and the wanted positions picked."""
+    per_key = Window.partitionBy(*keys)
+    placed = rows.withColumns(
+        {"n": F.count(F.lit(1)).over(per_key), "r": F.row_number().over(per_key.orderBy("_v")) - 1}
+    )
+    spots = sorted({(fn, p) for p in probs for fn in ("floor", "ceil")})
+    wanted = " OR ".join(f"r = {fn}({float(p)}D * (n - 1))" for fn, p in spots)
+
+    def at(i: int, up: bool):
+        fn = "ceil" if up else "floor"
+        return F.expr(f"max(CASE WHEN r = {fn}({float(probs[i])}D * (n - 1)) THEN _v END)")
+
+    return _read_off(placed.where(wanted), keys, probs, at)
+
+
 def _narrow(rows: DataFrame, keys: list[str], probs: list[float], sketch: DataFrame, m: int) -> DataFrame:
     # Number of cut points at or below the value: a plain sum, so it compiles.
     interval = sum(F.when(F.col("_v") >= F.get("cuts", F.lit(i)), 1).otherwise(0) for i in range(m))
@@ -81,13 +101,10 @@ def _narrow(rows: DataFrame, keys: list[str], probs: list[float], sketch: DataFr
     )
     found = held.join(targets, [*keys, "_i"]).where((F.col("r") < F.col("upto")) & (F.col("r") >= F.col("upto") - F.col("c")))
 
-    def at(i: int):
-        lo = F.max(F.when((F.col("i") == i) & (F.col("up") == 0), F.col("_v")))
-        hi = F.max(F.when((F.col("i") == i) & (F.col("up") == 1), F.col("_v")))
-        pos = F.lit(float(probs[i])) * (F.max("n") - 1)
-        return lo + (hi - lo) * (pos - F.floor(pos))
+    def at(i: int, up: bool):
+        return F.expr(f"max(CASE WHEN i = {i} AND up = {int(up)} THEN _v END)")
 
-    return found.groupBy(*keys).agg(F.max("n").alias("n"), F.array(*[at(i) for i in range(len(probs))]).alias("q"))
+    return _read_off(found, keys, probs, at)
 
 
 def rank_in_groups(df: DataFrame, keys: list[str], order: list, name: str = "rank", block: int = 200_000) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from relyframe.functions import scores
 from relyframe.operators import anomaly, drift, profile, quality
 from relyframe.sources import inputs
-from relyframe.session import fact_table
+from relyframe.session import fact_table, together
 
 KEYS = inputs.KEYS
 
@@ -27,10 +27,17 @@ RULES = [
 ]
 
 
+def summary_facts(spark: SparkSession, root: str) -> DataFrame:
+    """Row, duplicate and missing-cell figures, shared by the rules and the scores."""
+    return fact_table(spark, root, "summary", lambda: profile.table_summary(inputs.dirty_orders(spark, root), KEYS))
+
+
 def violation_facts(spark: SparkSession, root: str) -> DataFrame:
     def build():
         targets = {"lineitem": inputs.table(spark, root, "lineitem")}
-        return quality.violations(spark, inputs.dirty_orders(spark, root), KEYS, RULES, targets)
+        return quality.violations(
+            spark, inputs.dirty_orders(spark, root), KEYS, RULES, targets, summary_facts(spark, root)
+        )
 
     return fact_table(spark, root, "violations", build)
 
@@ -71,10 +78,15 @@ def score_versions(summary: DataFrame, violations: DataFrame, anomalies: DataFra
 
 def reports(spark: SparkSession, root: str) -> DataFrame:
     def build():
-        summary = profile.table_summary(inputs.dirty_orders(spark, root), KEYS)
-        return score_versions(
-            summary, violation_facts(spark, root), anomaly_facts(spark, root), drift_facts(spark, root)
-        ).join(inputs.versions(spark, root).select(*KEYS, "created_at"), KEYS)
+        summary, violations, anomalies, drifts = together(
+            lambda: summary_facts(spark, root),
+            lambda: violation_facts(spark, root),
+            lambda: anomaly_facts(spark, root),
+            lambda: drift_facts(spark, root),
+        )
+        return score_versions(summary, violations, anomalies, drifts).join(
+            inputs.versions(spark, root).select(*KEYS, "created_at"), KEYS
+        )
 
     return fact_table(spark, root, "reports", build)
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -77,7 +79,25 @@ def with_broadcast(small: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(kept) if (size.get["chars"] or 0) <= limit else kept
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Use every core when a file scan arrives in fewer pieces than there are cores.
+
+    For work that is heavy per row. On large inputs there are many more pieces
+    than cores and the scan is returned as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def together(*builds):
+    """Run independent jobs at the same time; Spark shares the executors among them."""
+    with ThreadPoolExecutor(max_workers=len(builds)) as pool:
+        return [f.result() for f in [pool.submit(b) for b in builds]]
+
+
 _FACTS: dict[tuple[str, str, str], DataFrame] = {}
+_LOCKS: dict[tuple[str, str, str], threading.Lock] = {}
+_LOCK = threading.Lock()
 
 
 def fact_table(spark: SparkSession, source: str, name: str, build) -> DataFrame:
@@ -87,9 +107,12 @@ def fact_table(spark: SparkSession, source: str, name: str, build) -> DataFrame:
     folder, as a scheduled job would store it for the dashboards.
     """
     key = (spark.sparkContext.applicationId, source, name)
-    if key not in _FACTS:
-        _FACTS[key] = settle(build())
-    return _FACTS[key]
+    with _LOCK:
+        mine = _LOCKS.setdefault(key, threading.Lock())
+    with mine:
+        if key not in _FACTS:
+            _FACTS[key] = settle(build())
+        return _FACTS[key]
 
 
 def forget_facts() -> None:
