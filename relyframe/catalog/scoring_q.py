@@ -261,7 +261,7 @@ def investigation_sla(spark, root):
 
 @query(
     "n25_evidence_confidence",
-    """SELECT v.dataset_id, v.version_number, coalesce(n, 0) AS evidence_count, round(coalesce(greatest(0, least(100, (0.4 * least(1.0, n / 3.0::DOUBLE) + 0.3 * w + 0.2 * 0.8 + 0.1 * 0.9) * 100)), 0), 4) AS confidence_score,
+    """SELECT v.dataset_id, v.version_number, coalesce(n, 0) AS evidence_count, round(CASE WHEN n IS NULL THEN 0.0 ELSE greatest(0, least(100, (0.4 * least(1.0, n / 3.0::DOUBLE) + 0.3 * w + 0.2 * 0.8 + 0.1 * 0.9) * 100)) END, 4)::DOUBLE AS confidence_score,
               CASE WHEN n IS NULL THEN 'REVIEW_REQUIRED' ELSE 'COMPLETED' END AS status
        FROM versions_v v LEFT JOIN (SELECT dataset_id, version_number, count(*) AS n, avg(w)::DOUBLE AS w FROM (
            SELECT dataset_id, version_number, 0.9::DOUBLE AS w FROM violations_v WHERE severity = 'critical' UNION ALL

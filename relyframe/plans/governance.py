@@ -33,7 +33,8 @@ def freshness_metrics(log: DataFrame, datasets: DataFrame, key: str = "dataset_n
     """Score from the latest delay, breach flag, and mean delay; no record counts as fresh."""
     last = F.max_by(F.struct("delay_minutes", "status"), F.struct("actual_time", "record_id"))
     facts = log.groupBy(key).agg(last.alias("last"), F.avg("delay_minutes").alias("avg_delay"))
-    score = F.greatest(F.lit(0.0), 100.0 - F.col("last.delay_minutes"))
+    # greatest() skips nulls, so datasets without a record are set aside first.
+    score = F.when(F.col("last").isNotNull(), F.greatest(F.lit(0.0), 100.0 - F.col("last.delay_minutes")))
     return datasets.join(facts, key, "left").select(
         *datasets.columns,
         F.coalesce(score, F.lit(100.0)).alias("freshness_score"),

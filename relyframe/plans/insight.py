@@ -214,7 +214,7 @@ def evidence_confidence(analyses: DataFrame, evidence: DataFrame) -> DataFrame:
     return joined.select(
         *analyses.columns,
         F.coalesce("n", F.lit(0)).alias("evidence_count"),
-        F.coalesce(scores.clamp(raw), F.lit(0.0)).alias("confidence_score"),
+        F.when(F.col("n").isNull(), F.lit(0.0)).otherwise(scores.clamp(raw)).alias("confidence_score"),
         F.when(F.col("n").isNull(), "REVIEW_REQUIRED").otherwise("COMPLETED").alias("status"),
     )
 

@@ -66,17 +66,26 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _measured(df: DataFrame) -> tuple[DataFrame, int]:
+    """The settled table and its size as text, observed while it is written."""
+    size = Observation()
+    text = F.length(F.to_json(F.struct("*")))
+    kept = settle(df.observe(size, F.sum(text).alias("chars")))
+    return kept, size.get["chars"] or 0
+
+
+def small_rows(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    return _measured(df)[1] <= limit
+
+
 def with_broadcast(small: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Settle a table and mark it for broadcast if its measured size allows.
 
-    The size is observed while the table is written. Beyond the bound the hint
-    is left off: Spark then shuffles both sides and adaptive execution splits
-    the skewed keys.
+    Beyond the bound the hint is left off: Spark then shuffles both sides and
+    adaptive execution splits the skewed keys.
     """
-    size = Observation()
-    text = F.length(F.to_json(F.struct("*")))
-    kept = settle(small.observe(size, F.sum(text).alias("chars")))
-    return F.broadcast(kept) if (size.get["chars"] or 0) <= limit else kept
+    kept, size = _measured(small)
+    return F.broadcast(kept) if size <= limit else kept
 
 
 def spread(scan: DataFrame) -> DataFrame:
