@@ -1,10 +1,10 @@
 """C: joins between facts, dimensions, rules and versions."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from relyframe.catalog.registry import query, r4
 from relyframe.operators import drift, relational, schema
+from relyframe.operators.quantiles import previous_in_groups
 from relyframe.plans import reports
 from relyframe.session import with_broadcast
 from relyframe.sources import inputs
@@ -190,8 +190,9 @@ def baseline_join(spark, root):
     """SELECT o_custkey, o_orderkey, coalesce(lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), -1) AS previous_order FROM orders""",
 )
 def previous_version(spark, root):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return table(spark, root, "orders").select("o_custkey", "o_orderkey", F.lag("o_orderkey", 1, -1).over(w).alias("previous_order"))
+    o = table(spark, root, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    out = previous_in_groups(o, ["o_custkey"], [F.asc("o_orderdate"), F.asc("o_orderkey")], "o_orderkey", "previous_order", -1)
+    return out.select("o_custkey", "o_orderkey", "previous_order")
 
 
 @query(

@@ -25,7 +25,8 @@ CPU_MS_PRICE = 0.0001
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 100.0) -> Column:
-    return F.greatest(F.lit(low), F.least(x, F.lit(high)))
+    # greatest() and least() skip nulls; a missing value stays missing.
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(x, F.lit(high))))
 
 
 def band(x: Column, cuts: list[tuple[float, str]], lowest: str) -> Column:

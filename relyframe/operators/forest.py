@@ -70,7 +70,7 @@ def _sample(rows: DataFrame, n: int, order: list[str], trees: int, sample: int)
     pool = rows.select(h.alias("h"), "x")
     if n > need:
         keep = min(1.0, 2.0 * need / n)
-        pool = pool.where(F.pmod("h", F.lit(1 << 30)) < int(keep * (1 << 30))).orderBy("h", "x").limit(need)
+        pool = pool.where(F.pmod("h", F.lit(1 << 62)) < int(keep * (1 << 62))).orderBy("h", "x").limit(need)
     dealt = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
     w = Window.partitionBy("tree").orderBy(F.xxhash64("h", "tree"), "x")
     return dealt.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= sample).select("tree", "x")
@@ -100,9 +100,9 @@ def isolation_forest(
     model = df.sparkSession.sparkContext.broadcast(forest)
     norm, levels = mean_path(per_tree), math.ceil(math.log2(max(per_tree, 2)))
 
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            x = np.array(s.tolist(), dtype=float).reshape(len(s), -1)
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        for b in batches:
+            x = b.to_numpy(dtype=float)
             path, at = np.zeros(len(x)), np.arange(len(x))
             for feature, cut, left, right, depth in model.value:
                 node = np.zeros(len(x), dtype=int)
@@ -113,7 +113,8 @@ def isolation_forest(
                 path += depth[node]
             yield pd.Series(np.power(2.0, -path / (len(model.value) * norm)))
 
-    scored = settle(rows.withColumn("_s", -F.pandas_udf(score, "double")("x")))
+    numbers = F.struct(*[F.get("x", F.lit(i)).alias(c) for i, c in enumerate(cols)])
+    scored = settle(rows.withColumn("_s", -F.pandas_udf(score, "double")(numbers)))
     limit = exact_quantiles(scored, [], "_s", [contamination]).select(F.get("q", F.lit(0))).first()[0]
     return scored.where(F.col("_s") < limit).select(
         *row_key, "x", (F.lit(limit) - F.col("_s")).alias("score"), F.lit("ISOLATION_FOREST").alias("anomaly_type")

@@ -117,13 +117,32 @@ def value_counts(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     return long_text(df, keys, cols).groupBy(*keys, "column_name", "value").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def _families(df: DataFrame, cols: list[str]) -> list[tuple[str, list[str]]]:
+    """Columns by the type their values are compared in; numbers are not turned to text."""
+    kinds: dict[str, list[str]] = {}
+    for c in cols:
+        t = df.schema[c].dataType
+        kind = "bigint" if isinstance(t, T.IntegralType) else "double" if isinstance(t, (T.DoubleType, T.FloatType)) else "string"
+        kinds.setdefault(kind, []).append(c)
+    return list(kinds.items())
+
+
 def distinct_counts(df: DataFrame, keys: list[str], cols: list[str], approximate: bool = False) -> DataFrame:
-    """Non-null distinct values per column. Long form keeps many columns in one shuffle."""
-    if approximate:
-        return long_text(df, keys, cols).groupBy(*keys, "column_name").agg(
-            F.approx_count_distinct("value").alias("unique_count")
-        )
-    return value_counts(df, keys, cols).groupBy(*keys, "column_name").agg(F.count(F.lit(1)).alias("unique_count"))
+    """Non-null distinct values per column.
+
+    Long form keeps many columns in one shuffle, keyed by group and value, so
+    a hot group is spread by its values.
+    """
+    df = nan_to_null(df.select(*keys, *cols))
+    by, parts = [*keys, "column_name"], []
+    for kind, names in _families(df, cols):
+        wide = df.select(*keys, *[F.col(c).cast(kind).alias(c) for c in names])
+        rows = wide.unpivot(keys, names, "column_name", "value").where("value IS NOT NULL")
+        if approximate:
+            parts.append(rows.groupBy(*by).agg(F.approx_count_distinct("value").alias("unique_count")))
+        else:
+            parts.append(rows.distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("unique_count")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def top_values(counts: DataFrame, keys: list[str], k: int = TOP_VALUES) -> DataFrame:
@@ -170,11 +189,10 @@ def profile(df: DataFrame, keys: list[str]) -> DataFrame:
     cols = value_columns(df, keys)
     numeric = numeric_columns(df, keys)
     by = [*keys, "column_name"]
-    counts = value_counts(df, keys, cols)
-    unique = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("unique_count"))
-    text_only = counts.where(~F.col("column_name").isin(numeric)) if numeric else counts
+    text = [c for c in cols if c not in numeric]
+    unique = distinct_counts(df, keys, cols)
     tops = (
-        top_values(text_only, keys)
+        top_values(value_counts(df, keys, text or cols[:1]).where(F.lit(bool(text))), keys)
         .groupBy(*by)
         .agg(F.sort_array(F.collect_list(F.struct("rank", "value", "cnt"))).alias("t"))
         .select(*by, F.transform("t", lambda r: F.concat(r["value"], F.lit("="), r["cnt"])).alias("t"))
@@ -207,19 +225,23 @@ def profile(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def impute_median(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
-    """Numeric nulls become the exact column median of the group, else 0."""
+    """Numeric nulls become the exact column median of the group, else 0.
+
+    One cheap pass first finds the columns that have nulls at all.
+    """
     df = nan_to_null(df)
+    keep = [c for c in df.columns if c not in cols]
+    gaps = df.agg(*[F.max(F.col(c).isNull()).alias(c) for c in cols]).first()
+    holes = [c for c in cols if gaps[c]]
+    if not holes:
+        return df.select(*keep, *[F.col(c).cast("double").alias(c) for c in cols])
     by = [*keys, "column_name"]
-    med = exact_quantiles(long_numbers(df, keys, cols), by, "value", [0.5]).select(
-        *by, F.get("q", F.lit(0)).alias("m")
-    )
-    wide = med.groupBy(*keys).agg(*[F.max(F.when(F.col("column_name") == c, F.col("m"))).alias(f"_m_{c}") for c in cols])
+    med = exact_quantiles(long_numbers(df, keys, holes), by, "value", [0.5]).select(*by, F.get("q", F.lit(0)).alias("m"))
+    wide = med.groupBy(*keys).agg(*[F.max(F.when(F.col("column_name") == c, F.col("m"))).alias(f"_m_{c}") for c in holes])
     if keys:
         joined = df.join(with_broadcast(wide), keys, "left")
     else:  # one row of medians for the whole table
-        one = wide.first() or [None] * len(cols)
-        joined = df.select("*", *[F.lit(m).cast("double").alias(f"_m_{c}") for c, m in zip(cols, one)])
-    keep = [c for c in df.columns if c not in cols]
-    return joined.select(
-        *keep, *[F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}"), F.lit(0.0)).alias(c) for c in cols]
-    )
+        one = wide.first() or [None] * len(holes)
+        joined = df.select("*", *[F.lit(m).cast("double").alias(f"_m_{c}") for c, m in zip(holes, one)])
+    fill = {c: F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}"), F.lit(0.0)) for c in holes}
+    return joined.select(*keep, *[fill.get(c, F.col(c).cast("double")).alias(c) for c in cols])

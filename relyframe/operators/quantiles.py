@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from relyframe.session import settle, with_broadcast
 
-# Groups up to this many rows are simply sorted in one task each.
-SMALL_GROUP = 200_000
+# Groups up to this many rows are simply sorted, each in one task (a few dozen MB).
+SMALL_GROUP = 1_000_000
 SKETCH_ACCURACY = 10_000
 _REACH = 0.0005
 
@@ -134,3 +134,21 @@ def rank_in_groups(df: DataFrame, keys: list[str], order: list, name: str = "ran
         .withColumn(name, (local + F.col("_before")).cast("int"))
         .drop("_p", "_before")
     )
+
+
+def previous_in_groups(
+    df: DataFrame, keys: list[str], order: list, value: str, name: str, default=None, block: int = SMALL_GROUP
+) -> DataFrame:
+    """``value`` of the row before, per group and order.
+
+    Small groups use a window. Otherwise the rows are numbered in range
+    partitions and each meets the row with the number before it, so a group
+    that holds much of the table is spread by number.
+    """
+    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= block:
+        return df.withColumn(name, F.lag(value, 1, default).over(Window.partitionBy(*keys).orderBy(*order)))
+    placed = rank_in_groups(df, keys, order, "_n", block)
+    before = placed.select(*keys, (F.col("_n") + 1).alias("_n"), F.col(value).alias(name))
+    out = placed.join(before, [*keys, "_n"], "left").drop("_n")
+    return out if default is None else out.withColumn(name, F.coalesce(name, F.lit(default)))

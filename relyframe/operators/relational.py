@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from relyframe.session import with_broadcast
+
 
 def search_any_column(df: DataFrame, text: str) -> DataFrame:
     """Case-insensitive "contains" over every column."""
@@ -39,8 +41,12 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 
 def share_of_total(counts: DataFrame, keys: list[str], count: str) -> DataFrame:
-    """Each count over the total of its keys; totals are summed before the join."""
-    totals = counts.groupBy(*keys).agg(F.sum(count).alias("_total"))
+    """Each count over the total of its keys.
+
+    Totals are one row per key and joined by a size-checked broadcast, so the
+    counts keep their spread by value.
+    """
+    totals = with_broadcast(counts.groupBy(*keys).agg(F.sum(count).alias("_total")))
     return counts.join(totals, keys).withColumn("share", F.col(count) / F.col("_total")).drop("_total")
 
 

@@ -95,7 +95,7 @@ def spread(scan: DataFrame) -> DataFrame:
     than cores and the scan is returned as it is.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    return scan.repartition(cores, *scan.columns) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def together(*builds):

@@ -180,3 +180,17 @@ def test_contract_rules(spark):
     assert sorted(got) == [1, 3, 6, 7, 8]
     assert "1 values" in got[6] and "above maximum limit of 28.00" in got[7] and "below minimum limit" in got[8]
     assert {r.contract_id: r.status for r in contracts.with_status(cons).collect()} == {6: "deprecated", 7: "active"}
+
+
+def test_previous_by_number_equals_window(spark):
+    from relyframe.operators.quantiles import previous_in_groups
+
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 40).alias("g"), "id")
+    run = lambda block: sorted(map(tuple, previous_in_groups(df, ["g"], [F.asc("id")], "id", "p", -1, block).select("g", "id", "p").collect()))
+    assert run(100) == run(10_000)
+
+
+def test_distinct_counts_keep_large_integers_apart(spark):
+    df = spark.createDataFrame([(2**60,), (2**60 + 1,), (None,)], "a bigint").withColumn("b", F.col("a").cast("double"))
+    got = {r.column_name: r.unique_count for r in profile.distinct_counts(df, [], ["a", "b"]).collect()}
+    assert got == {"a": 2, "b": 1}
