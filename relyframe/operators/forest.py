@@ -62,18 +62,24 @@ def _grow(pdf: pd.DataFrame) -> pd.DataFrame:
 def _sample(rows: DataFrame, n: int, order: list[str], trees: int, sample: int) -> DataFrame:
     """Up to ``sample`` rows for each tree, chosen by hash.
 
-    A hash threshold first shrinks the table to about twice the rows needed,
-    so the ordered pick that follows is of bounded size.
+    Hash thresholds keep about twice the rows needed before anything is
+    shuffled. On large tables each kept row serves one tree, on small tables
+    every tree draws from all rows.
     """
-    need = trees * sample
-    h = F.xxhash64(F.lit(SEED), *order, "x")
-    pool = rows.select(h.alias("h"), "x")
-    if n > need:
-        keep = min(1.0, 2.0 * need / n)
-        pool = pool.where(F.pmod("h", F.lit(1 << 62)) < int(keep * (1 << 62))).orderBy("h", "x").limit(need)
-    dealt = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    span = 1 << 62
+    hashed = rows.select(F.xxhash64(F.lit(SEED), *order, "x").alias("h"), "x")
+    if n > 2 * trees * sample:
+        share = 2.0 * trees * sample / n
+        drawn = hashed.where(F.pmod("h", F.lit(span)) < int(share * span)).withColumn(
+            "tree", F.pmod(F.xxhash64("h"), F.lit(trees)).cast("int")
+        )
+    else:
+        share = min(1.0, 2.0 * sample / n)
+        drawn = hashed.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+        if share < 1.0:
+            drawn = drawn.where(F.pmod(F.xxhash64("h", "tree"), F.lit(span)) < int(share * span))
     w = Window.partitionBy("tree").orderBy(F.xxhash64("h", "tree"), "x")
-    return dealt.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= sample).select("tree", "x")
+    return drawn.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= sample).select("tree", "x")
 
 
 def isolation_forest(

@@ -89,26 +89,29 @@ def column_stats(df: DataFrame, keys: list[str]) -> DataFrame:
     df = nan_to_null(df)
     cols = value_columns(df, keys)
     numeric = set(numeric_columns(df, keys))
-    aggs = [F.count(F.lit(1)).alias("row_count")]
-    none = F.lit(None).cast("double")
+    aggs = ["count(1) AS row_count"]
     for c in cols:
-        v = F.col(c)
-        parts = [F.count_if(v.isNull()).alias("missing_count"), F.lit(c in numeric).alias("is_numeric")]
+        q = f"`{c}`"
+        figures = dict.fromkeys(("min", "max", "mean", "std"), "double(NULL)")
         if c in numeric:
-            d = v.cast("double")
-            std = F.when(F.count(v) == 0, none).when(F.count(v) < 2, F.lit(0.0)).otherwise(F.stddev_samp(d))
-            parts += [F.min(d).alias("min"), F.max(d).alias("max"), F.avg(d).alias("mean"), std.alias("std")]
-        else:
-            parts += [none.alias(n) for n in ("min", "max", "mean", "std")]
-        aggs.append(F.struct(*parts).alias(c))
-    wide = df.groupBy(*keys).agg(*aggs)
-    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("s")) for c in cols]))
-    return wide.select(*keys, "row_count", each.alias("e")).select(
-        *keys,
-        F.col("e.column_name").alias("column_name"),
-        "row_count",
-        "e.s.*",
-        percent(F.col("e.s.missing_count"), F.col("row_count")).alias("missing_percent"),
+            figures = {
+                "min": f"min(double({q}))",
+                "max": f"max(double({q}))",
+                "mean": f"avg(double({q}))",
+                "std": f"CASE WHEN count({q}) = 0 THEN NULL WHEN count({q}) < 2 THEN 0D ELSE stddev_samp(double({q})) END",
+            }
+        fields = {
+            "column_name": f"'{c}'",
+            "missing_count": f"count_if({q} IS NULL)",
+            "is_numeric": str(c in numeric).lower(),
+            **figures,
+        }
+        body = ", ".join(f"'{n}', {e}" for n, e in fields.items())
+        aggs.append(f"named_struct({body}) AS {q}")
+    wide = df.groupBy(*keys).agg(*[F.expr(a) for a in aggs])
+    each = F.explode(F.array(*cols)).alias("e")
+    return wide.select(*keys, "row_count", each).select(
+        *keys, "row_count", "e.*", percent(F.col("e.missing_count"), F.col("row_count")).alias("missing_percent")
     )
 
 

@@ -177,18 +177,21 @@ def metric_rows(
     return frame
 
 
-def _rate_message(kind: Column, col: Column, actual: Column, limit: Column) -> Column:
-    fixed = lambda text, *args: F.format_string(text, *args)
-    return (
-        F.when(kind == "NULL_PERCENT", fixed("Overall null percent %.2f%% exceeds threshold %.2f%%", actual, limit))
-        .when(kind == "DUPLICATE_PERCENT", fixed("Duplicate rows percent %.2f%% exceeds threshold %.2f%%", actual, limit))
-        .when(kind == "COLUMN_NULL_PERCENT", fixed("Column '%s' null percent %.2f%% exceeds threshold %.2f%%", col, actual, limit))
-        .when(kind == "COLUMN_MIN", fixed("Column '%s' minimum %.2f is below threshold %.2f", col, actual, limit))
-        .when(kind == "COLUMN_MAX", fixed("Column '%s' maximum %.2f exceeds threshold %.2f", col, actual, limit))
-        .when(kind == "COLUMN_REGEX", fixed("Column '%s' regex mismatch rate %.2f%% exceeds threshold %.2f%%", col, actual, limit))
-        .when(kind == "COLUMN_UNIQUE", fixed("Column '%s' uniqueness violation rate %.2f%% exceeds threshold %.2f%%", col, actual, limit))
-        .when(kind == "REFERENTIAL", fixed("Referential integrity mismatch rate %.2f%% exceeds threshold %.2f%%", actual, limit))
-    )
+_MESSAGES = {
+    "NULL_PERCENT": "'Overall null percent %.2f%% exceeds threshold %.2f%%', actual_value, threshold",
+    "DUPLICATE_PERCENT": "'Duplicate rows percent %.2f%% exceeds threshold %.2f%%', actual_value, threshold",
+    "COLUMN_NULL_PERCENT": "'Column \\'%s\\' null percent %.2f%% exceeds threshold %.2f%%', column_name, actual_value, threshold",
+    "COLUMN_MIN": "'Column \\'%s\\' minimum %.2f is below threshold %.2f', column_name, actual_value, threshold",
+    "COLUMN_MAX": "'Column \\'%s\\' maximum %.2f exceeds threshold %.2f', column_name, actual_value, threshold",
+    "COLUMN_REGEX": "'Column \\'%s\\' regex mismatch rate %.2f%% exceeds threshold %.2f%%', column_name, actual_value, threshold",
+    "COLUMN_UNIQUE": "'Column \\'%s\\' uniqueness violation rate %.2f%% exceeds threshold %.2f%%', column_name, actual_value, threshold",
+    "REFERENTIAL": "'Referential integrity mismatch rate %.2f%% exceeds threshold %.2f%%', actual_value, threshold",
+}
+
+
+def _rate_message() -> Column:
+    cases = " ".join(f"WHEN '{k}' THEN format_string({m})" for k, m in _MESSAGES.items())
+    return F.expr(f"CASE kind {cases} END")
 
 
 def violations(
@@ -223,7 +226,7 @@ def violations(
             "column_name",
             "actual_value",
             limit.alias("expected_value"),
-            _rate_message(F.col("kind"), F.col("column_name"), actual, limit).alias("message"),
+            _rate_message().alias("message"),
         )
     )
     on_column = F.col("kind").isin("COLUMN_NULL_PERCENT", "COLUMN_MIN", "COLUMN_MAX", "COLUMN_REGEX", "COLUMN_UNIQUE", "REFERENTIAL")
