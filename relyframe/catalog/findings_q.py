@@ -146,15 +146,15 @@ def drift_severity(spark, root):
     """SELECT dataset_id, version_number, CAST(created_at AS VARCHAR) AS created_at, round(overall_drift_score, 4) AS overall_drift_score,
               (SELECT string_agg(column_name || '/' || drift_metric || '/' || severity, ',' ORDER BY column_name, drift_metric) FROM drift_v d
                WHERE d.dataset_id = o.dataset_id AND d.version_number = o.version_number) AS column_results
-       FROM overall_v o JOIN (SELECT dataset_id, version_number, created_at FROM versions_v) USING (dataset_id, version_number) WHERE dataset_id = '1-URGENT'""",
+       FROM overall_v o JOIN (SELECT dataset_id, version_number, created_at FROM versions_v) USING (dataset_id, version_number)""",
 )
 def drift_runs(spark, root):
-    """Runs of one dataset, newest first; children are bounded by columns and metrics."""
-    d = reports.drift_facts(spark, root).where("dataset_id = '1-URGENT'")
+    """Runs of each dataset, newest first; children are bounded by columns and metrics."""
+    d = reports.drift_facts(spark, root)
     line = F.concat_ws("/", "column_name", "drift_metric", "severity")
     kids = d.groupBy(*K).agg(F.array_join(F.sort_array(F.collect_list(line)), ",").alias("column_results"))
     runs = drift.overall_drift(d).join(inputs.versions(spark, root).select(*K, "created_at"), K)
-    return r4(runs.join(kids, K).select(*K, "created_at", "overall_drift_score", "column_results").orderBy(F.desc("created_at")))
+    return r4(runs.join(kids, K).select(*K, "created_at", "overall_drift_score", "column_results").orderBy("dataset_id", F.desc("created_at")))
 
 
 _PAIRS = "(SELECT dataset_id, version_number AS target_version, version_number - 1 AS source_version FROM versions_v WHERE version_number > 1)"

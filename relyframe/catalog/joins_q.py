@@ -99,22 +99,24 @@ def missing_keys(spark, root):
 
 @query(
     "c08_full_outer_on_value",
-    """SELECT coalesce(a.value, b.value) AS value, round(coalesce(a.p, 0), 4) AS left_share, round(coalesce(b.p, 0), 4) AS right_share FROM
-       (SELECT o_orderdate::VARCHAR AS value, count(*) / sum(count(*)) OVER () AS p FROM orders_v WHERE version_number = 1 AND dataset_id = '1-URGENT' GROUP BY 1) a
-       FULL JOIN (SELECT (o_orderdate - INTERVAL 365 DAY)::VARCHAR AS value, count(*) / sum(count(*)) OVER () AS p FROM orders_v WHERE version_number = 2 AND dataset_id = '1-URGENT' GROUP BY 1) b
-       ON a.value = b.value""",
+    """WITH sh AS (SELECT dataset_id, version_number, strftime(o_orderdate, '%m-%d') AS value,
+                  count(*) / sum(count(*)) OVER (PARTITION BY dataset_id, version_number) AS p FROM dirty_orders GROUP BY 1, 2, 3)
+       SELECT coalesce(a.dataset_id, b.dataset_id) AS dataset_id, coalesce(a.version_number, b.version_number) AS version_number, coalesce(a.value, b.value) AS value,
+              round(coalesce(a.p, 0), 4) AS share, round(coalesce(b.p, 0), 4) AS next_share
+       FROM (SELECT * FROM sh WHERE version_number < 7) a
+       FULL JOIN (SELECT dataset_id, version_number - 1 AS version_number, value, p FROM sh WHERE version_number > 1) b
+         ON a.dataset_id = b.dataset_id AND a.version_number = b.version_number AND a.value = b.value""",
 )
 def full_outer_on_value(spark, root):
-    """Day-of-year shares of two versions of one dataset, a missing day counting as 0."""
-    o = inputs.orders_v(spark, root).where("dataset_id = '1-URGENT'")
-    day = lambda shift: (F.col("o_orderdate") - F.make_dt_interval(days=F.lit(shift))).cast("string")
-
-    def shares(version: int, shift: int, name: str):
-        c = o.where(F.col("version_number") == version).groupBy("dataset_id", day(shift).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-        return relational.share_of_total(c, ["dataset_id"], "n").select("value", F.col("share").alias(name))
-
-    both = shares(1, 0, "left_share").join(shares(2, 365, "right_share"), "value", "full")
-    return r4(both.na.fill(0.0))
+    """Calendar-day shares of each version next to those of the following one, a missing day counting as 0."""
+    day = F.date_format("o_orderdate", "MM-dd").alias("value")
+    counts = inputs.dirty_orders(spark, root).groupBy(*K, day).agg(F.count(F.lit(1)).alias("n"))
+    share = relational.share_of_total(counts, K, "n")
+    mine = share.where(F.col("version_number") < inputs.LAST_VERSION).select(*K, "value", "share")
+    after = share.where("version_number > 1").select(
+        "dataset_id", (F.col("version_number") - 1).alias("version_number"), "value", F.col("share").alias("next_share")
+    )
+    return r4(mine.join(after, [*K, "value"], "full").na.fill(0.0, ["share", "next_share"]))
 
 
 @query(
