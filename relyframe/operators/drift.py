@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relyframe.operators.profile import long_numbers, nan_to_null, numeric_columns, value_columns, value_counts
@@ -135,25 +135,29 @@ def numeric_drift(df: DataFrame, baselines: DataFrame, cols: list[str]) -> DataF
 def text_drift(df: DataFrame, baselines: DataFrame, cols: list[str]) -> DataFrame:
     """Share difference and change in distinct values for every version but the baseline.
 
-    Values only the baseline has need no outer join: their total share is one
-    minus the baseline share of the values both sides have.
+    Values are counted once. Each then looks up its baseline share among the
+    versions of the same value, so hot groups stay spread by value. Values only
+    the baseline has need no outer join: their total share is one minus the
+    baseline share of the values both sides have.
     """
     by, group = [DATASET, "column_name"], [DATASET, VERSION, "column_name"]
-    counts = value_counts(df, [DATASET, VERSION], cols)
-    totals = with_broadcast(
-        counts.groupBy(*group).agg(F.sum("cnt").alias("total"), F.count(F.lit(1)).alias("card"))
-    )
-    share = counts.join(totals, group).join(baselines, DATASET).withColumn("p", F.col("cnt") / F.col("total"))
+    filled = df.groupBy(DATASET, VERSION).agg(*[F.count(c).alias(c) for c in cols])
+    totals = with_broadcast(filled.unpivot([DATASET, VERSION], cols, "column_name", "total").where("total > 0"))
+    counts = value_counts(df, [DATASET, VERSION], cols).join(totals, group).join(baselines, DATASET)
     is_base = F.col(VERSION) == F.col("baseline_version")
-    base = share.where(is_base).select(*by, "value", F.col("p").alias("bp"))
-    both = share.where(~is_base).join(base, [*by, "value"], "left").withColumn("bp", F.coalesce("bp", F.lit(0.0)))
-    diff = both.groupBy(*group).agg(
-        (F.sum(F.abs(F.col("p") - F.col("bp"))) + 1 - F.sum("bp")).alias("total_diff")
+    share = F.col("cnt") / F.col("total")
+    same_value = Window.partitionBy(*by, "value")
+    shares = counts.select(*group, "value", is_base.alias("is_base"), share.alias("p")).withColumn(
+        "bp", F.coalesce(F.max(F.when(F.col("is_base"), F.col("p"))).over(same_value), F.lit(0.0))
     )
-    base_card = (
-        totals.join(baselines, DATASET).where(is_base).select(*by, F.col("card").alias("b_card"))
+    stats = with_broadcast(
+        shares.groupBy(*group, "is_base").agg(
+            (F.sum(F.abs(F.col("p") - F.col("bp"))) + 1 - F.sum("bp")).alias("total_diff"),
+            F.count(F.lit(1)).alias("card"),
+        )
     )
-    pair = diff.join(totals, group).join(base_card, by)
+    base = stats.where("is_base").select(*by, F.col("card").alias("b_card"))
+    pair = stats.where("NOT is_base").join(base, by)
     found = {
         "DIST_DRIFT": F.least(F.greatest(F.col("total_diff"), F.lit(0.0)) / 2, F.lit(1.0)),
         "CARD_DRIFT": F.abs(F.col("card") - F.col("b_card")) / F.greatest(F.col("b_card"), F.lit(1)),
