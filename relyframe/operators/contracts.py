@@ -10,6 +10,17 @@ from relyframe.operators.quality import anchored
 
 RULE_SCHEMA = "rule_id int, contract_id int, rule_type string, column_name string, expected_value string, severity string"
 
+# Message formats of the contract rules.
+MESSAGES = {
+    "column_exists": "Required column '%s' is missing from the schema.",
+    "column_type": "Column '%s' inferred type '%s' does not match expected '%s'.",
+    "max_null_pct": "Column '%s' null percentage %.2f%% exceeds threshold of %.2f%%.",
+    "uniqueness": "Column '%s' uniqueness ratio %.2f%% is below expected threshold of %.2f%%.",
+    "regex": "Column '%s' has %d values that do not match the expected pattern.",
+    "range_min": "Column '%s' has values below minimum limit of %.2f.",
+    "range_max": "Column '%s' has values above maximum limit of %.2f.",
+}
+
 
 def contract_rules(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, RULE_SCHEMA)
@@ -106,33 +117,19 @@ def check_contracts(
     unique_floor = F.coalesce(want.try_cast("double"), F.lit(100.0))
     limits = F.from_json(want, "min double, max double")
     bound = F.when(F.col("side") == "min", limits["min"]).otherwise(limits["max"])
-    message = (
-        F.when((kind == "column_exists") & ~has, F.format_string("Required column '%s' is missing from the schema.", col))
-        .when(
-            (kind == "column_type") & has & ~F.col("semantic_type").eqNullSafe(want),
-            F.format_string("Column '%s' inferred type '%s' does not match expected '%s'.", col, "semantic_type", want),
-        )
-        .when(
-            (kind == "max_null_pct") & has & (null_pct > null_cap),
-            F.format_string("Column '%s' null percentage %.2f%% exceeds threshold of %.2f%%.", col, null_pct, null_cap),
-        )
-        .when(
+    broken = {
+        "column_exists": ((kind == "column_exists") & ~has, []),
+        "column_type": ((kind == "column_type") & has & ~F.col("semantic_type").eqNullSafe(want), ["semantic_type", want]),
+        "max_null_pct": ((kind == "max_null_pct") & has & (null_pct > null_cap), [null_pct, null_cap]),
+        "uniqueness": (
             (kind == "uniqueness") & has & (F.col("filled") > 0) & (F.col("unique_pct") < unique_floor),
-            F.format_string("Column '%s' uniqueness ratio %.2f%% is below expected threshold of %.2f%%.", col, "unique_pct", unique_floor),
-        )
-        .when(
-            (kind == "regex") & has & (F.col("fail_count") > 0),
-            F.format_string("Column '%s' has %d values that do not match the expected pattern.", col, "fail_count"),
-        )
-        .when(
-            (kind == "range") & has & (F.col("side") == "min"),
-            F.format_string("Column '%s' has values below minimum limit of %.2f.", col, bound),
-        )
-        .when(
-            (kind == "range") & has & (F.col("side") == "max"),
-            F.format_string("Column '%s' has values above maximum limit of %.2f.", col, bound),
-        )
-    )
+            ["unique_pct", unique_floor],
+        ),
+        "regex": ((kind == "regex") & has & (F.col("fail_count") > 0), ["fail_count"]),
+        "range_min": ((kind == "range") & has & (F.col("side") == "min"), [bound]),
+        "range_max": ((kind == "range") & has & (F.col("side") == "max"), [bound]),
+    }
+    message = F.coalesce(*[F.when(hit, F.format_string(MESSAGES[m], col, *args)) for m, (hit, args) in broken.items()])
     return (
         work.withColumn("message", message)
         .where("message IS NOT NULL")

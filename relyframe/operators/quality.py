@@ -177,6 +177,7 @@ def metric_rows(
     return frame
 
 
+# Message formats of the rules.
 _MESSAGES = {
     "NULL_PERCENT": "'Overall null percent %.2f%% exceeds threshold %.2f%%', actual_value, threshold",
     "DUPLICATE_PERCENT": "'Duplicate rows percent %.2f%% exceeds threshold %.2f%%', actual_value, threshold",

@@ -30,6 +30,23 @@ INCIDENT_PROMPT = "Explain incident '{incident_title}' (severity: {severity}) wi
 INCIDENT_TEXT = "Incident '{incident_title}' of severity '{severity}' occurred. Description: {description}."
 DATASET_PROMPT = "Summarize health status for dataset ID: {dataset_id}."
 DATASET_TEXT = "Dataset {dataset_id} is monitored. Health score is stable."
+QUALITY_TITLE, ANOMALY_TITLE, DRIFT_TITLE = (
+    "Resolve Quality Failure in ",
+    "Investigate Outliers in Column ",
+    "Review Drift in Column ",
+)
+ANOMALY_EVIDENCE = "Detected %d anomaly points using algorithm %s."
+DRIFT_EVIDENCE = "Metric '%s' score is %.4f (Severity: %s)."
+LOW_HEALTH = ("Critical Dataset Health Score Breach", "Dataset health score dropped to %.2f, breaching the threshold limit.")
+BAD_RULES = (
+    "Critical Quality Validation Violations",
+    "Detected %d critical validation checks failing in quality execution run.",
+)
+MANY_OUTLIERS = (
+    "Excessive Outliers Detected",
+    "Outlier validation run detected a high density of %d anomalous points.",
+)
+ALERT_TEXT = "Metric '%s' breached threshold %s %.2f. Actual value: %.2f."
 EVIDENCE_NEEDED = 3
 INVESTIGATION_HOURS = {"critical": 12, "low": 48}
 RETENTION_DAYS = 30
@@ -120,22 +137,22 @@ def recommendations(violations: DataFrame, anomalies: DataFrame, drifts: DataFra
         *KEYS,
         F.lit("QUALITY_REMEDIATION").alias("recommendation_type"),
         F.col("severity").alias("priority"),
-        F.concat(F.lit("Resolve Quality Failure in "), F.coalesce("column_name", F.lit("dataset"))).alias("title"),
+        F.concat(F.lit(QUALITY_TITLE), F.coalesce("column_name", F.lit("dataset"))).alias("title"),
         F.col("message").alias("evidence"),
     )
     look = anomalies.where("anomaly_count > 0").select(
         *KEYS,
         F.lit("ANOMALY_INVESTIGATION").alias("recommendation_type"),
         F.when(F.col("anomaly_count") > 5, "high").otherwise("medium").alias("priority"),
-        F.concat(F.lit("Investigate Outliers in Column "), "column_name").alias("title"),
-        F.format_string("Detected %d anomaly points using algorithm %s.", "anomaly_count", F.lit(algorithm)).alias("evidence"),
+        F.concat(F.lit(ANOMALY_TITLE), "column_name").alias("title"),
+        F.format_string(ANOMALY_EVIDENCE, "anomaly_count", F.lit(algorithm)).alias("evidence"),
     )
     review = drifts.where(F.col("severity").isin("MEDIUM", "HIGH")).select(
         *KEYS,
         F.lit("DRIFT_REVIEW").alias("recommendation_type"),
         F.when(F.col("severity") == "HIGH", "high").otherwise("medium").alias("priority"),
-        F.concat(F.lit("Review Drift in Column "), "column_name").alias("title"),
-        F.format_string("Metric '%s' score is %.4f (Severity: %s).", "drift_metric", "drift_score", "severity").alias("evidence"),
+        F.concat(F.lit(DRIFT_TITLE), "column_name").alias("title"),
+        F.format_string(DRIFT_EVIDENCE, "drift_metric", "drift_score", "severity").alias("evidence"),
     )
     return fix.select(shape).unionByName(look.select(shape)).unionByName(review.select(shape))
 
@@ -160,8 +177,8 @@ def incident_triggers(reports: DataFrame, violations: DataFrame) -> DataFrame:
     low = reports.where("health_score < 50").select(
         *KEYS,
         F.lit("critical").alias("severity"),
-        F.lit("Critical Dataset Health Score Breach").alias("title"),
-        F.format_string("Dataset health score dropped to %.2f, breaching the threshold limit.", "health_score").alias("description"),
+        F.lit(LOW_HEALTH[0]).alias("title"),
+        F.format_string(LOW_HEALTH[1], "health_score").alias("description"),
     )
     bad = (
         violations.where("severity = 'critical'")
@@ -170,15 +187,15 @@ def incident_triggers(reports: DataFrame, violations: DataFrame) -> DataFrame:
         .select(
             *KEYS,
             F.lit("high").alias("severity"),
-            F.lit("Critical Quality Validation Violations").alias("title"),
-            F.format_string("Detected %d critical validation checks failing in quality execution run.", "n").alias("description"),
+            F.lit(BAD_RULES[0]).alias("title"),
+            F.format_string(BAD_RULES[1], "n").alias("description"),
         )
     )
     many = reports.where("anomaly_count > 10").select(
         *KEYS,
         F.lit("medium").alias("severity"),
-        F.lit("Excessive Outliers Detected").alias("title"),
-        F.format_string("Outlier validation run detected a high density of %d anomalous points.", "anomaly_count").alias("description"),
+        F.lit(MANY_OUTLIERS[0]).alias("title"),
+        F.format_string(MANY_OUTLIERS[1], "anomaly_count").alias("description"),
     )
     return low.select(shape).unionByName(bad.select(shape)).unionByName(many.select(shape))
 
@@ -186,9 +203,7 @@ def incident_triggers(reports: DataFrame, violations: DataFrame) -> DataFrame:
 def monitoring_alerts(metrics: DataFrame, rules: DataFrame) -> DataFrame:
     """``metrics``: keys, metric, value. ``rules``: dataset_id, rule_id, metric, op, threshold."""
     hit = relational.compare(F.col("value"), F.col("op"), F.col("threshold"))
-    text = F.format_string(
-        "Metric '%s' breached threshold %s %.2f. Actual value: %.2f.", "metric", "op", "threshold", "value"
-    )
+    text = F.format_string(ALERT_TEXT, "metric", "op", "threshold", "value")
     return metrics.join(rules, ["dataset_id", "metric"]).where(hit).select(
         *KEYS, "rule_id", "metric", F.lit("OPEN").alias("status"), text.alias("message")
     )
