@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from relyframe.llm import near_dup, substring
+from relyframe.llm import language_model, line_dedup, near_dup, substring
 from relyframe.llm.store import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,12 +17,23 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(documents(spark, sf_dir))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", F.size(F.split("text", "\n")).alias("before"))
+    out = line_dedup.dedup_lines(docs)
+    lines = F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n")))
+    return out.select("doc_id", "before", F.size(F.split("text", "\n")).alias("after"), F.sha2("text", 256).alias("text_sha256"), lines.alias("lines"))
+
+
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(documents(spark, sf_dir))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op8_substring_dedup)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op3_line_dedup, op7_lm_scoring, op8_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
