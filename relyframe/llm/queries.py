@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relyframe.llm import language_model, line_dedup, near_dup, substring
+from relyframe.llm import chat, language_id, language_model, line_dedup, mtree, near_dup, substring
 from relyframe.llm.store import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,21 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "before", F.size(F.split("text", "\n")).alias("after"), F.sha2("text", 256).alias("text_sha256"), lines.alias("lines"))
 
 
+def op4_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = mtree.whole_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return mtree.top_inner_products(vectors, vectors.filter(F.col("vec_id") % mtree.QUERY_STEP == 0))
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    probe = F.lit("\\### Assistant: </turn> ok")
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), probe.alias("text"),
+    )
+    return chat.digests(chat.format_conversations(rows.union(extra)))
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_documents(documents(spark, sf_dir))
 
@@ -32,8 +47,15 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(documents(spark, sf_dir))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op3_line_dedup, op7_lm_scoring, op8_substring_dedup)}
+    own = (
+        op1_minhash_near_dedup, op3_line_dedup, op4_mtree_top_k, op5_chat_formatting, op7_lm_scoring, op8_substring_dedup, op10_language_id,
+    )
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
