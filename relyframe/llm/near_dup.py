@@ -2,12 +2,14 @@
 
 One hash of every word shingle fills the bins of a signature; bins that stay
 empty borrow from a bin that optimal densification picks. Bands of bins are
-bucket keys, each bucket sends one edge from its smallest member to every
+bucket keys, each bucket sends one edge from its most central member to every
 other member (a star), and edges are confirmed on the full shingle sets.
-A star is enough where its members turn out linked. In a bucket that still
-holds several components, further members serve as hubs against the members
-of other components, four times as many in each round, until no pair of the
-bucket is left unchecked; no bucket is capped or dropped.
+Shingles that no other candidate has bound the similarity of a pair exactly,
+so members with too many of them are left out before any pair is formed. A
+star is enough where its members turn out linked. In a bucket that still holds
+several components, further members serve as hubs against the members of other
+components, more of them in each round, until no pair that the bound allows is
+left unchecked; no bucket is capped or dropped.
 """
 
 from __future__ import annotations
@@ -127,11 +129,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 first, held = first + len(held), []
 
 
-def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def confirm(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The candidate pairs (a, b) whose full shingle sets are similar enough."""
-    ids = stored(pairs.select("a").union(pairs.select("b")).distinct().toDF("doc_id"), "candidates")
-    wanted = docs.join(sized(ids), "doc_id", "left_semi").select("doc_id", "text")
-    sets = stored(wanted.mapInArrow(_sets, "id long, shingles array<long>"), "sets")
     left, right = sets.toDF("a", "sa"), sets.toDF("b", "sb")
     both = F.size(F.array_intersect("sa", "sb"))
     return (
@@ -142,8 +141,21 @@ def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def _close_in_size(x: str, y: str):
-    return F.least(x, y) * 100 >= F.greatest(x, y) * PERCENT
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """rep, own: how many shingles of a candidate no other candidate has. Ids with several texts count none."""
+    single = sets.groupBy("id").agg(F.count("*").alias("texts")).filter("texts = 1")
+    alone = sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("id").alias("id")).filter("c = 1")
+    return alone.groupBy("id").agg(F.count("*").alias("own")).join(single, "id").select(F.col("id").alias("rep"), "own")
+
+
+def can_link(n: str, own: str, m: str, its: str):
+    """Exact bound: a pair shares at most the smaller count of shingles that are not its own."""
+    shared = F.least(F.col(n) - F.col(own), F.col(m) - F.col(its))
+    return shared * 100 >= (F.col(n) + F.col(m) - shared) * PERCENT
+
+
+def with_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    return rows.join(keys, ["rep", "n"]).select("key", "rep", "n", "own", "component", "keys")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -160,40 +172,48 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = stored(named.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     reps = named.join(classes.select(F.col("rep").alias("doc_id"), "n", "h1", "h2").distinct(), ["doc_id", "n", "h1", "h2"], "left_semi").dropDuplicates(["doc_id", "n", "h1", "h2"])
     rows = stored(reps.select(F.col("doc_id").alias("rep"), "n", F.explode("keys").alias("key")), "bands")
-    hubs = rows.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("size")).filter("size > 1")
-    members = stored(rows.join(hubs, "key").select("key", "rep", "n", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")), "members")
+    several = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
+    found = stored(rows.join(several, "key"), "members")
+    ids = stored(found.select(F.col("rep").alias("doc_id")).distinct(), "candidates")
+    texts = docs.join(sized(ids), "doc_id", "left_semi").select("doc_id", "text")
+    sets = stored(texts.mapInArrow(_sets, "id long, shingles array<long>"), "sets")
+    # A candidate with more than 15 % shingles of its own can link with none.
+    alive = found.join(own_shingles(sets), "rep", "left").withColumn("own", F.coalesce("own", F.lit(0))).filter((F.col("n") - F.col("own")) * 100 >= F.col("n") * PERCENT)
+    alive = stored(alive.select("key", "rep", "n", "own"), "alive")
+    # The hub is the member with the fewest shingles of its own: the most central copy.
+    hubs = alive.groupBy("key").agg(F.min(F.struct("own", "rep", "n")).alias("hub"), F.count("*").alias("size")).filter("size > 1")
+    hubs = hubs.select("key", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.own").alias("hub_own"))
+    members = stored(alive.join(hubs, "key"), "members")
 
     # Nodes of one doc_id with several texts hang together.
     repeated = named.groupBy("doc_id").agg(F.countDistinct("n", "h1", "h2").alias("texts")).filter("texts > 1")
     same = named.join(repeated, "doc_id").join(classes, ["n", "h1", "h2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
 
-    star = members.filter(_close_in_size("n", "hub_n") & (F.col("hub") < F.col("rep")))
-    star = stored(star.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    confirmed = stored(confirm(docs, star), "confirmed")
+    star = members.filter((F.col("hub") != F.col("rep")) & can_link("n", "own", "hub_n", "hub_own"))
+    star = stored(star.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct(), "pairs")
+    confirmed = stored(confirm(sets, star), "confirmed")
     links = confirmed.union(same.filter("a <> b"))
     label = components(links)
 
-    pending, wide, met_first = members.select("key", "rep", "n"), FIRST_HUBS, True
+    # Rounds for buckets that hold several components; a pair that shares
+    # several buckets is met in the first one only.
+    keys = reps.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n", "keys")
+    pending, wide = members.filter("rep <> hub").select("key", "rep", "n", "own"), FIRST_HUBS
     while True:
         now = pending.join(label.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("rep").alias("first")).filter("lo < hi").select("key", "first")
-        open_rows = now.join(mixed, "key")
-        if met_first:
-            open_rows = open_rows.filter("rep <> first")  # the star's hub has met every member
-        open_rows = stored(open_rows.select("key", "rep", "n", "component"), "open")
+        mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
+        open_rows = stored(now.join(mixed, "key").select("key", "rep", "n", "own", "component"), "open")
         if open_rows.isEmpty():
             break
-        met_first = False
-        turn = F.row_number().over(Window.partitionBy("key").orderBy("rep"))
-        chosen = open_rows.withColumn("turn", turn).filter(F.col("turn") <= wide)
-        hub = chosen.select("key", F.col("rep").alias("a0"), F.col("n").alias("na"), F.col("component").alias("ca"))
-        met = open_rows.join(hub, "key").filter((F.col("component") != F.col("ca")) & (F.col("rep") != F.col("a0")) & _close_in_size("n", "na"))
-        pairs = stored(met.select(F.least("rep", "a0").alias("a"), F.greatest("rep", "a0").alias("b")).distinct(), "pairs")
-        pending = stored(open_rows.join(chosen.select("key", "rep"), ["key", "rep"], "left_anti").select("key", "rep", "n"), "pending")
-        wide *= 4
-        if pairs.isEmpty():
-            continue
-        more = stored(confirm(docs, pairs), "confirmed")
+        turn = F.row_number().over(Window.partitionBy("key").orderBy("own", "rep"))
+        chosen = stored(open_rows.withColumn("turn", turn).filter(F.col("turn") <= wide).drop("turn"), "hubs")
+        wide *= 8
+        x, y = with_keys(open_rows, keys), with_keys(chosen, keys).toDF("hub_key", "hub", "m", "its", "other", "hub_keys")
+        first = F.array_position(F.zip_with("keys", "hub_keys", lambda p, q: p == q), True)
+        met = x.join(y, (F.col("key") == F.col("hub_key")) & (F.col("component") != F.col("other")) & can_link("n", "own", "m", "its") & (F.get("keys", first - 1) == F.col("key")))
+        pairs = stored(met.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct(), "pairs")
+        pending = stored(open_rows.join(chosen.select("key", "rep"), ["key", "rep"], "left_anti").select("key", "rep", "n", "own"), "pending")
+        more = stored(confirm(sets, pairs), "confirmed")
         if not more.isEmpty():
             confirmed = confirmed.union(more)
             links = links.union(more)
