@@ -25,7 +25,7 @@ from pyspark.sql.types import StructType
 
 from relyframe.llm.store import stored
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 BLOCK = "block long, payload binary"
 PART = "kind int, bucket int, block long, part binary"
 PART_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("part", pa.binary())])
@@ -128,6 +128,7 @@ def ask(blocks: DataFrame, question: Callable[[int, pa.Table], Iterator[pa.Recor
         for batch in batches:
             for block, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 yield from question(block, unpack(payload.as_py()))
+                pa.default_memory_pool().release_unused()
 
     return blocks.mapInArrow(run, PART)
 
@@ -155,6 +156,7 @@ def meet(blocks: DataFrame, answers: DataFrame, use: Callable[[int, bytes, pa.Ta
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         found = list(use(left["block"][0].as_py(), left["payload"][0].as_py(), right)) if len(left) else []
+        pa.default_memory_pool().release_unused()
         return pa.Table.from_batches(found) if found else empty
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
