@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relyframe.llm import chat, language_id, language_model, line_dedup, mtree, near_dup, substring
+import corpus_pipeline
+from relyframe.llm import chat, decontaminate, language_id, language_model, licenses, line_dedup, mtree, near_dup, sentencepiece_codec, substring
 from relyframe.llm.store import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +18,11 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(documents(spark, sf_dir))
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "item_id", "covered", "item_tokens", "slots", "consistent")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", F.size(F.split("text", "\n")).alias("before"))
     out = line_dedup.dedup_lines(docs)
@@ -39,6 +45,18 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.union(extra)))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents are the files of a folder per source; pages lie under their host and path, without their tags."""
+    docs = documents(spark, sf_dir)
+    files = docs.select(F.concat_ws("/", F.lit("doc"), "doc_id").alias("file"), F.concat_ws("/", F.lit("documents"), "source", "doc_id").alias("path"), "text")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    path = F.regexp_replace(F.regexp_replace("url", r"^[a-z]+://", ""), r"[?#].*$", "")
+    plain = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " "), r"(?i)</?(p|br|div|li|h[1-6]|tr|article|ul|ol|table|footer|title)\b[^>]*>", "\n")
+    sites = pages.select(F.concat_ws("/", F.lit("page"), "page_id").alias("file"), F.concat(F.lit("pages/"), path).alias("path"), F.regexp_replace(plain, r"<[^>]*>", " ").alias("text"))
+    out = licenses.scan_licences(files.union(sites))
+    return out.select(F.split("file", "/")[0].alias("kind"), F.split("file", "/")[1].cast("long").alias("id"), "licence", "cosine", "origin", "depth")
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_documents(documents(spark, sf_dir))
 
@@ -47,15 +65,20 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(documents(spark, sf_dir))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode_documents(documents(spark, sf_dir))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Query]:
     own = (
-        op1_minhash_near_dedup, op3_line_dedup, op4_mtree_top_k, op5_chat_formatting, op7_lm_scoring, op8_substring_dedup, op10_language_id,
+        op1_minhash_near_dedup, op2_benchmark_decontamination, op3_line_dedup, op4_mtree_top_k, op5_chat_formatting, op6_license_scan,
+        op7_lm_scoring, op8_substring_dedup, op9_sentencepiece, op10_language_id,
     )
-    return {f.__name__: f for f in own}
+    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
