@@ -109,11 +109,12 @@ def read_back(formatted: Column, template: Template | None = None) -> Column:
 
 
 def digests(out: DataFrame, template: Template | None = None) -> DataFrame:
-    """What the formatted text and the loss mask hold, read back from them."""
+    """What the formatted text and the loss mask hold, read back from them; broken_at is -1 where no turn breaks the order."""
     turns = read_back(F.col("formatted"), template)
     lines = F.transform(turns, lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n")))
     loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
     return out.select(
         "conv_id", F.size(turns).cast("long").alias("n_turns"), F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "valid", "broken_at",
+        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "valid",
+        F.coalesce("broken_at", F.lit(-1)).alias("broken_at"),
     )

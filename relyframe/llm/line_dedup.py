@@ -17,8 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from relyframe.llm.store import sized, stored
 from relyframe.llm.text import _SYMBOL, U64, mix, shingles, span_hash, words
@@ -102,7 +104,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return stored(runs, "runs")
 
 
-def _delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _delete(batches: Iterator[pa.RecordBatch], count_as: str | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = batch.schema.get_field_index("text")
         gone_at = batch.schema.get_field_index("relyframe_lines")
@@ -114,11 +116,15 @@ def _delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop)
             texts.append(text)
         columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns) if i != gone_at]
-        yield pa.RecordBatch.from_arrays(columns, [f.name for i, f in enumerate(batch.schema) if i != gone_at])
+        names = [f.name for i, f in enumerate(batch.schema) if i != gone_at]
+        if count_as:
+            columns.append(pc.fill_null(pc.list_value_length(batch.column(gone_at)), 0).cast(pa.int32()))
+            names.append(count_as)
+        yield pa.RecordBatch.from_arrays(columns, names)
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, with repeated runs of lines deleted from ``text``.
+def dedup_lines(docs: DataFrame, count_as: str | None = None) -> DataFrame:
+    """The rows of docs, all columns, with repeated runs of lines deleted from ``text``; ``count_as`` names a column for their number.
 
     Null and blank texts stay as they are, and so do rows with a null doc_id.
     Rows of one doc_id with equal texts are one document and keep their lines.
@@ -129,4 +135,6 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     keyed = docs.withColumn("relyframe_version", F.xxhash64("text"))
     lines = sized(runs).select(F.col("doc_id").alias("relyframe_id"), F.col("version").alias("relyframe_version"), F.col("lines").alias("relyframe_lines"))
     joined = keyed.join(lines, (keyed["doc_id"] == lines["relyframe_id"]) & (keyed["relyframe_version"] == lines["relyframe_version"]), "left")
-    return joined.select(*[keyed[f"`{c}`"] for c in docs.columns], "relyframe_lines").mapInArrow(_delete, docs.schema)
+    return joined.select(*[keyed[f"`{c}`"] for c in docs.columns], "relyframe_lines").mapInArrow(
+        lambda batches: _delete(batches, count_as), StructType([*docs.schema.fields, *([StructField(count_as, IntegerType())] if count_as else [])])
+    )

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from relyframe.llm import chat, decontaminate, language_id, language_model, licenses, line_dedup, mtree, near_dup, sentencepiece_codec, substring
+from relyframe.llm.check_sql import CHECKS
 from relyframe.llm.store import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(documents(spark, sf_dir))
+    return near_dup.near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,15 +25,14 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "text", F.size(F.split("text", "\n")).alias("before"))
-    out = line_dedup.dedup_lines(docs)
-    lines = F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n")))
-    return out.select("doc_id", "before", F.size(F.split("text", "\n")).alias("after"), F.sha2("text", 256).alias("text_sha256"), lines.alias("lines"))
+    docs = documents(spark, sf_dir).select("doc_id", "text", F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
+    out = line_dedup.dedup_lines(docs, count_as="n_deleted")
+    return out.select("doc_id", "n_lines", F.col("n_deleted").cast("long").alias("n_deleted"), F.sha2("text", 256).alias("text_sha256"))
 
 
 def op4_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = mtree.whole_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
-    return mtree.top_inner_products(vectors, vectors.filter(F.col("vec_id") % mtree.QUERY_STEP == 0))
+    return mtree.top_inner_products(vectors, vectors.filter(F.col("vec_id") % mtree.QUERY_STEP == 0)).select("query_id", "rank", "vec_id", "score")
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,7 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.remove_repeats(documents(spark, sf_dir))
+    return substring.remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,4 +82,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(CHECKS)
