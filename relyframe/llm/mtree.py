@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,13 +34,14 @@ from relyframe.llm.store import stored
 SCALE = 64
 TOP = 20
 QUERY_STEP = 20
-PAGE = 128
+PAGE = 256
 FANOUT = 8
 SHARD_ROWS = 16_384
-QUERY_BLOCK = 4_096
+QUERY_BLOCK = 1_024
 # Distances come from differences of squares in doubles; bounds that are this
 # close, relative to the vectors' lengths, do not prune.
 SLACK = 1e-6
+_NOTHING, _LAST = np.iinfo(np.int64).min + 1, np.iinfo(np.int64).max
 
 
 def whole_vectors(table: DataFrame) -> DataFrame:
@@ -53,13 +55,18 @@ def whole_vectors(table: DataFrame) -> DataFrame:
     return table.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(good).groupBy("vec_id").agg(F.min(whole).alias("v"))
 
 
-def matrix(rows: list) -> np.ndarray:
-    """Integer rows as one array; shorter vectors end in zeros."""
-    width = max((len(r) for r in rows), default=0)
-    if all(len(r) == width for r in rows):
-        return np.array(rows, np.int64).reshape(len(rows), width)
-    out = np.zeros((len(rows), width), np.int64)
-    for i, r in enumerate(rows):
+def matrix(column: pa.Array | pa.ChunkedArray | list) -> np.ndarray:
+    """Integer lists as one array; shorter vectors end in zeros."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if isinstance(column, pa.Array):
+        size = pc.list_value_length(column).to_numpy()
+        if len(size) and (size == size[0]).all():
+            return column.flatten().to_numpy().reshape(len(size), int(size[0]))
+        column = column.to_pylist()
+    width = max((len(r) for r in column), default=0)
+    out = np.zeros((len(column), width), np.int64)
+    for i, r in enumerate(column):
         out[i, : len(r)] = r
     return out
 
@@ -117,64 +124,90 @@ class MTree:
         return len(self.nodes) - 1
 
     def _join_children(self) -> None:
-        self.below = {}
-        for i, (_, _, _, children, _, _) in enumerate(self.nodes):
+        self.below, self.pages = {}, {}
+        for i, (_, _, _, children, rows, far) in enumerate(self.nodes):
+            if children is None:
+                count = [len(self.ids[r]) for r in rows]
+                self.pages[i] = (np.repeat(rows, count), np.array([name for r in rows for name in self.ids[r]], np.int64), np.repeat(far, count))
             if children:
                 own = [self.nodes[c] for c in children]
                 self.below[i] = (np.array(children), np.array([n[0] for n in own]), np.array([n[1] for n in own]), np.array([n[2] for n in own]))
 
-    def search(self, q: np.ndarray, k: int, bound: float = -np.inf) -> tuple[list[tuple[int, int]], int]:
-        """The k best (score, id), scores above or equal to ``bound`` only, and how many distances were computed."""
-        if self.root is None:
-            return [], 0
-        qf = q.astype(np.float64)
-        qq, computed = float(qf @ qf), 1
-        best: list[tuple[float, int]] = []  # heap of (score, -id): the worst is first
-
-        def reach() -> float:
-            least = max(bound, best[0][0] if len(best) == k else -np.inf)
-            return np.inf if least == -np.inf else np.sqrt(max(qq + self.top - 2 * least, 0.0)) + SLACK * np.sqrt(qq + self.top)
-
-        def away(rows: np.ndarray) -> np.ndarray:
-            return np.sqrt(np.maximum(qq + self.top - 2 * (self.x[rows] @ qf), 0.0))
-
-        root = self.nodes[self.root]
-        d = float(away(np.array([root[0]]))[0])
-        queue = [(max(d - root[1], 0.0), self.root, d)]
+    def search(self, queries: np.ndarray, k: int, bounds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k best (scores, ids) of every query, best first, of scores not below its bound; and how many distances each needed.
+
+        A block of queries walks the tree together: nodes come in the order of
+        the least distance that any of them may find there, and at each node
+        only those queries stay whose own bounds allow it. Places without a
+        result hold the id -1.
+        """
+        n = len(queries)
+        scores, ids = np.full((n, k), _NOTHING), np.full((n, k), _LAST)
+        computed = np.zeros(n, np.int64)
+        if self.root is None or not n:
+            return scores, np.full((n, k), -1), computed
+        q = queries.astype(np.float64)
+        qq = (q**2).sum(axis=1)
+        floor = np.full(n, -np.inf) if bounds is None else bounds.astype(np.float64)
+        slack = SLACK * np.sqrt(qq + self.top)
+        limit = self._reach(qq, floor, scores[:, -1], slack)
+
+        def away(who: np.ndarray, rows: np.ndarray) -> np.ndarray:
+            computed[who] += len(rows)
+            return np.sqrt(np.maximum(qq[who, None] + self.top - 2 * (q[who] @ self.x[rows].T), 0.0))
+
+        everyone = np.arange(n)
+        d = away(everyone, np.array([self.nodes[self.root][0]]))[:, 0]
+        least = np.maximum(d - self.nodes[self.root][1], 0.0)
+        queue = [(float(least.min()), self.root, everyone, least, d)]
         while queue:
-            least, i, d = heapq.heappop(queue)
-            limit = reach()
-            if least > limit:
-                break
-            _, _, _, children, rows, far = self.nodes[i]
+            _, i, who, least, d = heapq.heappop(queue)
+            stay = least <= limit[who]
+            who, d = who[stay], d[stay]
+            if not len(who):
+                continue
+            children = self.nodes[i][3]
             if children is None:
-                lo, hi = np.searchsorted(far, d - limit), np.searchsorted(far, d + limit, side="right")
-                rows = rows[lo:hi]
-                if not len(rows):
-                    continue
-                computed += len(rows)
-                score = self.x[rows] @ qf if self.exact is None else self.exact[rows] @ q
-                worst = max(bound, best[0][0] if len(best) == k else -np.inf)
-                for j in np.flatnonzero(score >= worst):
-                    for name in self.ids[rows[j]]:
-                        entry = (int(score[j]), -name)
-                        if len(best) < k:
-                            heapq.heappush(best, entry)
-                        elif entry > best[0]:
-                            heapq.heapreplace(best, entry)
-                        else:
-                            break
+                self._visit_page(i, who, d, queries, q, scores, ids, limit, computed, floor)
+                limit[who] = self._reach(qq[who], floor[who], scores[who, -1], slack[who])
                 continue
             nodes, routes, radius, to_parent = self.below[i]
-            open_ = np.abs(d - to_parent) - radius <= limit
-            nodes, routes, radius = nodes[open_], routes[open_], radius[open_]
-            if len(nodes):
-                computed += len(nodes)
-                there = away(routes)
-                gap = np.maximum(there - radius, 0.0)
-                for j in np.flatnonzero(gap <= limit):
-                    heapq.heappush(queue, (float(gap[j]), int(nodes[j]), float(there[j])))
-        return sorted(((int(s), -n) for s, n in best), key=lambda e: (-e[0], e[1])), computed
+            for node, route, r, far in zip(nodes.tolist(), routes.tolist(), radius.tolist(), to_parent.tolist(), strict=True):
+                near = np.abs(d - far) - r <= limit[who]  # stored bounds, before any distance
+                some = who[near]
+                if len(some):
+                    there = away(some, np.array([route]))[:, 0]
+                    gap = np.maximum(there - r, 0.0)
+                    heapq.heappush(queue, (float(gap.min()), node, some, gap, there))
+        ids[scores == _NOTHING] = -1
+        return scores, ids, computed
+
+    def _reach(self, qq: np.ndarray, floor: np.ndarray, kth: np.ndarray, slack: np.ndarray) -> np.ndarray:
+        """The largest distance at which a result can still matter."""
+        least = np.maximum(floor, np.where(kth == _NOTHING, -np.inf, kth))
+        return np.where(np.isneginf(least), np.inf, np.sqrt(np.maximum(qq + self.top - 2 * np.where(np.isneginf(least), 0, least), 0.0)) + slack)
+
+    def _visit_page(self, i: int, who: np.ndarray, d: np.ndarray, queries: np.ndarray, q: np.ndarray, scores: np.ndarray, ids: np.ndarray, limit: np.ndarray, computed: np.ndarray, floor: np.ndarray) -> None:
+        """Scores of a page's objects that the distances to its routing object do not exclude, merged into the best."""
+        rows, names, far = self.pages[i]
+        lo, hi = np.searchsorted(far, (d - limit[who]).min()), np.searchsorted(far, (d + limit[who]).max(), side="right")
+        rows, names = rows[lo:hi], names[lo:hi]
+        if not len(rows):
+            return
+        computed[who] += len(rows)
+        found = (q[who] @ self.x[rows].T).astype(np.int64) if self.exact is None else queries[who] @ self.exact[rows].T
+        good = found >= np.maximum(scores[who, -1], np.where(np.isfinite(floor[who]), np.ceil(floor[who]), _NOTHING).astype(np.int64))[:, None]
+        better = np.flatnonzero(good.any(axis=1))
+        if not len(better):
+            return
+        columns = np.flatnonzero(good[better].any(axis=0))
+        part = np.where(good[np.ix_(better, columns)], found[np.ix_(better, columns)], _NOTHING)
+        mine = who[better]
+        k = scores.shape[1]
+        all_scores = np.concatenate([scores[mine], part], axis=1)
+        all_ids = np.concatenate([ids[mine], np.where(part == _NOTHING, _LAST, names[columns])], axis=1)
+        order = np.lexsort((all_ids, -all_scores), axis=1)[:, :k]
+        scores[mine], ids[mine] = np.take_along_axis(all_scores, order, 1), np.take_along_axis(all_ids, order, 1)
 
 
 HITS = "qkey long, vec_id long, score long, computed long"
@@ -182,18 +215,13 @@ HITS = "qkey long, vec_id long, score long, computed long"
 
 def _search(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
     """Every query of a block against one shard's tree."""
-    keys, names, scores, work = [], [], [], []
-    if len(left) and len(right):
-        tree: MTree = load(right["tree"][0].as_py())
-        width = tree.x.shape[1]
-        queries = _fit_width(matrix(left["v"].to_pylist()), width)
-        for key, q, bound in zip(left["qkey"].to_pylist(), queries, left["bound"].to_pylist(), strict=True):
-            hits, n = tree.search(q, k, -np.inf if bound is None else bound)
-            keys += [key] * len(hits)
-            names += [name for _, name in hits]
-            scores += [s for s, _ in hits]
-            work += [n] * len(hits)
-    return pa.table({"qkey": pa.array(keys, pa.int64()), "vec_id": pa.array(names, pa.int64()), "score": pa.array(scores, pa.int64()), "computed": pa.array(work, pa.int64())})
+    tree: MTree = load(right["tree"][0].as_py()) if len(left) and len(right) else MTree(np.zeros((0, 0), np.int64), [])
+    queries = _fit_width(matrix(left["v"]), tree.x.shape[1])
+    bounds = pc.fill_null(left["bound"], -np.inf).to_numpy()
+    scores, ids, work = tree.search(queries, k, bounds)
+    row, place = np.nonzero(scores != _NOTHING)
+    keys = np.asarray(left["qkey"]).astype(np.int64)
+    return pa.table({"qkey": pa.array(keys[row]), "vec_id": pa.array(ids[row, place]), "score": pa.array(scores[row, place]), "computed": pa.array(work[row])})
 
 
 def _place(pivots: np.ndarray):
@@ -202,7 +230,7 @@ def _place(pivots: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _fit_width(matrix(batch.column(1).to_pylist()), pivots.shape[1]).astype(np.float64)
+            x = _fit_width(matrix(batch.column(1)), pivots.shape[1]).astype(np.float64)
             near = np.argmin(sq - 2 * (x @ pivots.T.astype(np.float64)), axis=1) if len(x) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.int32())], [*batch.schema.names, "pivot"])
 
@@ -210,7 +238,7 @@ def _place(pivots: np.ndarray):
 
 
 def _build(table: pa.Table) -> pa.Table:
-    tree = MTree(matrix(table["v"].to_pylist()), table["ids"].to_pylist())
+    tree = MTree(matrix(table["v"]), table["ids"].to_pylist())
     root = tree.nodes[tree.root]
     return pa.table({
         "shard": table["shard"][:1], "tree": pa.array([dump(tree)], pa.binary()), "center": pa.array([tree.x[root[0]].astype(np.int64).tolist()], pa.list_(pa.int64())),
@@ -226,11 +254,11 @@ def _route(heads: list, own_only: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _fit_width(matrix(batch.column(1).to_pylist()), center.shape[1]).astype(np.float64)
+            x = _fit_width(matrix(batch.column(1)), center.shape[1]).astype(np.float64)
             qq = (x**2).sum(axis=1)[:, None]
             away = np.sqrt(np.maximum(qq + (center**2).sum(axis=1) - 2 * x @ center.T, 0.0) + lift**2)
             first = np.argmin(away, axis=1)
-            bound = np.array([-np.inf if b is None else b for b in batch.column(2).to_pylist()], np.float64)
+            bound = pc.fill_null(batch.column(2), -np.inf).to_numpy(zero_copy_only=False)
             if own_only:
                 q, s = np.arange(len(x)), first
             else:
