@@ -58,9 +58,11 @@ def test_mtree_skips_work():
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.integers(-5, 5, (400, 4)) + c for c in ([200, 0, 0, 0], [0, 200, 0, 0], [0, 0, 200, 0])])
     tree = mtree.MTree(x.astype(np.int64), [[i] for i in range(len(x))])
-    hits, computed = tree.search(x[7], 5)
-    scores = x @ x[7]
-    assert [s for s, _ in hits] == sorted(scores.tolist(), reverse=True)[:5] and computed < len(x) // 2
+    scores, ids, computed = tree.search(x[[7, 500]].astype(np.int64), 5)
+    for q, s, i in zip((7, 500), scores, ids):
+        order = np.lexsort((np.arange(len(x)), -(x @ x[q])))[:5]
+        assert s.tolist() == (x @ x[q])[order].tolist() and i.tolist() == order.tolist()
+    assert (computed < len(x) // 2).all()
 
 
 TURNS = "conv_id long, turn long, role string, text string, turns string, segments int"
