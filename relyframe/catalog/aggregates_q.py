@@ -78,18 +78,33 @@ def quartiles(spark, root):
 @query(
     "d07_line_quartiles",
     """SELECT column_name, count(*) AS n, round(quantile_cont(v, 0.25), 4) AS p25, round(quantile_cont(v, 0.5), 4) AS median, round(quantile_cont(v, 0.75), 4) AS p75
-       FROM (SELECT unnest(['l_quantity', 'l_extendedprice', 'l_tax']) AS column_name, unnest([l_quantity, l_extendedprice, l_tax]) AS v FROM lineitem) GROUP BY 1""",
+       FROM (SELECT unnest(['l_orderkey','l_partkey','l_suppkey','l_linenumber','l_quantity','l_extendedprice','l_discount','l_tax']) AS column_name,
+                    unnest([l_orderkey::DOUBLE, l_partkey::DOUBLE, l_suppkey::DOUBLE, l_linenumber::DOUBLE, l_quantity, l_extendedprice, l_discount, l_tax]) AS v FROM lineitem) GROUP BY 1""",
 )
 def line_quartiles(spark, root):
-    """Whole-table groups: found by narrowing to the intervals that hold the ranks."""
+    """Whole-table groups: every numeric column is one group."""
     from relyframe.operators.quantiles import exact_quantiles
 
-    cols = ["l_quantity", "l_extendedprice", "l_tax"]
-    rows = profile.long_numbers(spread(table(spark, root, "lineitem").select(*cols)), [], cols)
-    q = exact_quantiles(rows, ["column_name"], "value", [0.25, 0.5, 0.75], small_group=10_000)
+    lines = table(spark, root, "lineitem")
+    rows = profile.long_numbers(lines, [], profile.numeric_columns(lines, []))
+    q = exact_quantiles(rows, ["column_name"], "value", [0.25, 0.5, 0.75])
     return r4(q.select("column_name", "n", *[F.get("q", F.lit(i)).alias(c) for i, c in enumerate(("p25", "median", "p75"))]))
 
 
+@query(
+    "d07_null_key_groups",
+    """SELECT nullif(o_orderpriority, '2-HIGH') AS dataset_id, count(*) AS n, round(quantile_cont(o_totalprice, 0.25), 4) AS p25, round(quantile_cont(o_totalprice, 0.5), 4) AS median,
+              round(quantile_cont(o_totalprice, 0.75), 4) AS p75 FROM orders GROUP BY 1""",
+)
+def null_key_quartiles(spark, root):
+    """Rows without a dataset are a group of their own."""
+    from relyframe.operators.quantiles import exact_quantiles
+
+    o = table(spark, root, "orders").select(F.nullif("o_orderpriority", F.lit("2-HIGH")).alias("dataset_id"), "o_totalprice")
+    q = exact_quantiles(o, ["dataset_id"], "o_totalprice", [0.25, 0.5, 0.75])
+    return r4(q.select("dataset_id", "n", *[F.get("q", F.lit(i)).alias(c) for i, c in enumerate(("p25", "median", "p75"))]))
+
+
 @query("d08_iqr_outlier_count", "SELECT dataset_id, version_number, column_name, outlier_count FROM outliers_v")
 def iqr_outlier_count(spark, root):
     d = inputs.dirty_orders(spark, root)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from relyframe.catalog.registry import query, r4
 from relyframe.operators import relational, schema
-from relyframe.operators.quantiles import rank_in_groups
+from relyframe.operators.quantiles import previous_in_groups, rank_in_groups
 from relyframe.plans import insight, reports, trends
 from relyframe.sources import inputs
 from relyframe.sources.tables import table
@@ -37,7 +37,7 @@ def earliest_per_key(spark, root):
 
 @query(
     "e03_rank_by_score",
-    """SELECT c_mktsegment, c_custkey, round(c_acctbal, 4) AS c_acctbal, CAST(row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS INTEGER) AS rank FROM customer""",
+    """SELECT c_mktsegment, c_custkey, round(c_acctbal, 4) AS c_acctbal, CAST(row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS BIGINT) AS rank FROM customer""",
 )
 def rank_by_score(spark, root):
     c = table(spark, root, "customer").select("c_mktsegment", "c_custkey", "c_acctbal")
@@ -47,7 +47,7 @@ def rank_by_score(spark, root):
 @query(
     "e03_rank_lineitem",
     """SELECT l_returnflag, l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice, 4) AS l_extendedprice,
-              CAST(row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate) AS INTEGER) AS rank FROM lineitem""",
+              CAST(row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate) AS BIGINT) AS rank FROM lineitem""",
 )
 def rank_lineitem(spark, root):
     """Three groups over the largest table: numbered in range partitions."""
@@ -55,14 +55,27 @@ def rank_lineitem(spark, root):
         "l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"
     )
     order = [F.desc("l_extendedprice"), *[F.asc(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")]]
-    return r4(rank_in_groups(li, ["l_returnflag"], order, block=10_000).drop("l_shipdate"))
+    return r4(rank_in_groups(li, ["l_returnflag"], order).drop("l_shipdate"))
+
+
+@query(
+    "e03_null_key_groups",
+    """SELECT nullif(o_orderpriority, '2-HIGH') AS dataset_id, o_orderkey, row_number() OVER (PARTITION BY nullif(o_orderpriority, '2-HIGH') ORDER BY o_totalprice DESC, o_orderkey) AS rank,
+              coalesce(lag(o_orderkey) OVER (PARTITION BY nullif(o_orderpriority, '2-HIGH') ORDER BY o_totalprice DESC, o_orderkey), -1) AS ahead FROM orders""",
+)
+def null_key_ranks(spark, root):
+    """Ranks and the row ahead, with a group of rows that have no dataset."""
+    o = table(spark, root, "orders").select(F.nullif("o_orderpriority", F.lit("2-HIGH")).alias("dataset_id"), "o_orderkey", "o_totalprice")
+    order = [F.desc("o_totalprice"), F.asc("o_orderkey")]
+    ahead = previous_in_groups(rank_in_groups(o, ["dataset_id"], order), ["dataset_id"], order, "o_orderkey", "ahead", -1)
+    return ahead.select("dataset_id", "o_orderkey", "rank", "ahead")
 
 
 @query(
     "e04_rank_movement",
-    """SELECT category, dataset_id, refresh, rank, CAST(coalesce(p, rank) AS INTEGER) AS previous_rank, CASE WHEN rank < p THEN 'up' WHEN rank > p THEN 'down' ELSE 'flat' END AS movement
+    """SELECT category, dataset_id, refresh, rank, CAST(coalesce(p, rank) AS BIGINT) AS previous_rank, CASE WHEN rank < p THEN 'up' WHEN rank > p THEN 'down' ELSE 'flat' END AS movement
        FROM (SELECT *, lag(rank) OVER (PARTITION BY category, dataset_id ORDER BY refresh) AS p FROM
-         (SELECT m AS category, dataset_id, version_number AS refresh, CAST(row_number() OVER (PARTITION BY m, version_number ORDER BY v DESC, dataset_id) AS INTEGER) AS rank
+         (SELECT m AS category, dataset_id, version_number AS refresh, CAST(row_number() OVER (PARTITION BY m, version_number ORDER BY v DESC, dataset_id) AS BIGINT) AS rank
           FROM (SELECT dataset_id, version_number, unnest(['health_score', 'quality_score', 'anomaly_score', 'drift_score']) AS m,
                        unnest([round(health_score, 6), round(quality_score, 6), round(anomaly_score, 6), round(drift_score, 6)]) AS v FROM reports_v)))""",
 )
@@ -105,7 +118,7 @@ def linear_forecast(spark, root):
 
 @query(
     "e08_ordered_history",
-    """SELECT dataset_id, CAST(row_number() OVER (PARTITION BY dataset_id ORDER BY created_at) AS INTEGER) AS position, version_number, CAST(created_at AS VARCHAR) AS created_at,
+    """SELECT dataset_id, CAST(row_number() OVER (PARTITION BY dataset_id ORDER BY created_at) AS BIGINT) AS position, version_number, CAST(created_at AS VARCHAR) AS created_at,
               round(health_score, 4) AS health_score, round(quality_score, 4) AS quality_score, round(anomaly_score, 4) AS anomaly_score, round(drift_score, 4) AS drift_score FROM reports_v""",
 )
 def ordered_history(spark, root):

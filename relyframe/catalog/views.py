@@ -383,7 +383,7 @@ SELECT *, CASE WHEN score >= 90 THEN 'Excellent' WHEN score >= 75 THEN 'Good' WH
            (SELECT 100.0::DOUBLE * count(*) FILTER (WHERE event_type <> 'error') / count(*) FROM events) AS workflow_success_rate))"""
 
 VIEWS["boards_v"] = """
-SELECT *, CAST(row_number() OVER (PARTITION BY category ORDER BY score DESC, dataset_id) AS INTEGER) AS rank FROM (
+SELECT *, CAST(row_number() OVER (PARTITION BY category ORDER BY score DESC, dataset_id) AS BIGINT) AS rank FROM (
   SELECT dataset_id, unnest(['best_quality', 'best_health', 'lowest_drift', 'lowest_anomalies', 'most_improved', 'best_overall']) AS category,
          unnest([quality_score, health_score, drift_score, anomaly_score, health_score - first_health, reliability_score]) AS score
   FROM scorecards_v s JOIN (SELECT dataset_id, max(version_number) AS last_version, min_by(health_score, version_number) AS first_health FROM reports_v GROUP BY 1) f

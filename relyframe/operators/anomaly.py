@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from relyframe.operators.keyed import match
 from relyframe.operators.profile import iqr_bounds, long_numbers, numeric_columns
 from relyframe.session import with_broadcast
 
@@ -26,7 +27,7 @@ def zscore_anomalies(df: DataFrame, keys: list[str], row_key: list[str], thresho
     )
     z = F.abs(F.col("value") - F.col("mean")) / F.col("std")
     return (
-        rows.join(stats, by)
+        match(rows, stats, by)
         .withColumn("score", z)
         .where(F.col("score") > threshold)
         .select(*by, *[F.col(i).alias(k) for k, i in zip(row_key, ids)], "score", F.lit("Z_SCORE").alias("anomaly_type"), "value", "mean", "std")
@@ -43,8 +44,7 @@ def iqr_anomalies(df: DataFrame, keys: list[str], row_key: list[str], bounds: Da
     v = F.col("value")
     spread = F.when(F.col("iqr") > 0, F.col("iqr")).otherwise(F.lit(1.0))
     return (
-        long_numbers(base, [*keys, *ids], cols)
-        .join(fence, by)
+        match(long_numbers(base, [*keys, *ids], cols), fence, by)
         .where((v < F.col("lower_bound")) | (v > F.col("upper_bound")))
         .select(
             *by,

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relyframe.operators.profile import long_numbers, nan_to_null, numeric_columns, value_columns, value_counts
+from relyframe.operators.keyed import match
 from relyframe.operators.quantiles import exact_quantiles
 from relyframe.session import with_broadcast
 
@@ -74,7 +75,7 @@ def bin_of(value: Column, edges: Column) -> Column:
 
 def histogram(rows: DataFrame, edges: DataFrame, by: list[str], group: list[str]) -> DataFrame:
     """Counts per bin (zero where a bin is empty) and the number of rows, per group."""
-    placed = rows.join(edges, by).withColumn("_b", bin_of(F.col("value"), F.col("edges")))
+    placed = match(rows, edges, by).withColumn("_b", bin_of(F.col("value"), F.col("edges")))
     wide = placed.groupBy(*group, "edges").agg(
         F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("_b") == i).alias(f"b{i}") for i in range(BINS)]
     )
@@ -103,10 +104,10 @@ def numeric_drift(df: DataFrame, baselines: DataFrame, cols: list[str]) -> DataF
     """PSI, mean shift and deviation shift for every version but the baseline."""
     by, group = [DATASET, "column_name"], [DATASET, VERSION, "column_name"]
     rows = long_numbers(df, [DATASET, VERSION], cols)
-    base_rows = rows.join(baselines, DATASET).where(F.col(VERSION) == F.col("baseline_version"))
+    base_rows = match(rows, baselines, [DATASET]).where(F.col(VERSION) == F.col("baseline_version"))
     edges = with_broadcast(bin_edges(base_rows, by))
     # One pass gives moments and bin counts of the baseline and all targets.
-    placed = rows.join(edges, by, "left").withColumn("_b", bin_of(F.col("value"), F.col("edges")))
+    placed = match(rows, edges, by, "left").withColumn("_b", bin_of(F.col("value"), F.col("edges")))
     stats = placed.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("value").alias("mean"),
@@ -114,11 +115,12 @@ def numeric_drift(df: DataFrame, baselines: DataFrame, cols: list[str]) -> DataF
         F.max(F.size("edges")).alias("edge_count"),
         F.array(*[F.count_if(F.col("_b") == i) for i in range(BINS)]).alias("counts"),
     )
-    stats = with_broadcast(stats).join(baselines, DATASET)
+    stats = match(with_broadcast(stats), baselines, [DATASET])
     base = stats.where(F.col(VERSION) == F.col("baseline_version")).select(
         *by, *[F.col(c).alias(f"b_{c}") for c in ("n", "mean", "std", "counts")]
     )
-    pair = stats.where(F.col(VERSION) != F.col("baseline_version")).join(base, by)
+    pair = stats.where(F.col(VERSION) != F.col("baseline_version"))
+    pair = match(pair, base, by)
     bins = F.greatest(F.coalesce("edge_count", F.lit(0)) - 1, F.lit(0))
     pair = pair.withColumns({"_b": F.slice("b_counts", F.lit(1), bins), "_t": F.slice("counts", F.lit(1), bins)})
     pair = add_psi(pair, "_b", "b_n", "_t", "n")  # no bins: an empty sum, 0
@@ -143,7 +145,7 @@ def text_drift(df: DataFrame, baselines: DataFrame, cols: list[str]) -> DataFram
     by, group = [DATASET, "column_name"], [DATASET, VERSION, "column_name"]
     filled = df.groupBy(DATASET, VERSION).agg(*[F.count(c).alias(c) for c in cols])
     totals = with_broadcast(filled.unpivot([DATASET, VERSION], cols, "column_name", "total").where("total > 0"))
-    counts = value_counts(df, [DATASET, VERSION], cols).join(totals, group).join(baselines, DATASET)
+    counts = match(match(value_counts(df, [DATASET, VERSION], cols), totals, group), baselines, [DATASET])
     is_base = F.col(VERSION) == F.col("baseline_version")
     share = F.col("cnt") / F.col("total")
     same_value = Window.partitionBy(*by, "value")
@@ -157,7 +159,7 @@ def text_drift(df: DataFrame, baselines: DataFrame, cols: list[str]) -> DataFram
         )
     )
     base = stats.where("is_base").select(*by, F.col("card").alias("b_card"))
-    pair = stats.where("NOT is_base").join(base, by)
+    pair = match(stats.where("NOT is_base"), base, by)
     found = {
         "DIST_DRIFT": F.least(F.greatest(F.col("total_diff"), F.lit(0.0)) / 2, F.lit(1.0)),
         "CARD_DRIFT": F.abs(F.col("card") - F.col("b_card")) / F.greatest(F.col("b_card"), F.lit(1)),

@@ -9,12 +9,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from relyframe.operators.keyed import match
 from relyframe.operators.quantiles import exact_quantiles
 from relyframe.session import with_broadcast
 
 TOP_VALUES = 10
 
 
+def named(name: str) -> Column:
+    """A column by its exact name, dots and quotes included."""
+    return F.col(quoted(name))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def percent(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part * F.lit(100.0) / whole).otherwise(F.lit(0.0))
 
@@ -23,9 +33,9 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     """Missing numbers have one form from here on."""
     return df.select(
         *[
-            F.nanvl(f.name, F.lit(None).cast(f.dataType)).alias(f.name)
+            F.nanvl(named(f.name), F.lit(None).cast(f.dataType)).alias(f.name)
             if isinstance(f.dataType, (T.DoubleType, T.FloatType))
-            else F.col(f.name)
+            else named(f.name)
             for f in df.schema.fields
         ]
     )
@@ -41,14 +51,14 @@ def value_columns(df: DataFrame, skip: list[str]) -> list[str]:
 
 def long_numbers(df: DataFrame, keep: list[str], cols: list[str]) -> DataFrame:
     """One row per numeric cell: ``keep``, ``column_name``, ``value``; nulls dropped."""
-    wide = df.select(*keep, *[F.col(c).cast("double").alias(c) for c in cols])
-    return wide.unpivot(keep, cols, "column_name", "value").where("value IS NOT NULL AND NOT isnan(value)")
+    wide = df.select(*keep, *[named(c).cast("double").alias(c) for c in cols])
+    return wide.unpivot(keep, [named(c) for c in cols], "column_name", "value").where("value IS NOT NULL AND NOT isnan(value)")
 
 
 def long_text(df: DataFrame, keep: list[str], cols: list[str]) -> DataFrame:
     """One row per cell as text; nulls dropped."""
-    wide = df.select(*keep, *[F.col(c).cast("string").alias(c) for c in cols])
-    return wide.unpivot(keep, cols, "column_name", "value").where("value IS NOT NULL")
+    wide = df.select(*keep, *[named(c).cast("string").alias(c) for c in cols])
+    return wide.unpivot(keep, [named(c) for c in cols], "column_name", "value").where("value IS NOT NULL")
 
 
 def table_summary(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -61,8 +71,8 @@ def table_summary(df: DataFrame, keys: list[str]) -> DataFrame:
     """
     df = nan_to_null(df)
     cols = value_columns(df, keys)
-    nulls = reduce(add, [F.when(F.col(c).isNull(), 1).otherwise(0) for c in cols])
-    same = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_c"))
+    nulls = reduce(add, [F.when(named(c).isNull(), 1).otherwise(0) for c in cols])
+    same = df.groupBy(*[named(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_c"))
     total = F.col("row_count") * len(cols)
     return (
         same.groupBy(*keys)
@@ -91,7 +101,8 @@ def column_stats(df: DataFrame, keys: list[str]) -> DataFrame:
     numeric = set(numeric_columns(df, keys))
     aggs = ["count(1) AS row_count"]
     for c in cols:
-        q = f"`{c}`"
+        q = quoted(c)
+        text = c.replace("\\", "\\\\").replace("'", "\\'")
         figures = dict.fromkeys(("min", "max", "mean", "std"), "double(NULL)")
         if c in numeric:
             figures = {
@@ -101,7 +112,7 @@ def column_stats(df: DataFrame, keys: list[str]) -> DataFrame:
                 "std": f"CASE WHEN count({q}) = 0 THEN NULL WHEN count({q}) < 2 THEN 0D ELSE stddev_samp(double({q})) END",
             }
         fields = {
-            "column_name": f"'{c}'",
+            "column_name": f"'{text}'",
             "missing_count": f"count_if({q} IS NULL)",
             "is_numeric": str(c in numeric).lower(),
             **figures,
@@ -109,7 +120,7 @@ def column_stats(df: DataFrame, keys: list[str]) -> DataFrame:
         body = ", ".join(f"'{n}', {e}" for n, e in fields.items())
         aggs.append(f"named_struct({body}) AS {q}")
     wide = df.groupBy(*keys).agg(*[F.expr(a) for a in aggs])
-    each = F.explode(F.array(*cols)).alias("e")
+    each = F.explode(F.array(*[named(c) for c in cols])).alias("e")
     return wide.select(*keys, "row_count", each).select(
         *keys, "row_count", "e.*", percent(F.col("e.missing_count"), F.col("row_count")).alias("missing_percent")
     )
@@ -136,11 +147,11 @@ def distinct_counts(df: DataFrame, keys: list[str], cols: list[str], approximate
     Long form keeps many columns in one shuffle, keyed by group and value, so
     a hot group is spread by its values.
     """
-    df = nan_to_null(df.select(*keys, *cols))
+    df = nan_to_null(df.select(*keys, *[named(c) for c in cols]))
     by, parts = [*keys, "column_name"], []
     for kind, names in _families(df, cols):
-        wide = df.select(*keys, *[F.col(c).cast(kind).alias(c) for c in names])
-        rows = wide.unpivot(keys, names, "column_name", "value").where("value IS NOT NULL")
+        wide = df.select(*keys, *[named(c).cast(kind).alias(c) for c in names])
+        rows = wide.unpivot(keys, [named(c) for c in names], "column_name", "value").where("value IS NOT NULL")
         if approximate:
             parts.append(rows.groupBy(*by).agg(F.approx_count_distinct("value").alias("unique_count")))
         else:
@@ -178,12 +189,11 @@ def outlier_counts(df: DataFrame, keys: list[str], cols: list[str], bounds: Data
     bounds = with_broadcast(iqr_bounds(df, keys, cols) if bounds is None else bounds)
     outside = (F.col("value") < F.col("lower_bound")) | (F.col("value") > F.col("upper_bound"))
     counted = (
-        long_numbers(df, keys, cols)
-        .join(bounds.select(*by, "lower_bound", "upper_bound"), by)
+        match(long_numbers(df, keys, cols), bounds.select(*by, "lower_bound", "upper_bound"), by)
         .groupBy(*by)
         .agg(F.count_if(outside).alias("outlier_count"))
     )
-    return bounds.join(counted, by)
+    return match(bounds, counted, by)
 
 
 def profile(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -201,9 +211,9 @@ def profile(df: DataFrame, keys: list[str]) -> DataFrame:
         .select(*by, F.transform("t", lambda r: F.concat(r["value"], F.lit("="), r["cnt"])).alias("t"))
         .select(*by, F.array_join("t", "|").alias("top_values"))
     )
-    out = column_stats(df, keys).join(unique, by, "left").join(tops, by, "left")
+    out = match(match(column_stats(df, keys), unique, by, "left"), tops, by, "left")
     if numeric:
-        out = out.join(outlier_counts(df, keys, numeric), by, "left")
+        out = match(out, outlier_counts(df, keys, numeric), by, "left")
     else:
         none = F.lit(None).cast("double")
         out = out.select("*", *[none.alias(c) for c in ("p25", "median", "p75")], none.cast("bigint").alias("outlier_count"))
@@ -242,7 +252,7 @@ def impute_median(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     med = exact_quantiles(long_numbers(df, keys, holes), by, "value", [0.5]).select(*by, F.get("q", F.lit(0)).alias("m"))
     wide = med.groupBy(*keys).agg(*[F.max(F.when(F.col("column_name") == c, F.col("m"))).alias(f"_m_{c}") for c in holes])
     if keys:
-        joined = df.join(with_broadcast(wide), keys, "left")
+        joined = match(df, with_broadcast(wide), keys, "left")
     else:  # one row of medians for the whole table
         one = wide.first() or [None] * len(holes)
         joined = df.select("*", *[F.lit(m).cast("double").alias(f"_m_{c}") for c, m in zip(holes, one)])

@@ -1,154 +1,88 @@
-"""Exact quantiles that never gather a large group in one task.
-
-A rank is found by narrowing: a sketch proposes cut points around every wanted
-rank, one pass counts rows between cut points, and only the intervals that
-really hold a wanted rank are expanded to their distinct values. The counts
-decide, so the answer is exact whatever the sketch proposed.
+"""Exact quantiles, ranks and previous rows that never gather a group in one task.
+
+There is one route for every size. Rows (for quantiles: distinct values with
+their counts) are range partitioned by group and order and stored; each range
+is numbered by itself and shifted by the totals of the ranges before it, one
+small row per group and range. A hot group is spread over as many ranges as it
+needs, a value that repeats is one row, and NULL is a group like any other.
+The number of ranges is ``spark.sql.shuffle.partitions``, which adaptive
+execution merges by bytes.
 """
 
 from __future__ import annotations
 
-import math
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from relyframe.operators.keyed import match
 from relyframe.session import settle, with_broadcast
 
-# Groups up to this many rows are simply sorted, each in one task (a few dozen MB).
-SMALL_GROUP = 1_000_000
-SKETCH_ACCURACY = 10_000
-_REACH = 0.0005
+
+def _ranges(df: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """The rows in stored ranges, ``_p`` ascending with the order inside each group."""
+    return settle(df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_p", F.spark_partition_id()))
+
+
+def _shifts(ranged: DataFrame, keys: list[str], weight: Column) -> DataFrame:
+    """Per group and range: rows in it (``_here``), before it (``_before``) and in the group (``n``)."""
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    here = ranged.groupBy(*keys, "_p").agg(F.sum(weight).alias("_here"))
+    return here.withColumns({"_before": F.coalesce(F.sum("_here").over(before), F.lit(0)), "n": F.sum("_here").over(group)})
 
 
-def exact_quantiles(
-    rows: DataFrame, keys: list[str], value: str, probs: list[float], small_group: int = SMALL_GROUP
-) -> DataFrame:
+def exact_quantiles(rows: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
     """Linear-interpolated quantiles of the non-null values of each group.
 
-    Returns ``keys``, ``n`` and ``q``, an array in the order of ``probs``.
+    Returns ``keys``, ``n`` and ``q``, an array in the order of ``probs``. Only
+    the ranges that hold a wanted rank are numbered.
     """
     whole = not keys
     if whole:
         rows, keys = rows.withColumn("_all", F.lit(0)), ["_all"]
     rows = rows.select(*keys, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v)")
-    largest = rows.groupBy(*keys).agg(F.count("_v").alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest <= small_group:
-        out = _sorted(rows, keys, probs)
-    else:
-        cut_at = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-_REACH, _REACH)})
-        cuts = F.percentile_approx("_v", cut_at, SKETCH_ACCURACY).alias("cuts")
-        out = _narrow(rows, keys, probs, with_broadcast(rows.groupBy(*keys).agg(cuts)), len(cut_at))
-    return out.drop("_all") if whole else out
-
-
-def _read_off(found: DataFrame, keys: list[str], probs: list[float], at) -> DataFrame:
-    """Interpolate between the two values around each wanted position."""
+    counted = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    ranged = _ranges(counted, keys, [F.col("_v")])
+    wanted = [(i, up, fn(F.lit(float(p)) * (F.col("n") - 1))) for i, p in enumerate(probs) for up, fn in ((0, F.floor), (1, F.ceil))]
+    within = lambda lo, hi: reduce(or_, [(r >= lo) & (r < hi) for _, _, r in wanted])
+    shifts = _shifts(ranged, keys, F.col("_c")).where(within(F.col("_before"), F.col("_before") + F.col("_here")))
+    upto = F.sum("_c").over(Window.partitionBy(*keys, "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)) + F.col("_before")
+    placed = match(ranged, with_broadcast(shifts), [*keys, "_p"]).withColumn("_upto", upto)
+    lo, hi = F.col("_upto") - F.col("_c"), F.col("_upto")
+    held = placed.where(within(lo, hi))
+
+    at = {(i, up): F.max(F.when((r >= lo) & (r < hi), F.col("_v"))) for i, up, r in wanted}
     out = []
     for i, p in enumerate(probs):
         pos = F.lit(float(p)) * (F.max("n") - 1)
-        lo, hi = at(i, False), at(i, True)
-        out.append(lo + (hi - lo) * (pos - F.floor(pos)))
-    return found.groupBy(*keys).agg(F.max("n").alias("n"), F.array(*out).alias("q"))
-
-
-def _sorted(rows: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
-    """Small groups: one shuffle by key, sorted, and the wanted positions picked."""
-    per_key = Window.partitionBy(*keys)
-    placed = rows.withColumns(
-        {"n": F.count(F.lit(1)).over(per_key), "r": F.row_number().over(per_key.orderBy("_v")) - 1}
-    )
-    spots = sorted({(fn, p) for p in probs for fn in ("floor", "ceil")})
-    wanted = " OR ".join(f"r = {fn}({float(p)}D * (n - 1))" for fn, p in spots)
-
-    def at(i: int, up: bool):
-        fn = "ceil" if up else "floor"
-        return F.expr(f"max(CASE WHEN r = {fn}({float(probs[i])}D * (n - 1)) THEN _v END)")
-
-    return _read_off(placed.where(wanted), keys, probs, at)
-
-
-def _narrow(rows: DataFrame, keys: list[str], probs: list[float], sketch: DataFrame, m: int) -> DataFrame:
-    # Number of cut points at or below the value: a plain sum, so it compiles.
-    interval = sum(F.when(F.col("_v") >= F.get("cuts", F.lit(i)), 1).otherwise(0) for i in range(m))
-    placed = rows.join(sketch.select(*keys, "cuts"), keys).select(*keys, interval.alias("_i"), "_v")
-
-    per_key = Window.partitionBy(*keys)
-    counts = (
-        placed.groupBy(*keys, "_i")
-        .agg(F.count(F.lit(1)).alias("c"))
-        .withColumn("n", F.sum("c").over(per_key))
-        .withColumn("below", F.sum("c").over(per_key.orderBy("_i")) - F.col("c"))
-    )
-    wanted = F.array(
-        *[
-            F.struct(F.lit(i).alias("i"), F.lit(up).alias("up"), fn(F.lit(float(p)) * (F.col("n") - 1)).alias("rank"))
-            for i, p in enumerate(probs)
-            for up, fn in ((0, F.floor), (1, F.ceil))
-        ]
-    )
-    targets = with_broadcast(
-        counts.withColumn("w", F.explode(wanted))
-        .where((F.col("w.rank") >= F.col("below")) & (F.col("w.rank") < F.col("below") + F.col("c")))
-        .select(*keys, "_i", "n", F.col("w.i").alias("i"), F.col("w.up").alias("up"), (F.col("w.rank") - F.col("below")).alias("r"))
-    )
-    run = Window.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    held = (
-        placed.join(targets.select(*keys, "_i").distinct(), [*keys, "_i"], "left_semi")
-        .groupBy(*keys, "_i", "_v")
-        .agg(F.count(F.lit(1)).alias("c"))
-        .withColumn("upto", F.sum("c").over(run))
-    )
-    found = held.join(targets, [*keys, "_i"]).where((F.col("r") < F.col("upto")) & (F.col("r") >= F.col("upto") - F.col("c")))
-
-    def at(i: int, up: bool):
-        return F.expr(f"max(CASE WHEN i = {i} AND up = {int(up)} THEN _v END)")
-
-    return _read_off(found, keys, probs, at)
-
-
-def rank_in_groups(df: DataFrame, keys: list[str], order: list, name: str = "rank", block: int = 200_000) -> DataFrame:
-    """Row numbers 1..n per group in the given order, which must be total.
-
-    When some group is larger than ``block`` rows, the rows are range
-    partitioned by group and order, stored, numbered inside each partition and
-    shifted by the rows that come before it.
-    """
-    sizes = settle(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
-    largest, total = sizes.agg(F.max("n"), F.sum("n")).first()
-    if (largest or 0) <= block:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    parts = max(2, math.ceil(total / block))
-    ranged = settle(
-        df.repartitionByRange(parts, *[F.col(k) for k in keys], *order).withColumn("_p", F.spark_partition_id())
-    )
-    before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    shift = with_broadcast(
-        ranged.groupBy(*keys, "_p")
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .select(*keys, "_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
-    )
+        out.append(at[i, 0] + (at[i, 1] - at[i, 0]) * (pos - F.floor(pos)))
+    found = held.groupBy(*keys).agg(F.max("n").alias("n"), F.array(*out).alias("q"))
+    return found.drop("_all") if whole else found
+
+
+def rank_in_groups(df: DataFrame, keys: list[str], order: list, name: str = "rank") -> DataFrame:
+    """Row numbers 1..n (bigint) per group in the given order, which must be total."""
+    ranged = _ranges(df, keys, order)
+    shifts = with_broadcast(_shifts(ranged, keys, F.lit(1)).select(*keys, "_p", "_before"))
     local = F.row_number().over(Window.partitionBy(*keys, "_p").orderBy(*order))
-    return (
-        ranged.join(shift, [*keys, "_p"])
-        .withColumn(name, (local + F.col("_before")).cast("int"))
-        .drop("_p", "_before")
-    )
+    return match(ranged, shifts, [*keys, "_p"]).withColumn(name, local + F.col("_before")).drop("_p", "_before")
 
 
-def previous_in_groups(
-    df: DataFrame, keys: list[str], order: list, value: str, name: str, default=None, block: int = SMALL_GROUP
-) -> DataFrame:
-    """``value`` of the row before, per group and order.
+def previous_in_groups(df: DataFrame, keys: list[str], order: list, value: str, name: str, default=None) -> DataFrame:
+    """``value`` of the row before, per group and order; ``default`` where there is none.
 
-    Small groups use a window. Otherwise the rows are numbered in range
-    partitions and each meets the row with the number before it, so a group
-    that holds much of the table is spread by number.
+    Inside a range the row before is at hand; the first row of a range takes
+    the last value of the range before it in its group.
     """
-    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest <= block:
-        return df.withColumn(name, F.lag(value, 1, default).over(Window.partitionBy(*keys).orderBy(*order)))
-    placed = rank_in_groups(df, keys, order, "_n", block)
-    before = placed.select(*keys, (F.col("_n") + 1).alias("_n"), F.col(value).alias(name))
-    out = placed.join(before, [*keys, "_n"], "left").drop("_n")
-    return out if default is None else out.withColumn(name, F.coalesce(name, F.lit(default)))
+    ranged = _ranges(df, keys, order)
+    local = Window.partitionBy(*keys, "_p").orderBy(*order)
+    placed = ranged.withColumns({"_first": F.row_number().over(local) == 1, "_last": F.lead(F.lit(1)).over(local).isNull(), name: F.lag(value).over(local)})
+    group = Window.partitionBy(*keys).orderBy("_p")
+    ends = placed.where("_last").select(*keys, "_p", F.col(value).alias("_end"))
+    edges = with_broadcast(ends.select(*keys, "_p", F.lag(F.struct("_end")).over(group).alias("_edge")))
+    found = match(placed, edges, [*keys, "_p"])
+    start = F.when(F.col("_edge").isNotNull(), F.col("_edge._end")).otherwise(F.lit(default))
+    return found.withColumn(name, F.when(F.col("_first"), start).otherwise(F.col(name))).drop("_p", "_first", "_last", "_edge")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from relyframe.operators.keyed import match
 from relyframe.session import with_broadcast
 
 
@@ -47,7 +48,7 @@ def share_of_total(counts: DataFrame, keys: list[str], count: str) -> DataFrame:
     counts keep their spread by value.
     """
     totals = with_broadcast(counts.groupBy(*keys).agg(F.sum(count).alias("_total")))
-    return counts.join(totals, keys).withColumn("share", F.col(count) / F.col("_total")).drop("_total")
+    return match(counts, totals, keys).withColumn("share", F.col(count) / F.col("_total")).drop("_total")
 
 
 def most_common(df: DataFrame, keys: list[str], column: str) -> DataFrame:
