@@ -1,11 +1,26 @@
-"""P: streaming monitors; each SQL is the batch twin."""
+"""P: streaming monitors over several deliveries with late rows; each SQL is the batch twin."""
 
 from pyspark.sql import functions as F
 
 from relyframe.catalog.registry import query, r4
+from relyframe.session import scratch
+from relyframe.sources.tables import table
 from relyframe.streaming import monitors as m
 
 
+def _feed(spark, root):
+    """Events in four deliveries by time; a tenth of the first delivery's users arrive with the last one."""
+    events = table(spark, root, "events")
+    lo, hi = events.agg(F.min("ts").cast("timestamp").cast("long"), F.max("ts").cast("timestamp").cast("long")).first()
+    share = (F.col("ts").cast("timestamp").cast("long") - F.lit(lo)) * 4 / F.lit((hi - lo or 1) + 1)
+    number = F.when((share < 1) & (F.xxhash64("user_id") % 10 == 0), 3).otherwise(F.floor(share).cast("int"))
+    path, most = scratch(spark, "feed"), 1
+    for i in range(4):
+        events.where(number == i).write.parquet(f"{path}/{i}")
+        most = max(most, len(spark.read.parquet(f"{path}/{i}").inputFiles()))
+    return m.event_stream(spark, f"{path}/*", events.schema, most)
+
+
 def _when(df):
     return df.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
@@ -16,7 +31,7 @@ def _when(df):
        FROM events, (SELECT unnest([0, 1, 2, 3]) AS i) GROUP BY 1, 2""",
 )
 def sliding_rate(spark, root):
-    return r4(_when(m.run_updates(m.rates(m.event_stream(spark, root)), ["window_start", "event_type"], "rates")))
+    return r4(_when(m.run(_feed(spark, root), m.rates())))
 
 
 @query(
@@ -26,7 +41,7 @@ def sliding_rate(spark, root):
               count(*) FILTER (WHERE value <= 250) AS le_250 FROM events GROUP BY 1, 2""",
 )
 def tumbling_histogram(spark, root):
-    return r4(_when(m.run_updates(m.histograms(m.event_stream(spark, root)), ["window_start", "event_type"], "hist")))
+    return r4(_when(m.run(_feed(spark, root), m.histograms())))
 
 
 RULES = [(1, "error_pct", ">", 30.0), (2, "mean_value", ">=", 60.0), (3, "mean_value", "<", 35.0)]
@@ -42,13 +57,12 @@ RULES = [(1, "error_pct", ">", 30.0), (2, "mean_value", ">=", 60.0), (3, "mean_v
 )
 def quality_alerts(spark, root):
     rules = spark.createDataFrame(RULES, "rule_id int, metric string, op string, threshold double")
-    out = m.run_updates(m.quality_alerts(m.event_stream(spark, root), rules), ["window_start", "rule_id", "metric"], "alerts")
-    return r4(_when(out))
+    return r4(_when(m.run(_feed(spark, root), m.quality_alerts(rules))))
 
 
 @query("p04_freshness_stream", "SELECT record_id AS event_id, delay_minutes, status FROM freshness_v")
 def freshness_stream(spark, root):
-    return m.run_append(m.freshness(m.event_stream(spark, root)), "fresh")
+    return m.run_append(m.freshness(_feed(spark, root)))
 
 
 @query(
@@ -57,4 +71,4 @@ def freshness_stream(spark, root):
               count(*) AS changes, count(*) FILTER (WHERE event_type = 'error') AS times_opened FROM events GROUP BY 1""",
 )
 def alert_states(spark, root):
-    return m.run_updates(m.alert_states(m.event_stream(spark, root)), ["alert_id"], "states")
+    return m.run(_feed(spark, root), m.alert_states())

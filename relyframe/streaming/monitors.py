@@ -1,101 +1,159 @@
-"""Continuous monitors as Structured Streaming queries over the event table."""
+"""Continuous monitors as Structured Streaming queries over the event table.
+
+Aggregates are kept as mergeable parts: every micro-batch writes its counts
+and sums per window to its own folder (a repeated batch overwrites its own, so
+nothing is counted twice), and a reader merges the parts. No row is dropped
+for being late, a figure is always that of all rows so far, and an alert that
+later rows clear is gone when it is read next. Rows that arrive further behind
+the newest event of earlier batches than ``lateness`` are also written to a
+side table and can be counted.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from relyframe.functions import scores
 from relyframe.operators.relational import compare
-from relyframe.session import scratch
+from relyframe.session import scratch, with_broadcast
 
-WATERMARK = "2 days"
+LATENESS = "2 days"
 # Upper bounds of the latency histogram.
 BUCKETS = [5.0, 10.0, 25.0, 50.0, 100.0, 250.0]
 
 
-def event_stream(spark: SparkSession, root: str) -> DataFrame:
-    """Events as they arrive in the folder; the clock column becomes a zoned timestamp."""
-    schema = spark.read.parquet(f"{root}/events.parquet").schema
-    raw = spark.readStream.schema(schema).parquet(f"{root}/events.parquet*")
-    return raw.withColumn("ts", F.col("ts").cast("timestamp"))
+def event_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
+    """Events as they arrive below the path; the clock column becomes a zoned timestamp."""
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@dataclass(frozen=True)
+class Monitor:
+    """Parts per micro-batch and how they are merged and shown."""
+
+    keys: list[str]
+    part: Callable[[DataFrame], DataFrame]
+    merge: Callable[[DataFrame], DataFrame]
 
 
-def run_updates(df: DataFrame, keys: list[str], label: str) -> DataFrame:
-    """Run a stream over what is available and return the newest row per key.
+def start(events: DataFrame, monitor: Monitor, folder: str, lateness: str = LATENESS, trigger: dict | None = None) -> StreamingQuery:
+    """Run a monitor below ``folder``, which holds its state: started again there, it goes on where it stopped.
 
-    Each micro-batch overwrites its own folder, so a repeated batch leaves no
-    second copy. State and output live in the shared folder.
+    ``trigger`` is what Spark's trigger() takes; by default what is available
+    is worked off and the query ends.
     """
-    spark = df.sparkSession
-    out, log = scratch(spark, label), scratch(spark, f"{label}-log")
+    spark = events.sparkSession
 
     def keep(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
-
-    query = (
-        df.writeStream.outputMode("update")
-        .foreachBatch(keep)
-        .option("checkpointLocation", log)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    rows = spark.read.option("basePath", out).parquet(out)
-    rest = [c for c in rows.columns if c not in (*keys, "batch")]
-    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r"))
-    return newest.select(*keys, "r.*")
-
-
-def run_append(df: DataFrame, label: str) -> DataFrame:
-    """Run a stateless stream over what is available into an append-only table."""
+        batch.persist()
+        newest = _newest(spark, folder, n)
+        if newest is not None:
+            late = batch.where(F.col("ts") < F.lit(newest) - F.expr(f"INTERVAL {lateness}"))
+            late.write.mode("overwrite").parquet(f"{folder}/late/batch={n}")
+        monitor.part(batch).write.mode("overwrite").parquet(f"{folder}/parts/batch={n}")
+        batch.agg(F.max("ts").alias("newest")).write.mode("overwrite").parquet(f"{folder}/clock/batch={n}")
+        batch.unpersist()
+
+    writer = events.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/log")
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def _below(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def _newest(spark: SparkSession, folder: str, before: int):
+    """The newest event time of the batches before this one."""
+    if not _below(spark, f"{folder}/clock"):
+        return None
+    seen = spark.read.option("basePath", f"{folder}/clock").parquet(f"{folder}/clock")
+    return seen.where(F.col("batch") < before).agg(F.max("newest")).first()[0]
+
+
+def figures(spark: SparkSession, monitor: Monitor, folder: str) -> DataFrame:
+    """The monitor's figures over everything that has arrived."""
+    return monitor.merge(spark.read.option("basePath", f"{folder}/parts").parquet(f"{folder}/parts").drop("batch"))
+
+
+def late_rows(spark: SparkSession, folder: str) -> DataFrame | None:
+    """Late rows with the batch that brought them; None before the second batch."""
+    return spark.read.option("basePath", f"{folder}/late").parquet(f"{folder}/late") if _below(spark, f"{folder}/late") else None
+
+
+def run(events: DataFrame, monitor: Monitor, folder: str | None = None, **options) -> DataFrame:
+    """Work off what is available and return the figures."""
+    folder = folder or scratch(events.sparkSession, "monitor")
+    start(events, monitor, folder, **options).awaitTermination()
+    return figures(events.sparkSession, monitor, folder)
+
+
+def run_append(df: DataFrame, folder: str | None = None, trigger: dict | None = None) -> DataFrame:
+    """Run a stateless stream into an append-only table below ``folder``."""
     spark = df.sparkSession
-    out, log = scratch(spark, label), scratch(spark, f"{label}-log")
-    query = (
-        df.writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", log)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return spark.read.schema(df.schema).parquet(out)
-
-
-def _window(df: DataFrame, size: str, slide: str | None = None) -> tuple[DataFrame, Column]:
-    return df.withWatermark("ts", WATERMARK), F.window("ts", size, slide) if slide else F.window("ts", size)
-
-
-def rates(events: DataFrame) -> DataFrame:
-    """Events per second by type over a sliding hour."""
-    df, w = _window(events, "1 hour", "15 minutes")
-    agg = df.groupBy(w.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
-    return agg.select(F.col("w.start").alias("window_start"), "event_type", "n", (F.col("n") / 3600.0).alias("rate"))
-
-
-def histograms(events: DataFrame) -> DataFrame:
-    """Count, sum and cumulative buckets of the value, by type and hour."""
-    df, w = _window(events, "1 hour")
-    agg = df.groupBy(w.alias("w"), "event_type").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum("value").alias("total"),
-        *[F.count_if(F.col("value") <= b).alias(f"le_{int(b)}") for b in BUCKETS],
-    )
-    return agg.select(F.col("w.start").alias("window_start"), *[c for c in agg.columns if c != "w"])
-
-
-def quality_alerts(events: DataFrame, rules: DataFrame) -> DataFrame:
-    """Error share and mean value per hour against the rules; only breaches are kept."""
-    df, w = _window(events, "1 hour")
-    agg = df.groupBy(w.alias("w")).agg(
-        (F.count_if(F.col("event_type") == "error") * 100.0 / F.count(F.lit(1))).alias("error_pct"),
-        F.avg("value").alias("mean_value"),
-    )
-    pair = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("error_pct", "mean_value")])
-    long = agg.select(F.col("w.start").alias("window_start"), F.explode(pair).alias("m")).select("window_start", "m.*")
-    hit = compare(F.col("value"), F.col("op"), F.col("threshold"))
-    return long.join(F.broadcast(rules), "metric").where(hit).select("window_start", "rule_id", "metric", "value")
+    folder = folder or scratch(spark, "append")
+    writer = df.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/log")
+    writer.trigger(**(trigger or {"availableNow": True})).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{folder}/rows")
+
+
+def _sums(keys: list[str], names: list[str]) -> Callable[[DataFrame], DataFrame]:
+    return lambda parts: parts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in names])
+
+
+def rates(size: str = "1 hour", slide: str = "15 minutes", seconds: float = 3600.0) -> Monitor:
+    """Events per second by type over a sliding window."""
+    keys = ["window_start", "event_type"]
+
+    def part(batch: DataFrame) -> DataFrame:
+        agg = batch.groupBy(F.window("ts", size, slide).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+        return agg.select(F.col("w.start").alias("window_start"), "event_type", "n")
+
+    return Monitor(keys, part, lambda parts: _sums(keys, ["n"])(parts).withColumn("rate", F.col("n") / F.lit(seconds)))
+
+
+def histograms(size: str = "1 hour") -> Monitor:
+    """Count, sum and cumulative buckets of the value, by type and window."""
+    keys, bounds = ["window_start", "event_type"], {f"le_{int(b)}": b for b in BUCKETS}
+
+    def part(batch: DataFrame) -> DataFrame:
+        agg = batch.groupBy(F.window("ts", size).alias("w"), "event_type").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), *[F.count_if(F.col("value") <= b).alias(c) for c, b in bounds.items()]
+        )
+        return agg.select(F.col("w.start").alias("window_start"), *[c for c in agg.columns if c != "w"])
+
+    return Monitor(keys, part, _sums(keys, ["n", "total", *bounds]))
+
+
+def quality_alerts(rules: DataFrame, size: str = "1 hour") -> Monitor:
+    """Error share and mean value per window against the rules; breaches of the figures so far."""
+    keys = ["window_start"]
+
+    def part(batch: DataFrame) -> DataFrame:
+        agg = batch.groupBy(F.window("ts", size).alias("w")).agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"), F.sum("value").alias("total"), F.count("value").alias("filled")
+        )
+        return agg.select(F.col("w.start").alias("window_start"), "n", "errors", "total", "filled")
+
+    def merge(parts: DataFrame) -> DataFrame:
+        s = _sums(keys, ["n", "errors", "total", "filled"])(parts)
+        pair = F.array(
+            F.struct(F.lit("error_pct").alias("metric"), (F.col("errors") * 100.0 / F.col("n")).alias("value")),
+            F.struct(F.lit("mean_value").alias("metric"), (F.col("total") / F.nullif(F.col("filled"), F.lit(0))).alias("value")),
+        )
+        long = s.select("window_start", F.explode(pair).alias("m")).select("window_start", "m.*")
+        hit = compare(F.col("value"), F.col("op"), F.col("threshold"))
+        return long.join(with_broadcast(rules), "metric").where(hit).select("window_start", "rule_id", "metric", "value")
+
+    return Monitor(keys, part, merge)
 
 
 def freshness(events: DataFrame) -> DataFrame:
@@ -106,16 +164,20 @@ def freshness(events: DataFrame) -> DataFrame:
     return df.select("event_id", "delay_minutes", scores.freshness_status(F.col("delay_minutes")).alias("status"))
 
 
-def alert_states(events: DataFrame) -> DataFrame:
+def alert_states() -> Monitor:
     """Newest state of each alert; an alert is opened, seen and resolved by events."""
-    state = (
-        F.when(F.col("event_type") == "error", "OPEN")
-        .when(F.col("event_type").isin("view", "click"), "ACKNOWLEDGED")
-        .otherwise("RESOLVED")
-    )
-    df = events.select(F.col("user_id").alias("alert_id"), state.alias("status"), "ts", "event_id")
-    return df.groupBy("alert_id").agg(
-        F.max_by("status", F.struct("ts", "event_id")).alias("status"),
-        F.count(F.lit(1)).alias("changes"),
-        F.count_if(F.col("status") == "OPEN").alias("times_opened"),
-    )
+
+    def state(kind: Column) -> Column:
+        return F.when(kind == "error", "OPEN").when(kind.isin("view", "click"), "ACKNOWLEDGED").otherwise("RESOLVED")
+
+    newest = lambda: F.max(F.struct("at", "status")).alias("newest")
+
+    def part(batch: DataFrame) -> DataFrame:
+        df = batch.select(F.col("user_id").alias("alert_id"), state(F.col("event_type")).alias("status"), F.struct("ts", "event_id").alias("at"))
+        return df.groupBy("alert_id").agg(newest(), F.count(F.lit(1)).alias("changes"), F.count_if(F.col("status") == "OPEN").alias("times_opened"))
+
+    def merge(parts: DataFrame) -> DataFrame:
+        best = parts.groupBy("alert_id").agg(F.max("newest").alias("newest"), F.sum("changes").alias("changes"), F.sum("times_opened").alias("times_opened"))
+        return best.select("alert_id", "newest.status", "changes", "times_opened")
+
+    return Monitor(["alert_id"], part, merge)
