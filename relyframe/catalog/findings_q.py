@@ -211,9 +211,17 @@ def schema_diff(spark, root):
     return schema.schema_changes(contracting.schema_facts(spark, root))
 
 
-@query("m05_semantic_catalog", "SELECT dataset_id, version_number, column_name, data_type, semantic_type, pii_class FROM catalog_v")
+@query(
+    "m05_semantic_catalog",
+    """SELECT dataset_id, version_number, column_name, data_type, semantic_type, pii_class,
+              CASE semantic_type || pii_class WHEN 'IDENTIFIERNONE' THEN 'Unique database identifier or foreign reference key.' WHEN 'PIIEMAIL' THEN 'Personally identifiable email address contact field.'
+                   WHEN 'PIIPHONE' THEN 'Personally identifiable telephone contact field.' WHEN 'PIINAME' THEN 'Personally identifiable name descriptor.'
+                   WHEN 'PIIADDRESS' THEN 'Personally identifiable postal street address.' WHEN 'PIIIP' THEN 'Network server Internet Protocol address.'
+                   WHEN 'FINANCIALNONE' THEN 'Corporate financial ledger metric currency value.' WHEN 'GEOGRAPHYNONE' THEN 'Geographical territorial location metadata.'
+                   WHEN 'TEMPORALNONE' THEN 'Temporal transaction audit log datetime marker.' ELSE 'Column containing raw ' || column_name || ' values.' END AS meaning FROM catalog_v""",
+)
 def semantic_catalog(spark, root):
-    return schema.semantic_catalog(schema.infer_types(inputs.raw_orders(spark, root), K)).drop("meaning")
+    return schema.semantic_catalog(schema.infer_types(inputs.raw_orders(spark, root), K))
 
 
 @query(

@@ -6,7 +6,7 @@ from relyframe.catalog.registry import query, r4
 from relyframe.plans import reports
 from relyframe.session import scratch
 from relyframe.sources import inputs, sinks
-from relyframe.sources.tables import load_table, read_csv, table
+from relyframe.sources.tables import NA_TOKENS, load_table, read_csv, table
 
 K = inputs.KEYS
 
@@ -36,6 +36,30 @@ def csv_scan(spark, root):
     )
 
 
+@query(
+    "a01_csv_inferred",
+    """SELECT 'bigint' AS key_type, 'double' AS price_type, 'string' AS text_type, count(*) AS row_count, count(*) FILTER (WHERE o_orderkey % 20 > 18) AS priced,
+              round(sum(o_totalprice) FILTER (WHERE o_orderkey % 20 > 18), 4) AS total, count(*) FILTER (WHERE o_orderkey % 3 = 0) AS bad, count(*) FILTER (WHERE o_orderkey % 2 = 0) AS broken_lines FROM orders""",
+)
+def csv_inferred(spark, root):
+    """All tokens for a missing price, a header in another order, quoted line breaks, and keys that do not fit a smaller type."""
+    tokens = F.array(*[F.lit(t) for t in NA_TOKENS])
+    n = (F.col("o_orderkey") % 20 + 1).cast("int")
+    path = scratch(spark, "csv")
+    table(spark, root, "orders").select(
+        F.when(n > len(NA_TOKENS), F.col("o_totalprice").cast("string")).otherwise(F.get(tokens, n - 1)).alias("price"),
+        F.concat(F.lit('say "so",'), F.when(F.col("o_orderkey") % 2 == 0, "\n").otherwise(" "), "o_orderpriority").alias("note"),
+        F.when(F.col("o_orderkey") % 3 == 0, "x1").otherwise("7").alias("small"),
+        "o_orderkey",
+    ).write.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    found = dict(read_csv(spark, path, multi_line=True).dtypes)
+    df = read_csv(spark, path, f"o_orderkey {found['o_orderkey']}, note {found['note']}, price {found['price']}, small int", multi_line=True, bad_cells="bad")
+    return r4(df.agg(
+        F.lit(found["o_orderkey"]).alias("key_type"), F.lit(found["price"]).alias("price_type"), F.lit(found["note"]).alias("text_type"), F.count(F.lit(1)).alias("row_count"),
+        F.count("price").alias("priced"), F.sum("price").alias("total"), F.sum("bad").cast("bigint").alias("bad"), F.count_if(F.col("note").contains("\n")).alias("broken_lines"),
+    ))
+
+
 @query(
     "a02_format_dispatch",
     """SELECT f AS format, count(*) AS row_count, CAST(sum(l_linenumber) AS BIGINT) AS lines, round(sum(l_quantity), 4) AS quantity
@@ -83,9 +107,14 @@ def append_findings(spark, root):
        UNION ALL SELECT o_custkey, count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) GROUP BY 1""",
 )
 def upsert(spark, root):
-    old = table(spark, root, "customer").select("c_custkey", F.lit(0).cast("bigint").alias("order_count"))
-    new = table(spark, root, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("order_count"))
-    return sinks.upsert(old, new, ["c_custkey"])
+    """Written into a table of 16 parts, of which the upsert rewrites those it touches."""
+    part = F.pmod("c_custkey", F.lit(16)).cast("int").alias("part")
+    path = scratch(spark, "upsert")
+    old = table(spark, root, "customer").select("c_custkey", F.lit(0).cast("bigint").alias("order_count"), part)
+    sinks.replace_by_key(old, path, ["part"])
+    new = table(spark, root, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("order_count")).withColumn("part", part)
+    sinks.upsert_table(new, path, ["c_custkey", "part"], ["part"])
+    return sinks.read_back(spark, path, "c_custkey bigint, order_count bigint, part int").select("c_custkey", "order_count")
 
 
 @query(

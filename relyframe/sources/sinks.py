@@ -6,28 +6,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from relyframe.operators.keyed import match
+from relyframe.session import settle
+
 
 def append_findings(df: DataFrame, path: str, by: list[str]) -> None:
     """Add rows to a fact table laid out by its run keys.
 
-    Rows are first gathered by those keys so each task writes few files; a
-    second hash spreads a hot key over several tasks.
+    A rebalance gathers rows by those keys, so each task writes few files, and
+    splits a hot key by bytes.
     """
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(8))
-    df.repartition(*by, spread).write.mode("append").partitionBy(*by).parquet(path)
+    df.hint("rebalance", *by).write.mode("append").partitionBy(*by).parquet(path)
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``new`` replace rows of ``old`` with the same key."""
-    kept = old.join(new.select(*keys).distinct(), keys, "left_anti")
-    return kept.unionByName(new, allowMissingColumns=True)
+    """Rows of ``new`` replace rows of ``old`` with the same key; NULL is a key.
+
+    Of several new rows with one key, the greatest by their other columns in
+    order stays.
+    """
+    rest = [F.col(c) for c in new.columns if c not in keys]
+    one = new.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_row")).select(*keys, "_row.*") if rest else new.distinct()
+    kept = match(old, one.select(*keys), keys, "left_anti")
+    return kept.unionByName(one, allowMissingColumns=True)
+
+
+def upsert_table(new: DataFrame, path: str, keys: list[str], by: list[str]) -> None:
+    """Upsert into a stored table laid out by ``by``, which are among the keys; only partitions that ``new`` touches are rewritten."""
+    old = new.sparkSession.read.parquet(path)
+    touched = match(old, new.select(*by).distinct(), by, "left_semi")
+    replace_by_key(settle(upsert(touched, new, keys)), path, by)
 
 
 def replace_by_key(df: DataFrame, path: str, by: list[str]) -> None:
     """Overwrite only the partitions whose keys appear in ``df``."""
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(8))
     (
-        df.repartition(*by, spread)
+        df.hint("rebalance", *by)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*by)
