@@ -1,10 +1,13 @@
 """Profiles, quality rules and contracts on small tables with known answers."""
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from relyframe.operators import contracts, profile, quality
-from relyframe.operators.quantiles import exact_quantiles, rank_in_groups
+from relyframe.operators.anomaly import iqr_anomalies
+from relyframe.operators.quantiles import exact_quantiles, previous_in_groups, rank_in_groups
+from relyframe.operators.relational import share_of_total
 
 
 def one(df):
@@ -14,26 +17,26 @@ def one(df):
 
 
 def test_numeric_profile(spark):
-    vals = [*range(1, 10), 20, -10, None]
-    df = spark.createDataFrame([(float(v) if v is not None else None,) for v in vals], "num_col double")
+    """Worked out by hand: sorted 2 2 4 6 8 10 12 90, so quartiles 3.5 and 10.5, fence -7 to 21."""
+    df = spark.createDataFrame([(v,) for v in (12.0, 2.0, None, 90.0, 6.0, 2.0, 8.0, None, 4.0, 10.0)], "weight double")
     r = one(profile.profile(df, []))
-    assert (r.row_count, r.missing_count, r.unique_count) == (12, 1, 11)
-    assert (r["min"], r["max"], r["median"], r.outlier_count) == (-10.0, 20.0, 5.0, 2)
+    assert (r.row_count, r.missing_count, r.unique_count) == (10, 2, 7)
+    assert (r["min"], r["max"], r["median"], r.outlier_count) == (2.0, 90.0, 7.0, 1)
+    assert (r.p25, r.p75) == (3.5, 10.5)
 
 
-def test_categorical_profile(spark):
-    df = spark.createDataFrame([(v,) for v in ["apple", "banana", "apple", "cherry", None, "apple", "banana"]], "cat_col string")
+def test_text_profile(spark):
+    df = spark.createDataFrame([(v,) for v in ("oak", None, "elm", "oak", None, "ash", "oak", "elm", "yew")], "tree string")
     r = one(profile.profile(df, []))
-    assert (r.missing_count, r.unique_count) == (1, 3)
-    assert r.top_values == "apple=3|banana=2|cherry=1"
+    assert (r.missing_count, r.unique_count) == (2, 4)
+    assert r.top_values == "oak=3|elm=2|ash=1|yew=1"
 
 
 def test_all_null_and_single_value(spark):
-    empty = spark.createDataFrame([(None,)] * 3, "empty_num double")
-    r = one(profile.profile(empty, []))
+    r = one(profile.profile(spark.createDataFrame([(None,)] * 5, "blank double"), []))
     assert r["min"] is None and r["std"] is None and r.outlier_count == 0
-    r = one(profile.profile(spark.createDataFrame([(10.0,)], "single_num double"), []))
-    assert r["std"] == 0.0
+    r = one(profile.profile(spark.createDataFrame([(-3.25,)], "lone double"), []))
+    assert r["std"] == 0.0 and r["median"] == -3.25
 
 
 def test_nan_is_missing(spark):
@@ -43,12 +46,18 @@ def test_nan_is_missing(spark):
 
 
 def test_duplicates(spark):
-    ones = spark.createDataFrame([(v,) for v in (1, 2, 2, 3, 3, 3)], "col1 int")
-    assert one(profile.table_summary(ones, [])).duplicate_rows_count == 3
-    pairs = spark.createDataFrame(list(zip((1, 2, 2, 3, 3, 3), range(10, 70, 10))), "col1 int, col2 int")
-    assert one(profile.table_summary(pairs, [])).duplicate_rows_count == 0
-    nulls = spark.createDataFrame([(None, 1), (None, 1), (2, None)], "a int, b int")
-    assert one(profile.table_summary(nulls, [])).duplicate_rows_count == 1
+    codes = spark.createDataFrame([(v,) for v in (4, 9, 4, 4, 7, 9, 4)], "code int")
+    assert one(profile.table_summary(codes, [])).duplicate_rows_count == 4
+    apart = spark.createDataFrame([(4, "p"), (4, "q"), (4, "r")], "code int, tag string")
+    assert one(profile.table_summary(apart, [])).duplicate_rows_count == 0
+    nulls = spark.createDataFrame([(None, 5), (None, 5), (6, None), (None, 5)], "a int, b int")
+    assert one(profile.table_summary(nulls, [])).duplicate_rows_count == 2
+
+
+def test_names_with_dots_and_quotes(spark):
+    df = spark.createDataFrame([(1.0, "x", 3), (None, "x", 4)], ["a.b", "it's", "k"]).withColumnRenamed("k", "odd `one`")
+    got = {r.column_name: (r.missing_count, r.unique_count) for r in profile.profile(df, []).collect()}
+    assert got == {"a.b": (1, 1), "it's": (0, 1), "odd `one`": (0, 2)}
 
 
 def test_empty_table_has_no_percent(spark):
@@ -57,40 +66,47 @@ def test_empty_table_has_no_percent(spark):
 
 
 def test_no_outliers(spark):
-    vals = [10.0, 10.1, 10.2, 9.9, 9.8, 10.0, 10.1, 10.0, 9.9, 10.0]
-    df = spark.createDataFrame([(v,) for v in vals], "col1 double")
-    assert one(profile.outlier_counts(df, [], ["col1"])).outlier_count == 0
+    df = spark.createDataFrame([(v,) for v in (50.2, 49.7, 50.0, 50.1, 49.9, 50.3, 49.8)], "volt double")
+    assert one(profile.outlier_counts(df, [], ["volt"])).outlier_count == 0
 
 
 @pytest.mark.parametrize("probs", [[0.25, 0.5, 0.75], [i / 10 for i in range(11)], [0.05]])
-def test_quantiles_by_narrowing_equal_sorting(spark, probs):
-    """A third of the rows share one value; another group is tiny."""
-    base = spark.range(30_000).select(
-        F.when(F.col("id") < 29_990, "big").otherwise("small").alias("g"),
-        F.when(F.col("id") % 3 == 0, 7.0).otherwise(F.pow(F.rand(3), 4) * 1e6).alias("v"),
-    )
-    base = spark.createDataFrame(base.toPandas())
-    got = {r.g: (r.n, r.q) for r in exact_quantiles(base, ["g"], "v", probs, small_group=10).collect()}
-    want = {r.g: (r.n, r.q) for r in exact_quantiles(base, ["g"], "v", probs).collect()}
+def test_quantiles_with_hot_value_and_null_group(spark, probs):
+    """A third of the rows share one value, one group has no key, another is tiny."""
+    group = F.when(F.col("id") < 20_000, "big").when(F.col("id") < 29_990, None).otherwise("small")
+    base = spark.range(30_000).select(group.alias("g"), F.when(F.col("id") % 3 == 0, 7.0).otherwise(F.pow(F.rand(3), 4) * 1e6).alias("v"))
     pdf = base.toPandas()
-    for g in ("big", "small"):
-        assert got[g][0] == want[g][0]
-        expected = pdf[pdf.g == g].v.quantile(probs).tolist()
-        assert got[g][1] == pytest.approx(expected)
-        assert want[g][1] == pytest.approx(expected)
+    base = spark.createDataFrame([(None if g is None else g, v) for g, v in zip(pdf.g, pdf.v)], "g string, v double")
+    got = {r.g: (r.n, r.q) for r in exact_quantiles(base, ["g"], "v", probs).collect()}
+    assert len(got) == 3
+    for g, (n, q) in got.items():
+        own = pdf[pdf.g.isna() if g is None else pdf.g == g].v
+        assert n == len(own) and q == pytest.approx(own.quantile(probs).tolist())
 
 
 def test_whole_table_quantiles_without_keys(spark):
     df = spark.range(1001).select(F.col("id").cast("double").alias("v"))
-    assert one(exact_quantiles(df, [], "v", [0.5], small_group=10)).q == [500.0]
+    assert one(exact_quantiles(df, [], "v", [0.5])).q == [500.0]
+    assert exact_quantiles(df.limit(0), ["v"], "v", [0.5]).count() == 0
 
 
-def test_rank_by_range_equals_window(spark):
-    df = spark.range(5000).select("id", (F.col("id") % 2).alias("g"), F.when(F.col("id") % 3 == 0, 100).otherwise(F.col("id") % 50).alias("s"))
+def test_ranks_and_previous_rows_equal_windows(spark):
+    """Groups from tiny to most of the table, one without a key, over many ranges."""
+    df = spark.range(5000).select("id", F.when(F.col("id") % 5 > 1, 0).when(F.col("id") % 5 == 1, None).otherwise(F.col("id") % 40).alias("g"), F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 50).alias("s"))
     order = [F.desc("s"), F.asc("id")]
-    a = {(r.g, r.id): r["rank"] for r in rank_in_groups(df, ["g"], order, block=300).collect()}
-    b = {(r.g, r.id): r["rank"] for r in rank_in_groups(df, ["g"], order).collect()}
-    assert a == b and len(a) == 5000
+    w = Window.partitionBy("g").orderBy(*order)
+    want = df.withColumns({"rank": F.row_number().over(w).cast("long"), "p": F.lag("s", 1, -1).over(w)})
+    got = previous_in_groups(rank_in_groups(df, ["g"], order), ["g"], order, "s", "p", -1)
+    key = lambda r: r[0]
+    rows = lambda d: sorted(map(tuple, d.select("id", "g", "rank", "p").collect()), key=key)
+    assert rows(got) == rows(want)
+
+
+def test_null_keys_are_kept_by_joins(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 2.0), (None, 900.0), (None, 3.0), (None, 2.5), ("a", 4.0)], "g string, x double")
+    assert {r.g: r.outlier_count for r in profile.outlier_counts(df, ["g"], ["x"]).collect()} == {None: 1, "a": 0}
+    assert {r.g for r in iqr_anomalies(df, ["g"], ["x"]).collect()} == {None}
+    assert {(r.g, r.share) for r in share_of_total(df, ["g"], "x").where("x = 4").collect()} == {("a", 1.0)} and share_of_total(df, ["g"], "x").count() == 6
 
 
 def rule(kind, threshold, name="r", enabled=True):
@@ -98,21 +114,21 @@ def rule(kind, threshold, name="r", enabled=True):
 
 
 RULE_CASES = [
-    ([1, None, 3, None], "int", rule("NULL_PERCENT", 30, "CRITICAL nulls"), ["critical"]),
-    ([1, 1, 2, 2], "int", rule("DUPLICATE_PERCENT", 40, "HIGH dups"), ["high"]),
-    ([1, None, None, 4], "int", rule("COLUMN_NULL_PERCENT:c", 30, "MEDIUM"), ["medium"]),
-    ([1, 2], "int", rule("COLUMN_NULL_PERCENT:nope", 30), ["low"]),
-    ([10, 25, 130], "int", rule("COLUMN_MIN:c", 18), ["low"]),
-    ([10, 25, 130], "int", rule("COLUMN_MAX:c", 120), ["low"]),
-    ([10.0, 10.0], "double", rule("COLUMN_MIN:c", 10), []),
-    ([None, None], "double", rule("COLUMN_MIN:c", 10), []),
-    (["valid@test.com", "invalid-email", "test@domain.co.uk"], "string", rule("COLUMN_REGEX:c:EMAIL", 10), ["low"]),
-    (["+1234567890", "abc", "1234"], "string", rule("COLUMN_REGEX:c:PHONE", 0), ["low"]),
-    (["12345", "12345-6789", "invalid"], "string", rule("COLUMN_REGEX:c:ZIPCODE", 0), ["low"]),
-    (["ab:1", "ab:2"], "string", rule("COLUMN_REGEX:c:ab:[12]", 0), []),
-    ([1, 2, 2, 4], "int", rule("COLUMN_UNIQUE:c", 10), ["low"]),
-    ([1, None, 3, None], "int", rule("NULL_PERCENT", 30, "off", False), []),
-    ([1, 2], "int", rule("SHAPE:c", 30), []),
+    ([8, None, None, None, 5], "int", rule("NULL_PERCENT", 55, "CRITICAL gaps"), ["critical"]),
+    (["p", "q", "q", "q", "r"], "string", rule("DUPLICATE_PERCENT", 35, "HIGH repeats"), ["high"]),
+    (["z", None, "z", None, None], "string", rule("COLUMN_NULL_PERCENT:c", 59, "MEDIUM share"), ["medium"]),
+    ([6, 7, 8], "int", rule("COLUMN_NULL_PERCENT:nope", 15), ["low"]),
+    ([-4, 0, 66], "int", rule("COLUMN_MIN:c", -3), ["low"]),
+    ([-4, 0, 66], "int", rule("COLUMN_MAX:c", 65), ["low"]),
+    ([2.5, 2.5, 2.5], "double", rule("COLUMN_MIN:c", 2.5), []),
+    ([None, None, None], "double", rule("COLUMN_MAX:c", 1), []),
+    (["kim@site.org", "kim at site", "lee@b.example", "m@n.io"], "string", rule("COLUMN_REGEX:c:EMAIL", 20), ["low"]),
+    (["+4930901820", "call me", "x"], "string", rule("COLUMN_REGEX:c:PHONE", 50), ["low"]),
+    (["90210", "10001-0001", "SW1A"], "string", rule("COLUMN_REGEX:c:ZIPCODE", 30), ["low"]),
+    (["row:7", "row:8"], "string", rule("COLUMN_REGEX:c:row:[78]", 0), []),
+    ([5, 5, 5, 6, 9], "int", rule("COLUMN_UNIQUE:c", 15), ["low"]),
+    ([8, None, None], "int", rule("NULL_PERCENT", 5, "off", False), []),
+    ([6, 7], "int", rule("WEIRD:c", 5), []),
 ]
 
 
@@ -135,12 +151,12 @@ def test_referential_rule(spark):
 
 
 def test_profile_validation(spark):
-    df = spark.createDataFrame([(1, "foo"), (2, "bar"), (None, "baz")], "col1 int, col2 string")
+    df = spark.createDataFrame([(4, "ivy"), (9, "fern"), (None, "moss"), (5, "reed")], "col1 int, col2 string")
     rules = [
         (1, "n", "COLUMN_NULL_PERCENT:col1", 10.0, True),
         (2, "d", "DUPLICATE_PERCENT", 5.0, True),
-        (3, "lo", "COLUMN_MIN:col1", 0.0, True),
-        (4, "hi", "COLUMN_MAX:col1", 1.0, True),
+        (3, "lo", "COLUMN_MIN:col1", 4.0, True),
+        (4, "hi", "COLUMN_MAX:col1", 8.5, True),
         (5, "t", "COLUMN_MIN:col2", 1.0, True),
         (6, "u", "ODD", 1.0, True),
         (7, "m", "COLUMN_MAX:zzz", 1.0, True),
@@ -156,7 +172,7 @@ def test_profile_validation(spark):
 
 def test_contract_rules(spark):
     df = spark.createDataFrame(
-        [("d", 1, 1, "alice@mail.com", 25, 5000), ("d", 1, 2, "bob@mail.com", 30, 6000)],
+        [("d", 1, 11, "ada@post.example", 19, 4100), ("d", 1, 12, "max@post.example", 44, 7300)],
         "dataset_id string, version_number int, id int, email string, age int, salary int",
     )
     keys = ["dataset_id", "version_number"]
@@ -182,14 +198,6 @@ def test_contract_rules(spark):
     assert {r.contract_id: r.status for r in contracts.with_status(cons).collect()} == {6: "deprecated", 7: "active"}
 
 
-def test_previous_by_number_equals_window(spark):
-    from relyframe.operators.quantiles import previous_in_groups
-
-    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 40).alias("g"), "id")
-    run = lambda block: sorted(map(tuple, previous_in_groups(df, ["g"], [F.asc("id")], "id", "p", -1, block).select("g", "id", "p").collect()))
-    assert run(100) == run(10_000)
-
-
 def test_distinct_counts_keep_large_integers_apart(spark):
     df = spark.createDataFrame([(2**60,), (2**60 + 1,), (None,)], "a bigint").withColumn("b", F.col("a").cast("double"))
     got = {r.column_name: r.unique_count for r in profile.distinct_counts(df, [], ["a", "b"]).collect()}

@@ -1,7 +1,9 @@
 """Readers, writers and the catalogue against DuckDB on the smallest tables."""
 
 import os
+import re
 import sys
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from oracle_check import connect, differences  # noqa: E402
 from relyframe.session import scratch, shared_dir, small_rows  # noqa: E402
 from relyframe.sources import sinks  # noqa: E402
 from relyframe.sources.tables import NA_TOKENS, format_of, load_table, read_csv  # noqa: E402
+from relyframe.streaming import monitors  # noqa: E402
 
 
 def test_na_tokens_become_null(spark):
@@ -25,14 +28,67 @@ def test_na_tokens_become_null(spark):
 
 def test_format_dispatch():
     assert format_of("x/y.parquet") == "parquet" and format_of("f", "application/json") == "json"
-    assert format_of("z.orc") == "orc" and format_of("unknown") == "csv"
+    assert format_of("z.orc") == "orc" and format_of("dir.x/part.csv/") == "csv"
+    for name in ("unknown", "book.xlsx", "a.parquet/readme.txt"):
+        with pytest.raises(ValueError):
+            format_of(name)
 
 
 def test_load_table_infers_csv(spark):
     path = scratch(spark, "csv") + ".csv"
     spark.createDataFrame([(1, "a"), (2, "n/a")], "k int, s string").write.option("header", True).csv(path)
     df = load_table(spark, path)
-    assert dict(df.dtypes)["k"] == "int" and df.where("s IS NULL").count() == 1
+    assert dict(df.dtypes)["k"] == "bigint" and df.where("s IS NULL").count() == 1
+
+
+def test_csv_takes_columns_by_name(spark):
+    path = scratch(spark, "named")
+    spark.createDataFrame([("21", "3", "left"), ("N/A", "four", "right\nside")], "b string, a string, c string").write.option("header", True).option("escape", '"').csv(path)
+    df = read_csv(spark, path, "a int, b double", multi_line=True, bad_cells="bad")
+    assert sorted(map(tuple, df.collect()), key=str) == [(3, 21.0, 0), (None, None, 1)]
+    assert dict(read_csv(spark, path, multi_line=True).dtypes) == {"b": "bigint", "a": "string", "c": "string"}
+    with pytest.raises(ValueError):
+        read_csv(spark, path, "a int, d int")
+
+
+def test_csv_types_need_every_value(spark):
+    path = scratch(spark, "types")
+    rows = [("1.5", "true", "9", "9" * 20, "1"), ("N/A", "NULL", "8", "3", "x"), ("2.5", "FALSE", "nan", "4", "2")]
+    spark.createDataFrame(rows, "num string, flag string, whole string, huge string, odd string").write.option("header", True).csv(path)
+    df = read_csv(spark, path)
+    assert dict(df.dtypes) == {"num": "double", "flag": "boolean", "whole": "bigint", "huge": "double", "odd": "string"}
+    assert df.agg(F.sum("num"), F.sum("whole")).first() == (4.0, 17)
+
+
+def test_upsert_into_a_table(spark):
+    path = scratch(spark, "ups")
+    sinks.replace_by_key(spark.createDataFrame([(1, "a", 0), (2, "b", 0), (None, "n", 1)], "k int, v string, p int"), path, ["p"])
+    new = spark.createDataFrame([(2, "B", 0), (2, "C", 0), (None, "N", 1), (7, "g", 5)], "k int, v string, p int")
+    sinks.upsert_table(new, path, ["k", "p"], ["p"])
+    got = {tuple(r) for r in spark.read.parquet(path).select("k", "v", "p").collect()}
+    assert got == {(1, "a", 0), (2, "C", 0), (None, "N", 1), (7, "g", 5)}
+
+
+EVENT = "event_id long, ts timestamp, user_id long, event_type string, value double"
+
+
+def test_monitors_over_batches(spark):
+    """An early breach is withdrawn, a row a week late is counted and listed, and a stopped stream goes on."""
+    feed, folder = scratch(spark, "feed"), scratch(spark, "watch")
+    rules = spark.createDataFrame([(1, "error_pct", ">", 30.0)], "rule_id int, metric string, op string, threshold double")
+    watch = monitors.quality_alerts(rules)
+
+    def arrive(name, rows):
+        spark.createDataFrame(rows, EVENT).write.parquet(f"{feed}/{name}")
+        monitors.start(monitors.event_stream(spark, f"{feed}/*", EVENT), watch, folder).awaitTermination()
+        return [(str(r.window_start), round(r.value, 1)) for r in monitors.figures(spark, watch, folder).collect()]
+
+    at = lambda day, minute: datetime(2024, 3, day, 10, minute)
+    assert arrive("a", [(i, at(9, i), 1, "error", 1.0) for i in range(4)]) == [("2024-03-09 10:00:00", 100.0)]
+    assert monitors.late_rows(spark, folder) is None
+    assert arrive("b", [(10 + i, at(9, i), 1, "view", 1.0) for i in range(40)]) == []
+    assert arrive("c", [(90, at(2, 0), 1, "error", 1.0)]) == [("2024-03-02 10:00:00", 100.0)]
+    assert [(r.event_id, r.batch) for r in monitors.late_rows(spark, folder).collect()] == [(90, 2)]
 
 
 def test_upsert_and_replace(spark):
@@ -67,7 +123,8 @@ def test_entry(spark):
 
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert len(entry.queries()) - len(entry.oracle_sql()) == 2
+    own = lambda names: {n for n in names if not re.match(r"op\d+_|pipeline$", n)}
+    assert own(entry.queries()) - own(entry.oracle_sql()) == {"k03_isolation_forest", "k04_lof_orders"}
 
 
 @pytest.mark.parametrize("name", sorted(entry.queries()))
@@ -75,6 +132,6 @@ def test_catalogue(spark, root, name):
     got = entry.queries()[name](spark, root).toPandas()
     sql = entry.oracle_sql().get(name)
     if sql is None:
-        assert len(got) > 0
+        assert len(got) > 0 or name.startswith("op2_")  # the smallest tables may hold no leak
     else:
         assert differences(got, connect(root).execute(sql).df()) is None
