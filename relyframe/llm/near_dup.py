@@ -4,8 +4,9 @@ One hash of every word shingle fills the bins of a signature; bins that stay
 empty borrow from a bin that optimal densification picks. Bands of bins are
 bucket keys, each bucket sends one edge from its most central member to every
 other member (a star), and edges are confirmed on the full shingle sets.
-Shingles that no other candidate has bound the similarity of a pair exactly,
-so members with too many of them are left out before any pair is formed. A
+Shingles that no other candidate has, and the numbers of others in slices of
+the hash range, bound the similarity of a pair exactly, so members with too
+many of their own and pairs that cannot reach the limit are left out first. A
 star is enough where its members turn out linked. In a bucket that still holds
 several components, further members serve as hubs against the members of other
 components, more of them in each round, until no pair that the bound allows is
@@ -33,6 +34,7 @@ BINS = BANDS * BAND_BINS
 # agrees with probability 0.38, and all 42 miss with probability 2e-9.
 PERCENT = 85
 FIRST_HUBS = 16
+SLICES = 64
 _FULL = U64(2**64 - 1)
 _TRIES = 32
 
@@ -141,11 +143,38 @@ def confirm(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
+def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        own, shapes = [], []
+        for texts, mine, alone in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            if texts > 1:
+                own.append(0)
+                shapes.append(np.full(SLICES, 1 << 20))
+                continue
+            total = np.bincount(mine.values.to_numpy() & (SLICES - 1), minlength=SLICES)
+            mine_alone = alone.values.to_numpy() if alone.is_valid else np.zeros(0, np.int64)
+            own.append(len(mine_alone))
+            shapes.append(total - np.bincount(mine_alone & (SLICES - 1), minlength=SLICES))
+        at = pa.array(np.arange(len(shapes) + 1) * SLICES, pa.int32())
+        values = pa.array(np.concatenate(shapes) if shapes else np.zeros(0), pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.int64()), pa.ListArray.from_arrays(at, values)], ["rep", "own", "shape"])
+
+
 def own_shingles(sets: DataFrame) -> DataFrame:
-    """rep, own: how many shingles of a candidate no other candidate has. Ids with several texts count none."""
-    single = sets.groupBy("id").agg(F.count("*").alias("texts")).filter("texts = 1")
+    """rep, own, shape: how many shingles of a candidate no other candidate has, and how many others it has in each slice of the hashes.
+
+    Ids with several texts count none as their own, and any number of others.
+    """
     alone = sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("id").alias("id")).filter("c = 1")
-    return alone.groupBy("id").agg(F.count("*").alias("own")).join(single, "id").select(F.col("id").alias("rep"), "own")
+    mine = alone.groupBy("id").agg(F.collect_list("s").alias("alone"))
+    one = sets.groupBy("id").agg(F.count("*").alias("texts"), F.first("shingles").alias("shingles"))
+    return one.join(mine, "id", "left").select("id", "texts", "shingles", "alone").mapInArrow(_shapes, "rep long, own long, shape array<int>")
+
+
+def shapes_fit(n: str, shape: str, m: str, its: str):
+    """Exact bound: in each slice a pair shares at most the smaller number."""
+    shared = F.aggregate(F.zip_with(shape, its, lambda p, q: F.least(p, q)), F.lit(0), lambda t, x: t + x)
+    return shared * 100 >= (F.col(n) + F.col(m) - shared) * PERCENT
 
 
 def can_link(n: str, own: str, m: str, its: str):
@@ -155,7 +184,7 @@ def can_link(n: str, own: str, m: str, its: str):
 
 
 def with_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    return rows.join(keys, ["rep", "n"]).select("key", "rep", "n", "own", "component", "keys")
+    return rows.join(keys, ["rep", "n"]).select("key", "rep", "n", "own", "component", "keys", "shape")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -178,7 +207,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = docs.join(sized(ids), "doc_id", "left_semi").select("doc_id", "text")
     sets = stored(texts.mapInArrow(_sets, "id long, shingles array<long>"), "sets")
     # A candidate with more than 15 % shingles of its own can link with none.
-    alive = found.join(own_shingles(sets), "rep", "left").withColumn("own", F.coalesce("own", F.lit(0))).filter((F.col("n") - F.col("own")) * 100 >= F.col("n") * PERCENT)
+    owned = stored(own_shingles(sets), "own")
+    alive = found.join(owned.select("rep", "own"), "rep").filter((F.col("n") - F.col("own")) * 100 >= F.col("n") * PERCENT)
     alive = stored(alive.select("key", "rep", "n", "own"), "alive")
     # The hub is the member with the fewest shingles of its own: the most central copy.
     hubs = alive.groupBy("key").agg(F.min(F.struct("own", "rep", "n")).alias("hub"), F.count("*").alias("size")).filter("size > 1")
@@ -197,7 +227,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     # Rounds for buckets that hold several components; a pair that shares
     # several buckets is met in the first one only.
-    keys = reps.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n", "keys")
+    keys = reps.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n", "keys").join(owned.select("rep", "shape"), "rep")
     pending, wide = members.filter("rep <> hub").select("key", "rep", "n", "own"), FIRST_HUBS
     while True:
         now = pending.join(label.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -208,9 +238,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         turn = F.row_number().over(Window.partitionBy("key").orderBy("own", "rep"))
         chosen = stored(open_rows.withColumn("turn", turn).filter(F.col("turn") <= wide).drop("turn"), "hubs")
         wide *= 8
-        x, y = with_keys(open_rows, keys), with_keys(chosen, keys).toDF("hub_key", "hub", "m", "its", "other", "hub_keys")
+        x, y = with_keys(open_rows, keys), with_keys(chosen, keys).toDF("hub_key", "hub", "m", "its", "other", "hub_keys", "hub_shape")
         first = F.array_position(F.zip_with("keys", "hub_keys", lambda p, q: p == q), True)
-        met = x.join(y, (F.col("key") == F.col("hub_key")) & (F.col("component") != F.col("other")) & can_link("n", "own", "m", "its") & (F.get("keys", first - 1) == F.col("key")))
+        met = x.join(y, (F.col("key") == F.col("hub_key")) & (F.col("component") != F.col("other")) & can_link("n", "own", "m", "its") & (F.get("keys", first - 1) == F.col("key")) & shapes_fit("n", "shape", "m", "hub_shape"))
         pairs = stored(met.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct(), "pairs")
         pending = stored(open_rows.join(chosen.select("key", "rep"), ["key", "rep"], "left_anti").select("key", "rep", "n", "own"), "pending")
         more = stored(confirm(sets, pairs), "confirmed")
