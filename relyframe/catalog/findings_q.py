@@ -167,15 +167,31 @@ def _pairs(spark, root):
 
 @query(
     "m01_version_delta",
-    f"""SELECT p.dataset_id, source_version, target_version, t.row_count - s.row_count AS row_delta, t.column_count - s.column_count AS column_delta,
+    f"""SELECT p.dataset_id, source_version, target_version, t.row_count - s.row_count AS row_delta, tc.c - sc.c AS column_delta,
               round(t.health_score - s.health_score, 4) + 0.0 AS health_delta, round(t.quality_score - s.quality_score, 4) + 0.0 AS quality_delta,
               round(t.anomaly_score - s.anomaly_score, 4) + 0.0 AS anomaly_delta, round(t.drift_score - s.drift_score, 4) + 0.0 AS drift_delta
        FROM {_PAIRS} p JOIN reports_v s ON s.dataset_id = p.dataset_id AND s.version_number = source_version
-       JOIN reports_v t ON t.dataset_id = p.dataset_id AND t.version_number = target_version""",
+       JOIN reports_v t ON t.dataset_id = p.dataset_id AND t.version_number = target_version
+       JOIN (SELECT dataset_id, version_number, count(*) AS c FROM schema_rows GROUP BY ALL) sc ON sc.dataset_id = p.dataset_id AND sc.version_number = source_version
+       JOIN (SELECT dataset_id, version_number, count(*) AS c FROM schema_rows GROUP BY ALL) tc ON tc.dataset_id = p.dataset_id AND tc.version_number = target_version""",
 )
 def version_delta(spark, root):
+    """Columns are those that each version of the raw table has."""
     r = reports.reports(spark, root)
-    return r4(schema.version_deltas(r, r, _pairs(spark, root)))
+    raw = profile.column_stats(inputs.raw_orders(spark, root), K)
+    return r4(schema.version_deltas(schema.present_summary(raw, contracting.schema_facts(spark, root)), r, _pairs(spark, root)))
+
+
+@query(
+    "d03_present_columns",
+    """SELECT dataset_id, version_number, n AS row_count, count(*) AS column_count, CAST(sum(n - filled) AS BIGINT) AS missing_cells_count, round(sum(n - filled) * 100.0::DOUBLE / (max(n) * count(*)), 4) AS missing_cells_percent
+       FROM (SELECT dataset_id, version_number, column_name, count(*) AS filled FROM raw_long GROUP BY ALL) JOIN (SELECT dataset_id, version_number, count(*) AS n FROM dirty_orders GROUP BY ALL) USING (dataset_id, version_number)
+       GROUP BY dataset_id, version_number, n""",
+)
+def present_columns(spark, root):
+    """Missing cells of a version do not count columns that it does not have."""
+    raw = inputs.raw_orders(spark, root)
+    return r4(schema.present_summary(profile.column_stats(raw, K), schema.infer_types(raw, K)))
 
 
 @query(

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from relyframe.catalog.registry import query, r4
 from relyframe.functions import scores
 from relyframe.plans import governance, insight, platform, reports, trends
-from relyframe.sources import inputs
+from relyframe.session import scratch
+from relyframe.sources import inputs, sinks
 from relyframe.sources.tables import table
 
 K = inputs.KEYS
@@ -135,7 +136,7 @@ def report_quality(spark, root):
               CAST(TIMESTAMP '2024-02-01' + INTERVAL 90 DAY AS VARCHAR) AS expires_at, printf('health=%.1f, quality=%.1f, SLA=%.1f%%, incidents=%d', health, quality, sla, o) AS notes
        FROM (SELECT n.dataset_id, n.health_score AS health, n.quality_score AS quality, n.overall_drift_score AS drift, s.compliance_pct AS sla, coalesce(i.c, 0) AS o
              FROM newest_v n JOIN sla_v s USING (dataset_id) JOIN dataset_dim d USING (dataset_id)
-             LEFT JOIN (SELECT dataset_no, version_number, count(*) AS c FROM incidents_v WHERE status = 'OPEN' AND severity = 'critical' AND value > 200 GROUP BY ALL) i
+             LEFT JOIN (SELECT dataset_no, version_number, count(*) AS c FROM incidents_v WHERE status = 'OPEN' GROUP BY ALL) i
                ON i.dataset_no = d.dataset_no AND i.version_number = n.version_number)""",
 )
 def certification(spark, root):
@@ -334,10 +335,12 @@ def cost_by_resource(spark, root):
 def retention_purge(spark, root):
     policies = inputs.datasets(spark, root).where("dataset_no <> 5").select("dataset_id", (F.col("dataset_no") * 365).alias("retention_days"))
     rows = table(spark, root, "orders").select(F.col("o_orderpriority").alias("dataset_id"), F.col("o_orderdate").alias("created_at"))
-    marked = insight.purge(rows, policies, "2001-08-01 00:00:00")
-    return marked.groupBy("dataset_id").agg(
-        F.count_if("purged").alias("purged_count"), F.count_if(~F.col("purged")).alias("survivors")
-    )
+    path, shape = scratch(spark, "retention"), "created_at timestamp_ntz, dataset_id string"
+    sinks.replace_by_key(rows, path, ["dataset_id"])
+    purged = insight.purge_table(path, shape, policies, "2001-08-01 00:00:00")
+    left = spark.read.schema(shape).parquet(path).groupBy("dataset_id").agg(F.count(F.lit(1)).alias("survivors"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return rows.select("dataset_id").distinct().join(purged, "dataset_id", "left").join(left, "dataset_id", "left").select("dataset_id", zero("purged_count"), zero("survivors"))
 
 
 @query(

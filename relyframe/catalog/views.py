@@ -413,14 +413,20 @@ JOIN (SELECT dataset_id, version_number, cause AS root_cause FROM (
       FROM drift_v WHERE severity <> 'LOW' GROUP BY ALL)) WHERE r = 1) USING (dataset_id, version_number)"""
 
 VIEWS["recs_v"] = """
-SELECT dataset_id, version_number, 'QUALITY_REMEDIATION' AS recommendation_type, severity AS priority, 'Resolve Quality Failure in ' || coalesce(column_name, 'dataset') AS title, message AS evidence
+SELECT * EXCLUDE (message), 'Title: ' || title || chr(10) || 'Why: ' || why || chr(10) || 'Evidence: ' || evidence || coalesce(message, '') AS description FROM (
+SELECT dataset_id, version_number, 'QUALITY_REMEDIATION' AS recommendation_type, severity AS priority, 'Resolve Quality Failure in ' || coalesce(column_name, 'dataset') AS title,
+       'This recommendation was generated because the quality check failed.' AS why,
+       'Rule failed on column ''' || coalesce(column_name, 'None') || '''. Actual value: ' || coalesce(printf('%.4f', actual_value), 'None') || '. Expected threshold: ' || coalesce(printf('%.4f', expected_value), 'None') || '.' AS evidence,
+       chr(10) || 'Message: ' || message AS message
 FROM violations_v WHERE severity IN ('high', 'critical')
 UNION ALL
 SELECT dataset_id, version_number, 'ANOMALY_INVESTIGATION', CASE WHEN outlier_count > 5 THEN 'high' ELSE 'medium' END, 'Investigate Outliers in Column ' || column_name,
-       printf('Detected %d anomaly points using algorithm iqr.', outlier_count) FROM outliers_v WHERE outlier_count > 0
+       'Generated due to a high density of outlier points detected in ''' || column_name || '''.',
+       printf('Detected %d anomaly points using algorithm iqr.', outlier_count), NULL FROM outliers_v WHERE outlier_count > 0
 UNION ALL
 SELECT dataset_id, version_number, 'DRIFT_REVIEW', CASE severity WHEN 'HIGH' THEN 'high' ELSE 'medium' END, 'Review Drift in Column ' || column_name,
-       printf('Metric ''%s'' score is %.4f (Severity: %s).', drift_metric, drift_score, severity) FROM drift_v WHERE severity <> 'LOW'"""
+       'Generated due to significant data drift detected compared to baseline.',
+       printf('Metric ''%s'' score is %.4f (Severity: %s).', drift_metric, drift_score, severity), NULL FROM drift_v WHERE severity <> 'LOW')"""
 
 VIEWS["triggers_v"] = """
 SELECT dataset_id, version_number, 'critical' AS severity, 'Critical Dataset Health Score Breach' AS title,

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from relyframe.operators.profile import long_text, value_columns
+from relyframe.operators.keyed import match
+from relyframe.operators.profile import long_text, percent, value_columns
 
 KEYS = ["dataset_id", "version_number"]
 
@@ -59,7 +60,7 @@ def infer_types(df: DataFrame, keys: list[str]) -> DataFrame:
         F.bool_and(v.rlike(_BOOLEAN)).alias("bools"),
     )
     full = F.col("filled") == F.col("row_count")
-    return kinds.join(rows, keys).select(
+    return match(kinds, rows, keys).select(
         *keys,
         "column_name",
         F.when(F.col("ints") & full, "int64")
@@ -145,8 +146,25 @@ def sensitivity(catalog: DataFrame, prior: DataFrame | None = None) -> DataFrame
     return now.select("dataset_id", "pii_columns", level.otherwise("PUBLIC").alias("sensitivity_level"))
 
 
+def present_summary(stats: DataFrame, schema: DataFrame) -> DataFrame:
+    """Rows, columns and missing cells of each version over the columns it has.
+
+    ``stats``: row_count and missing_count per version and column; ``schema``:
+    the columns of each version. Versions share one wide table, in which a
+    column that a version lacks would otherwise count as missing throughout.
+    """
+    own = match(stats, schema.select(*KEYS, "column_name").distinct(), [*KEYS, "column_name"], "left_semi")
+    missing, cells = F.sum("missing_count"), F.max("row_count") * F.count(F.lit(1))
+    return own.groupBy(*KEYS).agg(
+        F.max("row_count").alias("row_count"),
+        F.count(F.lit(1)).alias("column_count"),
+        missing.alias("missing_cells_count"),
+        percent(missing, cells).alias("missing_cells_percent"),
+    )
+
+
 def version_deltas(summary: DataFrame, reports: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Row, column and score differences between the two versions of each pair."""
+    """Row, column and score differences between the two versions of each pair; ``summary`` counts the columns a version has."""
     scores = ["health_score", "quality_score", "anomaly_score", "drift_score"]
     facts = summary.select(*KEYS, "row_count", "column_count").join(reports.select(*KEYS, *scores), KEYS, "left")
 

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from relyframe.functions import scores
 from relyframe.operators import relational
+from relyframe.operators.keyed import match
+from relyframe.session import settle
+from relyframe.sources import sinks
 from relyframe.sources.inputs import KEYS
 
 # Weights and labels of the root-cause and summary reports.
@@ -35,6 +38,12 @@ QUALITY_TITLE, ANOMALY_TITLE, DRIFT_TITLE = (
     "Investigate Outliers in Column ",
     "Review Drift in Column ",
 )
+# Why a recommendation is made, its evidence, and how both are written down.
+QUALITY_WHY = "This recommendation was generated because the quality check failed."
+QUALITY_EVIDENCE = "Rule failed on column '%s'. Actual value: %s. Expected threshold: %s."
+ANOMALY_WHY = "Generated due to a high density of outlier points detected in '%s'."
+DRIFT_WHY = "Generated due to significant data drift detected compared to baseline."
+DESCRIPTION = "Title: %s\nWhy: %s\nEvidence: %s"
 ANOMALY_EVIDENCE = "Detected %d anomaly points using algorithm %s."
 DRIFT_EVIDENCE = "Metric '%s' score is %.4f (Severity: %s)."
 LOW_HEALTH = ("Critical Dataset Health Score Breach", "Dataset health score dropped to %.2f, breaching the threshold limit.")
@@ -131,30 +140,43 @@ def drift_causes(drifts: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def recommendations(violations: DataFrame, anomalies: DataFrame, drifts: DataFrame, algorithm: str = "iqr") -> DataFrame:
-    """What to look at, from the three kinds of findings."""
-    shape = [*KEYS, "recommendation_type", "priority", "title", "evidence"]
+    """What to look at, from the three kinds of findings, with the reason and a description.
+
+    Figures in the evidence of failed rules have four decimals; a figure that
+    could not be computed is written as None.
+    """
+    shape = [*KEYS, "recommendation_type", "priority", "title", "why", "evidence", "message"]
+    figure = lambda c: F.when(F.col(c).isNull(), "None").otherwise(F.format_string("%.4f", c))
     fix = violations.where(F.col("severity").isin("high", "critical")).select(
         *KEYS,
         F.lit("QUALITY_REMEDIATION").alias("recommendation_type"),
         F.col("severity").alias("priority"),
         F.concat(F.lit(QUALITY_TITLE), F.coalesce("column_name", F.lit("dataset"))).alias("title"),
-        F.col("message").alias("evidence"),
+        F.lit(QUALITY_WHY).alias("why"),
+        F.format_string(QUALITY_EVIDENCE, F.coalesce("column_name", F.lit("None")), figure("actual_value"), figure("expected_value")).alias("evidence"),
+        F.col("message").alias("message"),
     )
     look = anomalies.where("anomaly_count > 0").select(
         *KEYS,
         F.lit("ANOMALY_INVESTIGATION").alias("recommendation_type"),
         F.when(F.col("anomaly_count") > 5, "high").otherwise("medium").alias("priority"),
         F.concat(F.lit(ANOMALY_TITLE), "column_name").alias("title"),
+        F.format_string(ANOMALY_WHY, "column_name").alias("why"),
         F.format_string(ANOMALY_EVIDENCE, "anomaly_count", F.lit(algorithm)).alias("evidence"),
+        F.lit(None).cast("string").alias("message"),
     )
     review = drifts.where(F.col("severity").isin("MEDIUM", "HIGH")).select(
         *KEYS,
         F.lit("DRIFT_REVIEW").alias("recommendation_type"),
         F.when(F.col("severity") == "HIGH", "high").otherwise("medium").alias("priority"),
         F.concat(F.lit(DRIFT_TITLE), "column_name").alias("title"),
+        F.lit(DRIFT_WHY).alias("why"),
         F.format_string(DRIFT_EVIDENCE, "drift_metric", "drift_score", "severity").alias("evidence"),
+        F.lit(None).cast("string").alias("message"),
     )
-    return fix.select(shape).unionByName(look.select(shape)).unionByName(review.select(shape))
+    found = fix.select(shape).unionByName(look.select(shape)).unionByName(review.select(shape))
+    written = F.concat(F.format_string(DESCRIPTION, "title", "why", "evidence"), F.coalesce(F.concat(F.lit("\nMessage: "), "message"), F.lit("")))
+    return found.withColumn("description", written).drop("message")
 
 
 def priority_score(priority: Column) -> Column:
@@ -275,6 +297,27 @@ def purge(rows: DataFrame, policies: DataFrame, as_of: str) -> DataFrame:
     )
 
 
+def purge_table(path: str, schema: str, policies: DataFrame, as_of: str) -> DataFrame:
+    """Rewrites the datasets of a stored table (partitions by dataset_id) that hold rows past their retention; purged rows per dataset.
+
+    Survivors are settled before their partitions are replaced. Partitions of
+    which nothing survives are deleted.
+    """
+    spark = policies.sparkSession
+    stored = spark.read.schema(schema).parquet(path)
+    marked = purge(stored, policies, as_of)
+    counts = settle(marked.groupBy("dataset_id").agg(F.count_if("purged").alias("purged_count")).where("purged_count > 0"))
+    touched = match(marked, counts.select("dataset_id"), ["dataset_id"], "left_semi")
+    left = settle(touched.where("NOT coalesce(purged, false)").select(*stored.columns))
+    emptied = match(counts.select("dataset_id"), left.select("dataset_id").distinct(), ["dataset_id"], "left_anti")
+    sinks.replace_by_key(left, path, ["dataset_id"])
+    where = spark._jvm.org.apache.hadoop.fs.Path
+    fs = where(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for r in emptied.toLocalIterator():  # one name per emptied dataset
+        fs.delete(where(path, f"dataset_id={r.dataset_id}"), True)
+    return counts
+
+
 def rank_movement(boards: DataFrame) -> DataFrame:
     """``boards``: category, dataset_id, refresh, rank. The first refresh is flat."""
     before = F.lag("rank").over(Window.partitionBy("category", "dataset_id").orderBy("refresh"))

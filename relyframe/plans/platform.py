@@ -92,8 +92,8 @@ def intelligence(spark: SparkSession, root: str) -> DataFrame:
 
 
 def open_by_version(spark: SparkSession, root: str) -> DataFrame:
-    """Open escalations per version: critical incidents with a value above 200."""
-    i = inputs.incidents(spark, root).where("status = 'OPEN' AND severity = 'critical' AND value > 200")
+    """Open incidents per version, of any severity."""
+    i = inputs.incidents(spark, root).where("status = 'OPEN'")
     counts = i.groupBy("dataset_no", "version_number").agg(F.count(F.lit(1)).alias("open_count"))
     return counts.join(inputs.datasets(spark, root), "dataset_no").select("dataset_id", "version_number", "open_count")
 
