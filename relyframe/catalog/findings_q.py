@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from relyframe.catalog.registry import query, r4
 from relyframe.operators import anomaly, drift, profile, schema
 from relyframe.plans import contracting, reports
-from relyframe.session import spread
 from relyframe.sources import inputs
 from relyframe.sources.tables import table
 
@@ -55,7 +54,7 @@ def isolation_forest(spark, root):
     from relyframe.operators.forest import isolation_forest as detect
 
     cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-    li = spread(table(spark, root, "lineitem").select("l_orderkey", "l_linenumber", *cols))
+    li = table(spark, root, "lineitem").select("l_orderkey", "l_linenumber", *cols)
     found = detect(li, ["l_orderkey", "l_linenumber"], cols)
     return r4(found.select("l_orderkey", "l_linenumber", *[F.get("x", F.lit(i)).alias(c) for i, c in enumerate(cols)], "score"))
 
@@ -255,6 +254,13 @@ def sensitivity(spark, root):
     return per.select(*K, F.when(F.max("pii").over(upto) > 0, "CONFIDENTIAL").otherwise("PUBLIC").alias("sensitivity_level"))
 
 
-@query("m06_dataset_sensitivity", "SELECT dataset_id, pii_columns, sensitivity_level FROM sensitivity_v")
+@query(
+    "m06_dataset_sensitivity",
+    """SELECT dataset_id, count(*) FILTER (WHERE version_number = 7 AND semantic_type = 'PII') AS pii_columns,
+              CASE WHEN bool_or(semantic_type = 'PII') THEN 'CONFIDENTIAL' ELSE 'PUBLIC' END AS sensitivity_level FROM catalog_v GROUP BY dataset_id""",
+)
 def dataset_sensitivity(spark, root):
-    return schema.sensitivity(schema.semantic_catalog(contracting.schema_facts(spark, root)))
+    """The newest version's columns, with the level that earlier versions gave."""
+    catalog = schema.semantic_catalog(contracting.schema_facts(spark, root))
+    before = schema.sensitivity(catalog.where(F.col("version_number") < inputs.LAST_VERSION))
+    return schema.sensitivity(catalog.where(F.col("version_number") == inputs.LAST_VERSION), before)

@@ -45,11 +45,11 @@ def rule_strings(spark, root):
     o = table(spark, root, "orders")
     rx = F.concat(F.lit("COLUMN_REGEX:"), "o_orderstatus", F.lit(":"), "o_orderpriority")
     ref = F.concat(F.lit("REFERENTIAL:k"), "o_custkey", F.lit("->orders:c"), "o_orderkey")
-    row = lambda text: F.struct(F.lit(0).alias("rule_id"), F.lit("").alias("rule_name"), text.alias("rule_type"), F.lit(0.0).alias("threshold"), F.lit(True).alias("enabled"))
-    a = quality.split_rules(o.select("o_orderkey", row(rx).alias("r")).select("o_orderkey", "r.*"), ["o_orderkey"])
-    b = quality.split_rules(o.select("o_orderkey", row(ref).alias("r")).select("o_orderkey", "r.*"), ["o_orderkey"])
-    b = b.select("o_orderkey", F.col("column_name").alias("ref_column"), "target_table", "target_column")
-    return a.select("o_orderkey", "kind", "column_name", "pattern").join(b, "o_orderkey")
+    rule = lambda text: [F.lit(0).alias("rule_id"), F.lit("").alias("rule_name"), text.alias("rule_type"), F.lit(0.0).alias("threshold"), F.lit(True).alias("enabled")]
+    first = quality.split_rules(o.select("o_orderkey", ref.alias("ref"), *rule(rx)), ["o_orderkey", "ref"])
+    first = first.select("o_orderkey", "ref", F.struct("kind", "column_name", "pattern").alias("first"))
+    both = quality.split_rules(first.select("o_orderkey", "first", *rule(F.col("ref"))), ["o_orderkey", "first"])
+    return both.select("o_orderkey", "first.*", F.col("column_name").alias("ref_column"), "target_table", "target_column")
 
 
 @query(

@@ -13,6 +13,11 @@ def _pairs(spark, root):
     return fact_table(spark, root, "reach", lambda: graph.reach_all(inputs.edges(spark, root)))
 
 
+def _asked(spark, root):
+    """Datasets in the red: those whose lineage is asked for."""
+    return table(spark, root, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("root"))
+
+
 def _names(spark, root):
     return table(spark, root, "customer").select(F.col("c_custkey").alias("k"), "c_name")
 
@@ -20,12 +25,13 @@ def _names(spark, root):
 @query(
     "o01_upstream_closure",
     """SELECT r.root, e.src, e.dst, e.relationship, coalesce(c_name, 'Unknown') AS dataset_name
-       FROM (SELECT node AS root, root AS at FROM reach_v UNION SELECT dst, dst FROM edges_v) r JOIN edges_v e ON e.dst = r.at LEFT JOIN customer ON c_custkey = e.src""",
+       FROM (SELECT node AS root, root AS at FROM reach_v UNION SELECT dst, dst FROM edges_v) r JOIN edges_v e ON e.dst = r.at
+       LEFT JOIN customer ON c_custkey = e.src WHERE r.root IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)""",
 )
 def upstream_closure(spark, root):
-    e = inputs.edges(spark, root)
-    back = _pairs(spark, root).select(F.col("node").alias("root"), F.col("root").alias("node"))
-    met = graph.closure_edges(graph.flipped(e), back)
+    back = graph.flipped(inputs.edges(spark, root))
+    asked = _asked(spark, root)
+    met = graph.closure_edges(back, graph.reach_from(back, asked), asked)
     met = met.select("root", F.col("dst").alias("src"), F.col("src").alias("dst"), "relationship")
     n = _names(spark, root).withColumnRenamed("k", "src")
     return met.join(n, "src", "left").select("root", "src", "dst", "relationship", F.coalesce("c_name", F.lit("Unknown")).alias("dataset_name"))
@@ -34,10 +40,12 @@ def upstream_closure(spark, root):
 @query(
     "o02_downstream_closure",
     """SELECT r.root, e.src, e.dst, e.relationship, coalesce(c_name, 'Unknown') AS dataset_name
-       FROM (SELECT root, node AS at FROM reach_v UNION SELECT src, src FROM edges_v) r JOIN edges_v e ON e.src = r.at LEFT JOIN customer ON c_custkey = e.dst""",
+       FROM (SELECT root, node AS at FROM reach_v UNION SELECT src, src FROM edges_v) r JOIN edges_v e ON e.src = r.at
+       LEFT JOIN customer ON c_custkey = e.dst WHERE r.root IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)""",
 )
 def downstream_closure(spark, root):
-    met = graph.closure_edges(inputs.edges(spark, root), _pairs(spark, root))
+    asked, edges = _asked(spark, root), inputs.edges(spark, root)
+    met = graph.closure_edges(edges, graph.reach_from(edges, asked), asked)
     n = _names(spark, root).withColumnRenamed("k", "dst")
     return met.join(n, "dst", "left").select("root", "src", "dst", "relationship", F.coalesce("c_name", F.lit("Unknown")).alias("dataset_name"))
 

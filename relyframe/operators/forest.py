@@ -60,24 +60,16 @@ def _grow(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _sample(rows: DataFrame, n: int, order: list[str], trees: int, sample: int) -> DataFrame:
-    """Up to ``sample`` rows for each tree, chosen by hash.
+    """Up to ``sample`` rows for each tree, chosen by the hash of row and tree.
 
-    Hash thresholds keep about twice the rows needed before anything is
-    shuffled. On large tables each kept row serves one tree, on small tables
-    every tree draws from all rows.
+    Every tree draws from all rows, whatever their number; a threshold on the
+    hash keeps about twice the rows needed before anything is shuffled.
     """
     span = 1 << 62
+    below = int(min(1.0, 2.0 * sample / n) * span)
     hashed = rows.select(F.xxhash64(F.lit(SEED), *order, "x").alias("h"), "x")
-    if n > 2 * trees * sample:
-        share = 2.0 * trees * sample / n
-        drawn = hashed.where(F.pmod("h", F.lit(span)) < int(share * span)).withColumn(
-            "tree", F.pmod(F.xxhash64("h"), F.lit(trees)).cast("int")
-        )
-    else:
-        share = min(1.0, 2.0 * sample / n)
-        drawn = hashed.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        if share < 1.0:
-            drawn = drawn.where(F.pmod(F.xxhash64("h", "tree"), F.lit(span)) < int(share * span))
+    mine = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64("h", t), F.lit(span)) < below)
+    drawn = hashed.select("h", "x", F.explode(mine).alias("tree"))
     w = Window.partitionBy("tree").orderBy(F.xxhash64("h", "tree"), "x")
     return drawn.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= sample).select("tree", "x")
 

@@ -54,11 +54,9 @@ def flipped(edges: DataFrame) -> DataFrame:
     return edges.withColumnsRenamed({"src": "_d", "dst": "_s"}).withColumnsRenamed({"_d": "dst", "_s": "src"})
 
 
-def closure_edges(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+def closure_edges(edges: DataFrame, pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """Edges met on a walk from each root: those leaving the root or a reached node."""
-    starts = pairs.select("root", F.col("node").alias("src")).unionByName(
-        edges.select(F.col("src").alias("root"), "src")
-    )
+    starts = pairs.select("root", F.col("node").alias("src")).unionByName(roots.select("root", F.col("root").alias("src")))
     return starts.distinct().join(edges, "src").select("root", *edges.columns)
 
 
@@ -82,26 +80,75 @@ def impact(pairs: DataFrame, nodes: DataFrame, change_type: Column) -> DataFrame
     )
 
 
-def meets_cycle(edges: DataFrame, peels: int = 4) -> DataFrame:
+def _chain_ends(single: DataFrame) -> DataFrame:
+    """(src, dst): where the chain of single ways out that starts at src ends; NULL if it never does.
+
+    Every round doubles the steps taken twice, so a chain of n nodes is
+    followed in log4(n) stored rounds; what still moves after more steps than
+    there are nodes runs in a loop.
+    """
+    steps, n = settle(single), single.count()
+
+    def double(s: DataFrame) -> DataFrame:
+        ahead = s.select(F.col("src").alias("dst"), F.col("dst").alias("far"))
+        return s.select("src", "dst").join(ahead, "dst", "left").select("src", F.coalesce("far", "dst").alias("dst"), F.col("far").isNotNull().alias("moves"))
+
+    for _ in range(max(1, n).bit_length() // 2 + 1):
+        steps = settle(double(double(steps)))
+        if not _any(steps.where("moves")):
+            break
+    still = steps.join(single.select(F.col("src").alias("dst"), F.lit(True).alias("on")), "dst", "left")
+    return still.select("src", F.when(F.col("on").isNull(), F.col("dst")).alias("dst"))
+
+
+def _peeled(live: DataFrame, loops: DataFrame, peels: int = 4) -> DataFrame:
+    """Edges that are left when those into nodes without a way out go, several times over."""
+    for _ in range(peels):
+        onward = live.select(F.col("src").alias("dst")).union(loops.select(F.col("node").alias("dst"))).distinct()
+        live = live.join(onward, "dst", "left_semi").select("src", "dst")
+    return live
+
+
+def meets_cycle(edges: DataFrame) -> DataFrame:
     """For each node, whether a walk from it can come to a cycle.
 
-    Edges into nodes without a way out are dropped again and again; what
-    remains leads to a cycle. No path pairs are formed.
+    Edges into dead ends are dropped, and chains of nodes with one way out are
+    followed to their end at once, in turns; what remains in the end leads to a
+    cycle. No path pairs are formed.
     """
     live = settle(edges.select("src", "dst").distinct())
-    left = live.count()
-    while left:
-        step = live
-        for _ in range(peels):
-            step = step.join(step.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-        live = settle(step)
-        now = live.count()
-        if now == left:
-            break
-        left = now
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    looped = live.select(F.col("src").alias("node")).distinct().withColumn("_c", F.lit(True))
-    return nodes.join(looped, "node", "left").select("node", F.coalesce("_c", F.lit(False)).alias("meets_cycle"))
+    loops = nodes.where("false")  # nodes known to meet a cycle
+    ends: list[DataFrame] = []  # per turn: (src, dst) of the chains followed
+    while True:
+        before, live = live.count(), settle(_peeled(live, loops))
+        left = live.count()
+        if not left:
+            break
+        if left < 0.9 * before:
+            continue  # dropping is still quick, as in wide, flat graphs
+        single = settle(live.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("dst")).where("n = 1").select("src", "dst"))
+        if not _any(single):
+            if left < before:
+                continue
+            # Nothing to follow and nothing to drop: every way goes on for ever.
+            loops = settle(loops.union(live.select(F.col("src").alias("node"))).distinct())
+            break
+        chains = settle(_chain_ends(single))
+        ends.append(chains)
+        # Ways out of branching nodes, followed through chains; a way into a loop decides.
+        wide = live.join(single.select("src"), "src", "left_anti")
+        far = chains.select(F.col("src").alias("dst"), F.col("dst").alias("far"), F.lit(True).alias("chained"))
+        onward = settle(wide.join(far, "dst", "left").select("src", F.when(F.col("chained"), F.col("far")).otherwise(F.col("dst")).alias("dst")).distinct())
+        looped = chains.where("dst IS NULL").select(F.col("src").alias("node"))
+        hit = onward.where("dst IS NULL").select(F.col("src").alias("node"))
+        known = onward.join(loops.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node"))
+        loops = settle(loops.union(looped).union(hit).union(known).distinct())
+        live = settle(onward.where("dst IS NOT NULL").join(loops.select(F.col("node").alias("src")), "src", "left_anti").select("src", "dst"))
+    for chains in reversed(ends):
+        found = chains.join(loops.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node"))
+        loops = settle(loops.union(found).distinct())
+    return nodes.join(loops.withColumn("_c", F.lit(True)), "node", "left").select("node", F.coalesce("_c", F.lit(False)).alias("meets_cycle"))
 
 
 def version_lineage(versions: DataFrame, explicit: DataFrame | None = None) -> DataFrame:

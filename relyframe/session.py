@@ -88,16 +88,6 @@ def with_broadcast(small: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(kept) if size <= limit else kept
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Use every core when a file scan arrives in fewer pieces than there are cores.
-
-    For work that is heavy per row. On large inputs there are many more pieces
-    than cores and the scan is returned as it is.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores, *scan.columns) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def together(*builds):
     """Run independent jobs at the same time; Spark shares the executors among them."""
     with ThreadPoolExecutor(max_workers=len(builds)) as pool:

@@ -196,6 +196,39 @@ def test_freshness(spark):
     assert (m[2].freshness_score, m[2].sla_breach, m[2].average_delay_minutes) == (100.0, False, 0.0)
 
 
+def test_cycles_in_mixed_graphs(spark):
+    """Chains, branches, dead ends, loops behind branches and a loop of branching nodes, against a walk."""
+    edges = [(1, 2), (2, 3), (3, 1), (4, 1), (5, 6), (6, 7), (5, 4), (8, 9), (8, 6), (10, 11), (10, 12), (11, 10), (12, 10), (11, 12), (13, 10), (13, 7), (14, 13), (15, 15), (16, 17), (16, 18), (17, 19), (18, 19), (19, 20)]
+    after = {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+    nodes = {n for e in edges for n in e}
+
+    def reach(n):
+        seen, todo = set(), [n]
+        while todo:
+            for m in after.get(todo.pop(), ()):
+                if m not in seen:
+                    seen.add(m)
+                    todo.append(m)
+        return seen
+
+    loops = {n for n in nodes if n in reach(n)}
+    got = {r.node: r.meets_cycle for r in graph.meets_cycle(spark.createDataFrame(edges, "src int, dst int")).collect()}
+    assert got == {n: bool(({n} | reach(n)) & loops) for n in nodes}
+
+
+def test_long_chain_needs_few_rounds(spark, monkeypatch):
+    rounds = []
+    plain = graph.settle
+    monkeypatch.setattr(graph, "settle", lambda df: rounds.append(1) or plain(df))
+    chain = spark.range(10_000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert graph.meets_cycle(chain).where("meets_cycle").count() == 0 and len(rounds) < 20
+    rounds.clear()
+    ring = chain.select("src", F.when(F.col("src") == 9_999, 5_000).otherwise(F.col("dst")).alias("dst"))
+    assert graph.meets_cycle(ring).where("meets_cycle").count() == 10_000 and len(rounds) < 20
+
+
 def test_graph(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 2), (4, 4), (5, 6), (6, 7), (7, 8), (8, 9), (9, 10)], "src int, dst int")
     pairs = graph.reach_all(e)
@@ -210,6 +243,9 @@ def test_graph(spark):
     nodes = spark.createDataFrame([(n,) for n in (1, 4, 9, 10, 5)], "root int")
     risk = {r.root: (r.affected, r.risk) for r in graph.impact(pairs, nodes, F.lit("data_change")).collect()}
     assert risk == {1: (2, "HIGH"), 4: (0, "LOW"), 9: (1, "MEDIUM"), 10: (0, "LOW"), 5: (5, "CRITICAL")}
+    asked = spark.createDataFrame([(5,), (2,)], "root int")
+    met = {(r.root, r.src, r.dst) for r in graph.closure_edges(e, graph.reach_from(e, asked), asked).collect()}
+    assert met == {(2, 2, 3), (2, 3, 2), *((5, n, n + 1) for n in range(5, 10))}
     one = graph.impact(pairs, nodes.where("root = 9"), F.lit("schema_change")).first()
     assert (one.risk, one.affected_reports) == ("HIGH", 2)
 
