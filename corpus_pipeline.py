@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relyframe.llm import decontaminate, language_id, line_dedup, near_dup, sentencepiece_codec
-from relyframe.llm.store import documents, sized, stored
+from relyframe.llm.store import documents, sized, small_batches, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified; rejected ones go."""
+    small_batches(spark)
     return language_id.keep_identified(docs)
 
 

@@ -21,12 +21,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from relyframe.llm.store import stored
-from relyframe.llm.text import buffers, pieces
+from relyframe.llm.text import buffers, pieces, trim
 
 FOLDS, HELD_OUT = 4, 2
 DIMENSIONS = 4096
 CENTROIDS = 4
 SAMPLE = 500
+PIECE_ROWS = 256
 UNKNOWN = "und"
 # Cosine below which nothing is trusted, and the share of a language's lowest
 # usual cosine that still counts as near. Clean texts of one or two words have
@@ -42,7 +43,7 @@ _LETTER[128:] = np.arange(128, 256)
 def gram_counts(column: pa.Array) -> Iterator[np.ndarray]:
     """Counts (rows, DIMENSIONS) of the hashed grams, a few hundred rows at a time."""
     data, offsets = buffers(column)
-    for lo, hi in pieces(offsets):
+    for lo, hi in pieces(offsets, rows=PIECE_ROWS):
         hi_lo = hi - lo
         b = _LETTER[data[offsets[lo] : offsets[hi]]].astype(np.uint32)
         row = np.repeat(np.arange(hi_lo, dtype=np.int64) * DIMENSIONS, np.diff(offsets[lo : hi + 1]))
@@ -76,6 +77,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for counts in gram_counts(batch.column(0)):
             df += (counts > 0).sum(axis=0)
             n += len(counts)
+    trim()
     slots = np.append(np.arange(DIMENSIONS), -1)
     yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array(np.append(df, n))], ["slot", "n"])
 
@@ -152,6 +154,7 @@ def predictor(model: dict):
                 [batch.column(0), batch.column(1), pa.array(langs[best].tolist(), pa.string()), pa.array(cosine), pa.array(cosine < limit[best])],
                 ["doc_id", "held_out", "lang_pred", "score", "rejected"],
             )
+        trim()
 
     return predict
 

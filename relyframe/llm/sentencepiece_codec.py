@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from relyframe.llm.text import buffers, pieces
+from relyframe.llm.text import buffers, pieces, trim
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -29,7 +29,7 @@ UNIGRAM, BPE = 1, 2
 THREADS = 2
 BATCH_BYTES = 1 << 20
 # Distinct words whose ids are remembered between batches.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 200_000
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -175,5 +175,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL, with_ids: bool = False
                     columns.append(pa.ListArray.from_arrays(at, pa.array(np.concatenate(flat))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
+        own.known.clear()
+        trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, CODED + (", ids array<int>" if with_ids else ""))

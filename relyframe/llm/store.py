@@ -10,6 +10,7 @@ from relyframe.session import scratch
 # Rows of (id) or short tuples that may be broadcast; 400,000 rows of a few
 # longs are about 20 MB in a hash table.
 BROADCAST_ROWS = 400_000
+BATCH_BYTES = 8 << 20
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -24,5 +25,13 @@ def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of long texts to a few MB in the tasks of this session."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -6,6 +6,7 @@ single bytes in UTF-8, so everything is done on the column's own buffer.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -77,12 +78,20 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def pieces(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``limit`` bytes; a longer text is a range of its own."""
+def trim() -> None:
+    """Give freed memory back to the system: Python workers are used again, and their memory counts as the executor's."""
+    pa.default_memory_pool().release_unused()
+    free = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if free:
+        free(0)
+
+
+def pieces(offsets: np.ndarray, limit: int = CHUNK_BYTES, rows: int = 1 << 31) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``limit`` bytes and at most ``rows`` rows; a longer text is a range of its own."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
         hi = int(np.searchsorted(offsets, offsets[lo] + limit, side="right")) - 1
-        hi = min(max(hi, lo + 1), n)
+        hi = min(max(hi, lo + 1), lo + rows, n)
         yield lo, hi
         lo = hi
 
