@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from relyframe.llm.components import components
 from relyframe.llm.store import sized, stored
-from relyframe.llm.text import U64, mix, shingles, words
+from relyframe.llm.text import U64, mix, shingles, trim, words
 
 SHINGLE_WORDS = 5
 BANDS, BAND_BINS = 42, 6
@@ -33,7 +33,7 @@ BINS = BANDS * BAND_BINS
 # Link when 100 * intersection >= PERCENT * union. At 85 % a band of 6 bins
 # agrees with probability 0.38, and all 42 miss with probability 2e-9.
 PERCENT = 85
-FIRST_HUBS = 16
+FIRST_HUBS = 64
 SLICES = 64
 _FULL = U64(2**64 - 1)
 _TRIES = 32
@@ -107,6 +107,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 first, held = first + len(held), []
         if held:
             yield _signed(ids.slice(first, len(held)), held)
+    trim()
 
 
 def _signed(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
@@ -129,6 +130,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 values = pa.array(np.concatenate(held).view(np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(held)), pa.ListArray.from_arrays(at, values)], ["id", "shingles"])
                 first, held = first + len(held), []
+    trim()
 
 
 def confirm(sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -139,7 +141,7 @@ def confirm(sets: DataFrame, pairs: DataFrame) -> DataFrame:
         pairs.join(left, "a").join(right, "b")
         .select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb") - both).alias("either"))
         .filter(F.col("both") * 100 >= F.col("either") * PERCENT)
-        .select("a", "b").distinct()
+        .select("a", "b")
     )
 
 
@@ -218,11 +220,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # Nodes of one doc_id with several texts hang together.
     repeated = named.groupBy("doc_id").agg(F.countDistinct("n", "h1", "h2").alias("texts")).filter("texts > 1")
     same = named.join(repeated, "doc_id").join(classes, ["n", "h1", "h2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    same = stored(same.filter("a <> b").distinct(), "same")
 
     star = members.filter((F.col("hub") != F.col("rep")) & can_link("n", "own", "hub_n", "hub_own"))
     star = stored(star.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct(), "pairs")
     confirmed = stored(confirm(sets, star), "confirmed")
-    links = confirmed.union(same.filter("a <> b"))
+    links = confirmed if same.isEmpty() else confirmed.union(same)
     label = components(links)
 
     # Rounds for buckets that hold several components; a pair that shares
@@ -237,7 +240,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             break
         turn = F.row_number().over(Window.partitionBy("key").orderBy("own", "rep"))
         chosen = stored(open_rows.withColumn("turn", turn).filter(F.col("turn") <= wide).drop("turn"), "hubs")
-        wide *= 8
+        wide *= 64
         x, y = with_keys(open_rows, keys), with_keys(chosen, keys).toDF("hub_key", "hub", "m", "its", "other", "hub_keys", "hub_shape")
         first = F.array_position(F.zip_with("keys", "hub_keys", lambda p, q: p == q), True)
         met = x.join(y, (F.col("key") == F.col("hub_key")) & (F.col("component") != F.col("other")) & can_link("n", "own", "m", "its") & (F.get("keys", first - 1) == F.col("key")) & shapes_fit("n", "shape", "m", "hub_shape"))
@@ -249,6 +252,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             links = links.union(more)
             label = components(links)
 
+    confirmed = confirmed.distinct()
     degree = confirmed.select(F.col("a").alias("rep")).union(confirmed.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
     named_class = (
         classes.join(label.toDF("rep", "component"), "rep", "left").join(degree, "rep", "left")
