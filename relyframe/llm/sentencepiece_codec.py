@@ -2,8 +2,9 @@
 
 The model file's protobuf is parsed here; from it come the normaliser, the
 metaspace marker, the unigram scores or the merges of a BPE model, and byte
-fallback. Texts are encoded in batches by several threads and every text is
-checked against the sentencepiece library's own ids.
+fallback. Texts are encoded in batches by several threads and checked
+against the sentencepiece library's own ids: text by text, or, where no piece
+goes on into the next word, by every distinct word of the texts.
 """
 
 from __future__ import annotations
@@ -116,6 +117,7 @@ class Codec:
         self.by_word = not any(MARK in p.lstrip(MARK) for p, _, t in all_pieces if t in (NORMAL, USER))
         self.words = Tokenizer(model)
         self.known: dict[str, list[int]] = {}
+        self.unequal: set[str] = set()
         self.bytes = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else b" \xe2\x81\x87 " if t == UNKNOWN else p.replace(MARK, " ").encode() for p, _, t in all_pieces]
         self.prefix, self.lossless = m["dummy_prefix"], not m["trim"] and not m["charsmap"]
         self.judge = sentencepiece.SentencePieceProcessor(model_proto=data)
@@ -124,10 +126,19 @@ class Codec:
         if not self.by_word:
             return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         parts = [_WORD.findall(self.tokenizer.normalizer.normalize_str(t)) for t in texts]
+        held = set().union(*parts)
         if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-        fresh = list(set().union(*parts).difference(self.known))
-        self.known.update(zip(fresh, (e.ids for e in self.words.encode_batch_fast(fresh, add_special_tokens=False)), strict=True))
+            self.known = {w: i for w, i in self.known.items() if w in held}
+            self.unequal &= held
+        fresh = list(held.difference(self.known))
+        ids = [e.ids for e in self.words.encode_batch_fast(fresh, add_special_tokens=False)]
+        self.known.update(zip(fresh, ids, strict=True))
+        if self.prefix:
+            # Every word starts with the marker, which sentencepiece puts before a text itself.
+            theirs = self.judge.encode([w[1:].replace(MARK, " ") for w in fresh], num_threads=1)
+            # Before an empty text it puts none, so the lone marker is looked up.
+            lone = [self.judge.piece_to_id(MARK)]
+            self.unequal.update(w for w, a, b in zip(fresh, ids, theirs, strict=True) if a != (lone if w == MARK else b))
         return [list(chain.from_iterable(map(self.known.__getitem__, p))) for p in parts]
 
     def decode(self, ids: list[int]) -> str:
@@ -135,6 +146,9 @@ class Codec:
         return (whole[1:] if self.prefix and whole[:1] == b" " else whole).decode("utf-8", "replace")
 
     def parity(self, texts: list[str], ids: list[list[int]]) -> list[bool]:
+        """Whether sentencepiece gives the same ids; by the words of a text where words are encoded alone."""
+        if self.by_word and self.prefix:
+            return [not self.unequal or self.unequal.isdisjoint(_WORD.findall(self.tokenizer.normalizer.normalize_str(t))) for t in texts]
         return [a == b for a, b in zip(self.judge.encode(texts, num_threads=1), ids, strict=True)]
 
 
@@ -175,7 +189,6 @@ def encode_documents(docs: DataFrame, model: str = MODEL, with_ids: bool = False
                     columns.append(pa.ListArray.from_arrays(at, pa.array(np.concatenate(flat))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
-        own.known.clear()
         trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, CODED + (", ids array<int>" if with_ids else ""))
