@@ -163,6 +163,16 @@ def test_sentencepiece(make, spark):
     assert (got.n_tokens == got.ids.map(len)).all() and got[got.doc_id == 1].n_tokens.tolist() == [0]
 
 
+def test_sentencepiece_words_give_whole_texts():
+    """Ids put together from words are those that sentencepiece gives for whole texts."""
+    own = sentencepiece_codec.Codec(open(sentencepiece_codec.MODEL, "rb").read())
+    texts = [*(t or "" for _, t in EDGES), "  a  b\n\tc ", "<s> </s> <unk> <0x0A> x", " ", "   ", "é́ \x00 z", "a▁b ▁ c", "ends in space "]
+    ids = own.encode(texts)
+    assert own.by_word and ids == own.judge.encode(texts, num_threads=1) and all(own.parity(texts, ids))
+    own.unequal.add("▁b")
+    assert own.parity(["a b", "a c"], own.encode(["a b", "a c"])) == [False, True]
+
+
 def test_sentencepiece_unigram_model(tmp_path):
     """A hand-written unigram model: normaliser with trimming, scores and byte fallback agree with sentencepiece."""
 
