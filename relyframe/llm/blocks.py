@@ -143,12 +143,6 @@ def answer(parts: DataFrame, reply: Callable[[list[int], list[bytes]], list[byte
     return stored(parts.groupBy("kind", "bucket").applyInArrow(run, PART), label)
 
 
-def replies(table: pa.Table, kind: int) -> bytes:
-    """All replies of one kind to one block, in hash order."""
-    rows = [(b, p) for k, b, p in zip(table["kind"].to_pylist(), table["bucket"].to_pylist(), table["part"].to_pylist(), strict=True) if k == kind]
-    return b"".join(p for _, p in sorted(rows, key=lambda r: r[0]))
-
-
 def meet(blocks: DataFrame, answers: DataFrame, use: Callable[[int, bytes, pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Call ``use(block, payload, answers)`` for every block, next to its answers."""
 

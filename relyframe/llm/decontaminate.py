@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relyframe.llm.store import stored
+from relyframe.llm.store import sized, stored
 from relyframe.llm.text import _SYMBOL, LOWER, U64, buffers, mix, pieces, shingles, span_hash
 
 WINDOW = 8
@@ -190,4 +190,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that no benchmark item contaminates; rows with a null doc_id stay."""
     found = contaminated(docs, benchmark).select(F.col("doc_id").alias("relyframe_id"), F.col("version").alias("relyframe_version")).distinct()
-    return docs.join(found, (docs["doc_id"] == F.col("relyframe_id")) & (F.xxhash64(docs["text"]) == F.col("relyframe_version")), "left_anti")
+    return docs.join(sized(found), (docs["doc_id"] == F.col("relyframe_id")) & (F.xxhash64(docs["text"]) == F.col("relyframe_version")), "left_anti")

@@ -21,8 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relyframe.llm import blocks as B
-from relyframe.llm.store import stored
-from relyframe.llm.text import U64, mix, shingles, words
+from relyframe.llm.text import U64, mix, words
 
 FOLDS, HELD_OUT = 7, 2
 TUNE_SHARE = 16

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from relyframe.session import scratch
 
-# Rows of (id) or short tuples that may be broadcast; 400,000 rows of a few
-# longs are about 20 MB in a hash table.
-BROADCAST_ROWS = 400_000
+# A table is broadcast when its rows, written as JSON, stay below this.
+BROADCAST_CHARS = 64 << 20
 BATCH_BYTES = 8 << 20
 
 
@@ -20,9 +19,10 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A stored narrow table, hinted for broadcast only when its counted rows stay below ``limit``."""
-    return F.broadcast(df) if df.count() <= limit else df
+def sized(df: DataFrame, limit: int = BROADCAST_CHARS) -> DataFrame:
+    """A stored table, hinted for broadcast only when its measured size stays below ``limit``; beyond it, both sides are shuffled."""
+    chars = df.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(df) if chars <= limit else df
 
 
 def small_batches(spark: SparkSession) -> None:
