@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relyframe.functions import scores
-from relyframe.operators import anomaly, drift, profile, quality
+from relyframe.operators import drift, profile, quality
 from relyframe.sources import inputs
 from relyframe.session import fact_table, together
 
