@@ -20,8 +20,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines of runs that occurred before; texts of which no word is left go, ``n_chars`` follows the text."""
-    out = line_dedup.dedup_lines(docs)
+    """Texts without lines of runs that occurred before, single lines of a few words among them; texts of which no word is left go, ``n_chars`` follows the text."""
+    out = line_dedup.dedup_lines(docs, short_runs=True)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
