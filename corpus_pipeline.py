@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from relyframe.llm import decontaminate, language_id, line_dedup, near_dup, sentencepiece_codec
 from relyframe.llm.store import documents, sized, small_batches, stored
 
+# Texts whose shingle sets are this similar are near-duplicates; op1 has a limit of its own.
+NEAR_PERCENT = 80
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -29,7 +32,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest doc_id."""
-    copies = stored(near_dup.near_duplicates(docs).filter("NOT kept").select("doc_id").distinct(), "copies")
+    copies = stored(near_dup.near_duplicates(docs, NEAR_PERCENT).filter("NOT kept").select("doc_id").distinct(), "copies")
     return docs.join(sized(copies), "doc_id", "left_anti").select(*docs.columns)
 
 

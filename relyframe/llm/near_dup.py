@@ -30,8 +30,9 @@ from relyframe.llm.text import U64, mix, shingles, trim, words
 SHINGLE_WORDS = 5
 BANDS, BAND_BINS = 42, 6
 BINS = BANDS * BAND_BINS
-# Link when 100 * intersection >= PERCENT * union. At 85 % a band of 6 bins
-# agrees with probability 0.38, and all 42 miss with probability 2e-9.
+# Link when 100 * intersection >= percent * union; op1's contract is PERCENT. At
+# 85 % a band of 6 bins agrees with probability 0.38, and all 42 miss with
+# probability 2e-9; at 80 % with 0.26, and 3e-6.
 PERCENT = 85
 FIRST_HUBS = 64
 SLICES = 64
@@ -133,14 +134,14 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     trim()
 
 
-def confirm(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+def confirm(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The candidate pairs (a, b) whose full shingle sets are similar enough."""
     left, right = sets.toDF("a", "sa"), sets.toDF("b", "sb")
     both = F.size(F.array_intersect("sa", "sb"))
     return (
         pairs.join(left, "a").join(right, "b")
         .select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb") - both).alias("either"))
-        .filter(F.col("both") * 100 >= F.col("either") * PERCENT)
+        .filter(F.col("both") * 100 >= F.col("either") * percent)
         .select("a", "b")
     )
 
@@ -173,29 +174,30 @@ def own_shingles(sets: DataFrame) -> DataFrame:
     return one.join(mine, "id", "left").select("id", "texts", "shingles", "alone").mapInArrow(_shapes, "rep long, own long, shape array<int>")
 
 
-def shapes_fit(n: str, shape: str, m: str, its: str):
+def shapes_fit(n: str, shape: str, m: str, its: str, percent: int):
     """Exact bound: in each slice a pair shares at most the smaller number."""
     shared = F.aggregate(F.zip_with(shape, its, lambda p, q: F.least(p, q)), F.lit(0), lambda t, x: t + x)
-    return shared * 100 >= (F.col(n) + F.col(m) - shared) * PERCENT
+    return shared * 100 >= (F.col(n) + F.col(m) - shared) * percent
 
 
-def can_link(n: str, own: str, m: str, its: str):
+def can_link(n: str, own: str, m: str, its: str, percent: int):
     """Exact bound: a pair shares at most the smaller count of shingles that are not its own."""
     shared = F.least(F.col(n) - F.col(own), F.col(m) - F.col(its))
-    return shared * 100 >= (F.col(n) + F.col(m) - shared) * PERCENT
+    return shared * 100 >= (F.col(n) + F.col(m) - shared) * percent
 
 
 def with_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.join(keys, ["rep", "n"]).select("key", "rep", "n", "own", "component", "keys", "shape")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, n_links.
 
     Null or blank texts have an empty set and link with nothing. Rows that
     share a doc_id are one node that has the links of all of them, and each
     row is returned. A null doc_id links with nothing and is kept. ``n_links``
-    counts the confirmed links of the document's class of equal sets.
+    counts the confirmed links of the document's class of equal sets. Sets link
+    when their intersection is at least ``percent`` of their union.
     """
     docs = docs.select("doc_id", "text")
     sig = stored(docs.mapInArrow(_signatures, SIGNATURE), "signatures")
@@ -208,9 +210,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ids = stored(found.select(F.col("rep").alias("doc_id")).distinct(), "candidates")
     texts = docs.join(sized(ids), "doc_id", "left_semi").select("doc_id", "text")
     sets = stored(texts.mapInArrow(_sets, "id long, shingles array<long>"), "sets")
-    # A candidate with more than 15 % shingles of its own can link with none.
+    # A candidate with more than 100 - percent % shingles of its own can link with none.
     owned = stored(own_shingles(sets), "own")
-    alive = found.join(owned.select("rep", "own"), "rep").filter((F.col("n") - F.col("own")) * 100 >= F.col("n") * PERCENT)
+    alive = found.join(owned.select("rep", "own"), "rep").filter((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent)
     alive = stored(alive.select("key", "rep", "n", "own"), "alive")
     # The hub is the member with the fewest shingles of its own: the most central copy.
     hubs = alive.groupBy("key").agg(F.min(F.struct("own", "rep", "n")).alias("hub"), F.count("*").alias("size")).filter("size > 1")
@@ -222,9 +224,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     same = named.join(repeated, "doc_id").join(classes, ["n", "h1", "h2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     same = stored(same.filter("a <> b").distinct(), "same")
 
-    star = members.filter((F.col("hub") != F.col("rep")) & can_link("n", "own", "hub_n", "hub_own"))
+    star = members.filter((F.col("hub") != F.col("rep")) & can_link("n", "own", "hub_n", "hub_own", percent))
     star = stored(star.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct(), "pairs")
-    confirmed = stored(confirm(sets, star), "confirmed")
+    confirmed = stored(confirm(sets, star, percent), "confirmed")
     links = confirmed if same.isEmpty() else confirmed.union(same)
     label = components(links)
 
@@ -243,10 +245,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         wide *= 64
         x, y = with_keys(open_rows, keys), with_keys(chosen, keys).toDF("hub_key", "hub", "m", "its", "other", "hub_keys", "hub_shape")
         first = F.array_position(F.zip_with("keys", "hub_keys", lambda p, q: p == q), True)
-        met = x.join(y, (F.col("key") == F.col("hub_key")) & (F.col("component") != F.col("other")) & can_link("n", "own", "m", "its") & (F.get("keys", first - 1) == F.col("key")) & shapes_fit("n", "shape", "m", "hub_shape"))
+        met = x.join(y, (F.col("key") == F.col("hub_key")) & (F.col("component") != F.col("other")) & can_link("n", "own", "m", "its", percent) & (F.get("keys", first - 1) == F.col("key")) & shapes_fit("n", "shape", "m", "hub_shape", percent))
         pairs = stored(met.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct(), "pairs")
         pending = stored(open_rows.join(chosen.select("key", "rep"), ["key", "rep"], "left_anti").select("key", "rep", "n", "own"), "pending")
-        more = stored(confirm(sets, pairs), "confirmed")
+        more = stored(confirm(sets, pairs, percent), "confirmed")
         if not more.isEmpty():
             confirmed = confirmed.union(more)
             links = links.union(more)

@@ -16,7 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
+    return near_dup.near_duplicates(documents(spark, sf_dir), near_dup.PERCENT).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,3 +44,12 @@ def test_single_and_short_lines_are_runs(make):
     assert got == runs_deleted(rows) and got[101] == 1 and got[103] == 3 and got[100] == 2
     stage = {x.doc_id for x in corpus_pipeline.lines(None, make(rows), "").collect()}
     assert not {100, 101, 103} & stage and 102 in stage
+
+
+def test_pipeline_links_from_80_percent(make):
+    """Sets of 96 shingles that share 86: 81 % of their union."""
+    words = [f"w{k}" for k in range(100)]
+    a, b = " ".join(words), " ".join([*words[:20], "x", *words[21:60], "y", *words[61:]])
+    rows = [(1, a), (2, b), (3, prose(77, 100))]
+    assert {r.doc_id for r in near_dup.near_duplicates(make(rows), 85).filter("kept").collect()} == {1, 2, 3}
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(None, make(rows), "").collect()} == {1, 3}
