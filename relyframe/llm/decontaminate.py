@@ -7,7 +7,8 @@ diagonal (document place minus item place) form an alignment, and the values
 behind its placeholders must correspond one to one: each value of the item
 always stands for the same value in the document, and different values for
 different ones. Windows of an alignment that is not consistent count only as
-far as they hold no placeholder.
+far as they hold no placeholder. Every window with placeholders is also joined
+by its own tokens, so that a verbatim copy is found whatever it is made of.
 
 A document is contaminated by an item if the best alignment covers at least
 COVER of the item's tokens and at least LEAST tokens (or the whole item, if it
@@ -126,6 +127,7 @@ def window_rows(sizes: list[int], wanted: np.ndarray | None, whole_only: bool =
         for batch in batches:
             for first, count, row, token, own, slot in templates(batch.column(2)):
                 begin = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=count))))
+                none = np.zeros_like(slot)
                 for size in sizes:
                     n = len(token) - size + 1
                     if n <= 0:
@@ -133,14 +135,17 @@ def window_rows(sizes: list[int], wanted: np.ndarray | None, whole_only: bool =
                     start = np.flatnonzero(row[:n] == row[size - 1 :])
                     if whole_only and size < WINDOW:
                         start = start[np.diff(begin)[row[start]] == size]
-                    start = start[_alike(start, size, slot)]
-                    hashes = shingles(token, size)[start]
-                    if wanted is not None and len(start):
-                        at = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
-                        hit = wanted[at] == hashes
-                        start, hashes = start[hit], hashes[hit]
-                    if len(start):
-                        yield _rows(batch.column(0), batch.column(1), first, size, start, row, begin, hashes, own, slot)
+                    held = np.concatenate(([0], np.cumsum(slot > 0)))
+                    exact = start[held[start + size] > held[start]]
+                    # Windows by their template, then windows with placeholders by their own tokens.
+                    for at, by, slots in ((start[_alike(start, size, slot)], token, slot), (exact, own, none)):
+                        hashes = shingles(by, size)[at]
+                        if wanted is not None and len(at):
+                            near = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
+                            hit = wanted[near] == hashes
+                            at, hashes = at[hit], hashes[hit]
+                        if len(at):
+                            yield _rows(batch.column(0), batch.column(1), first, size, at, row, begin, hashes, own, slots)
 
     return run
 

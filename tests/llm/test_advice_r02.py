@@ -53,3 +53,15 @@ def test_pipeline_links_from_80_percent(make):
     rows = [(1, a), (2, b), (3, prose(77, 100))]
     assert {r.doc_id for r in near_dup.near_duplicates(make(rows), 85).filter("kept").collect()} == {1, 2, 3}
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(None, make(rows), "").collect()} == {1, 3}
+
+
+def leaks(spark, make, items, texts):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r.doc_id, r.item_id) for r in decontaminate.contaminated(make(list(enumerate(texts))), bench).collect()}
+
+
+def test_verbatim_items_of_few_literals_are_found(make, spark):
+    items = ["What is 12 times 7", "Convert 5 km to miles", "WHO WROTE THE BOOK OF THE DEAD", "12 + 7 - 3 * 4 / 2 = 13", "3 4 5 6 7 8 9 10 11 12 13 14 15"]
+    texts = [f"{prose(90, 20)}. {item}. {prose(91, 20)}" for item in items]
+    texts += [x.lower() for x in items] + ["What is 13 times 8", "Convert 6 km to miles", "4 4 5 6 7 8 9 9 11 12 12 14 15"]
+    assert leaks(spark, make, items, texts) == {(i, i % 5) for i in range(10)}
