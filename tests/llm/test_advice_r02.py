@@ -65,3 +65,19 @@ def test_verbatim_items_of_few_literals_are_found(make, spark):
     texts = [f"{prose(90, 20)}. {item}. {prose(91, 20)}" for item in items]
     texts += [x.lower() for x in items] + ["What is 13 times 8", "Convert 6 km to miles", "4 4 5 6 7 8 9 9 11 12 12 14 15"]
     assert leaks(spark, make, items, texts) == {(i, i % 5) for i in range(10)}
+
+
+def test_items_asked_again_with_other_values(make, spark):
+    items = [
+        "Anna has 12 apples in a box. Anna gives 5 apples to her friend",
+        "Mr. Olsen buys 12 apples and 7 pears at the market for Karla and walks 3 km home with his two little dogs and then Karla counts all of the fruit on the table",
+        "A farmer keeps 3 cows and 4 goats in the old barn and sells 3 of them at the market before the winter",
+    ]
+    texts = [
+        "Some words. Bob has 30 apples in a box. Bob gives 8 apples to her friend. The end",
+        "Mr. Garcia buys 30 apples and 4 pears at the market for Anna van Dyke and walks 9 miles home with his two little dogs and then Anna van Dyke counts all of the fruit on the table",
+        "A farmer keeps 5 cows and 5 goats in the old barn and sells 5 of them at the market before the winter",
+        "Some words. Bob has 30 apples in a box. Carl gives 8 apples to her friend. The end",
+        "A farmer keeps 5 cows and 6 goats in the old barn and sells 7 of them at the market before the winter",
+    ]
+    assert leaks(spark, make, items, texts) == {(0, 0), (1, 1), (2, 2)}
