@@ -7,7 +7,9 @@ has up to CENTROIDS centroids, found by spherical k-means on at most
 SAMPLE training documents of the language (those with the smallest hash of
 their id): the classifier's documented bound. A text takes the language of the
 centroid with the largest cosine, and is rejected when that cosine is below
-REACH times what all but a hundredth of the language's sample texts reach.
+REACH times what all but a hundredth of the language's sample texts reach, or,
+from LENGTHS characters on, NEAR times what all but a hundredth of the sample's
+texts reach when they are cut to that length.
 """
 
 from __future__ import annotations
@@ -33,6 +35,10 @@ UNKNOWN = "und"
 # usual cosine that still counts as near. Clean texts of one or two words have
 # cosines from about 0.15 on and stay; text of another kind has less.
 LEAST_COSINE, REACH = 0.05, 0.25
+# Longer texts come nearer to their language, and gibberish and other languages
+# do not, so the limit rises with the length in characters. A length needs
+# ENOUGH sample texts; beyond the last one with them the limit stays.
+LENGTHS, NEAR, ENOUGH = (32, 64, 128, 256, 512, 1024, 2048), 0.6, 20
 
 _LETTER = np.full(256, 0x20, np.uint8)
 _LETTER[97:123] = np.arange(97, 123)
@@ -98,6 +104,19 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 15) -> tuple[np.ndarray, np.ndar
     return c, x @ c.T
 
 
+def rising_limits(column: pa.ChunkedArray, idf: np.ndarray, centroids: np.ndarray, lowest: float) -> list[float]:
+    """The limit at half of the first of LENGTHS and at each of them; it never falls."""
+    limits, size = [lowest], np.asarray(pc.utf8_length(column))
+    for n in LENGTHS:
+        texts = pc.utf8_slice_codeunits(column.filter(pa.array(size >= n)), 0, n)
+        if len(texts) < ENOUGH:
+            limits.append(limits[-1])
+            continue
+        cosines = np.concatenate([(vectors(c, idf) @ centroids.T).max(axis=1) for c in gram_counts(texts)])
+        limits.append(max(limits[-1], float(np.quantile(cosines, 0.01)) * NEAR))
+    return limits
+
+
 def fold(docs: DataFrame):
     """Whether a row is held out; a null doc_id is."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_OUT, F.lit(True))
@@ -123,13 +142,14 @@ def fit(docs: DataFrame) -> dict:
         x = np.concatenate([vectors(c, idf) for c in gram_counts(table["text"])])
         centroids, cosines = kmeans(x, CENTROIDS)
         least = [float(np.quantile(cosines.max(axis=1), 0.01))] * len(centroids)
+        limits = rising_limits(table["text"], idf, centroids, max(least[0] * REACH, LEAST_COSINE))
         lang = table["lang"][0].as_py()
-        return pa.table({"lang": pa.array([lang] * len(centroids), pa.string()), "least": pa.array(least, pa.float64()), "centroid": pa.array([c.astype("<f4").tobytes() for c in centroids], pa.binary())})
+        return pa.table({"lang": pa.array([lang] * len(centroids), pa.string()), "least": pa.array(least, pa.float64()), "limits": pa.array([limits] * len(centroids), pa.list_(pa.float64())), "centroid": pa.array([c.astype("<f4").tobytes() for c in centroids], pa.binary())})
 
-    found = sample.select("doc_id", "version", "lang", "text").groupBy("lang").applyInArrow(learn, "lang string, least double, centroid binary").collect()
+    found = sample.select("doc_id", "version", "lang", "text").groupBy("lang").applyInArrow(learn, "lang string, least double, limits array<double>, centroid binary").collect()
     found = sorted(found, key=lambda r: (r["lang"], bytes(r["centroid"])))
     matrix = np.stack([np.frombuffer(bytes(r["centroid"]), "<f4") for r in found]) if found else np.zeros((0, DIMENSIONS), np.float32)
-    return {"idf": idf, "centroids": matrix, "langs": [r["lang"] for r in found], "least": np.array([r["least"] for r in found])}
+    return {"idf": idf, "centroids": matrix, "langs": [r["lang"] for r in found], "least": np.array([r["least"] for r in found]), "limits": [r["limits"] for r in found]}
 
 
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean"
@@ -138,6 +158,7 @@ PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double, reje
 def predictor(model: dict):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs = np.array([*model["langs"], UNKNOWN], object)
+        steps = np.log2([LENGTHS[0] / 2, *LENGTHS])
         for batch in batches:
             known = has_letter(batch.column(2)) & (len(model["langs"]) > 0)
             best, cosine = np.full(len(batch), len(langs) - 1), np.zeros(len(batch))
@@ -149,9 +170,12 @@ def predictor(model: dict):
                 at += len(counts)
             best[~known], cosine[~known] = len(langs) - 1, 0.0
             cosine = np.clip(cosine.astype(np.float64), 0.0, 1.0)
-            limit = np.append(np.maximum(model["least"] * REACH, LEAST_COSINE), 2.0)
+            size = np.log2(np.maximum(np.asarray(pc.fill_null(pc.utf8_length(batch.column(2)), 0)), 1))
+            limit = np.full(len(batch), 2.0)
+            for k, limits in enumerate(model["limits"]):
+                limit[best == k] = np.interp(size[best == k], steps, limits)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(langs[best].tolist(), pa.string()), pa.array(cosine), pa.array(cosine < limit[best])],
+                [batch.column(0), batch.column(1), pa.array(langs[best].tolist(), pa.string()), pa.array(cosine), pa.array(cosine < limit)],
                 ["doc_id", "held_out", "lang_pred", "score", "rejected"],
             )
         trim()

@@ -81,3 +81,18 @@ def test_items_asked_again_with_other_values(make, spark):
         "A farmer keeps 5 cows and 6 goats in the old barn and sells 7 of them at the market before the winter",
     ]
     assert leaks(spark, make, items, texts) == {(0, 0), (1, 1), (2, 2)}
+
+
+def test_unlearned_languages_and_gibberish_are_rejected(make, spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.fit(docs)
+    r = random.Random(1)
+    polish = "Wczoraj wieczorem poszliśmy do kina, żeby zobaczyć nowy film, a potem długo rozmawialiśmy o tym, co się wydarzyło w naszym mieście. Nikt nie wiedział, dlaczego wszyscy sąsiedzi wyjechali tak nagle. "
+    finnish = "Eilen illalla menimme elokuviin katsomaan uutta elokuvaa, ja sen jälkeen puhuimme pitkään siitä, mitä kaupungissamme oli tapahtunut. Kukaan ei tiennyt, miksi kaikki naapurit olivat lähteneet niin äkkiä. "
+    turkish = "Dün akşam yeni filmi izlemek için sinemaya gittik ve sonra şehrimizde neler olduğunu uzun uzun konuştuk. Komşuların neden bu kadar ani ayrıldığını kimse bilmiyordu. "
+    bad = [(polish * 3)[:512], (finnish * 3)[:512], (turkish * 4)[:512]]
+    bad += [" ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(n)) for n in (40, 80, 2000)]
+    got = language_id.identify(make(list(enumerate([*bad, "one"]))), model).toPandas().set_index("doc_id").rejected
+    assert got.loc[list(range(len(bad)))].all() and not got.loc[len(bad)]
+    assert language_id.identify(docs, model).filter("rejected").count() == 0
+    assert language_id.keep_identified(docs).count() == docs.count()
