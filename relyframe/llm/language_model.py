@@ -2,9 +2,9 @@
 
 P(w | h) = a[b] * c(h, w) / c(h) + u[b] * c(w) / N + z[b] / (V + 1), where b is
 the bucket floor(log2 c(h)) of the context's frequency (bucket 0: unseen). The
-weights of every bucket are learned by expectation-maximisation on a sixteenth
-of the training documents, each seen with its own counts deleted from the
-corpus counts. Counts cover all training documents. The corpus is never
+weights of every bucket are learned by expectation-maximisation on all
+training documents, each seen with its own counts deleted from the corpus
+counts. Counts cover all training documents. The corpus is never
 gathered: hash buckets add up the counts of all blocks, and the maximisation
 sees a histogram over a fixed grid of (bucket, bigram estimate, unigram
 estimate).
@@ -24,7 +24,6 @@ from relyframe.llm import blocks as B
 from relyframe.llm.text import U64, mix, words
 
 FOLDS, HELD_OUT = 7, 2
-TUNE_SHARE = 16
 UNIGRAM, BIGRAM = 0, 1
 END, BEGIN = U64(0x3C6EF372FE94F82B), U64(0xBB67AE8584CAA73B)
 _STEPS = 2  # grid lines per factor of two in the estimates
@@ -133,7 +132,7 @@ def _grid(p: np.ndarray) -> np.ndarray:
 
 
 def _histogram(block: int, payload: bytes, answers: pa.Table, n_all: int) -> Iterator[pa.RecordBatch]:
-    """Held-out events of the tuning documents by (context bucket, grid cells of both estimates)."""
+    """Held-out events of the training documents by (context bucket, grid cells of both estimates)."""
     _, doc, one, two, before, c1, c2, context = _seen(payload, answers)
     size = np.bincount(doc)[doc]
     own_one = _own(doc, one)
@@ -208,8 +207,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     """
     fold = F.crc32(F.col("doc_id").cast("string")) % FOLDS
     train = F.coalesce(fold != HELD_OUT, F.lit(False))
-    tune = train & (F.xxhash64("doc_id", F.lit("tune")) % TUNE_SHARE == 0)
-    own = B.make_blocks(docs.select("doc_id", "text", train.alias("train"), tune.alias("tune")), "blocks", apart="tune")
+    own = B.make_blocks(docs.select("doc_id", "text", train.alias("train")), "blocks", apart="train")
     buckets = B.bucket_count(own)
     answers = B.answer(B.ask(own, lambda block, t: _question(block, t, buckets)), _reply, "counts")
     heads = answers.filter(f"kind = {UNIGRAM}").select("bucket", F.substring("part", 1, 16).alias("part")).mapInArrow(_summaries, "bucket int, types long, tokens long")

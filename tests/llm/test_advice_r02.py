@@ -3,9 +3,6 @@
 import random
 import zlib
 
-import numpy as np
-import pyarrow as pa
-import pytest
 
 import corpus_pipeline
 from relyframe.llm import decontaminate, language_id, language_model, line_dedup, near_dup, queries
@@ -96,3 +93,17 @@ def test_unlearned_languages_and_gibberish_are_rejected(make, spark):
     assert got.loc[list(range(len(bad)))].all() and not got.loc[len(bad)]
     assert language_id.identify(docs, model).filter("rejected").count() == 0
     assert language_id.keep_identified(docs).count() == docs.count()
+
+
+def test_shapes_of_ids_with_several_texts_do_not_overflow(spark):
+    shape = "array_repeat(1048576, 64)"
+    row = spark.sql(f"SELECT 5 AS n, 5 AS m, {shape} AS shape, {shape} AS its")
+    assert row.filter(near_dup.shapes_fit("n", "shape", "m", "its", 85)).count() == 1
+
+
+def test_weights_are_learned_from_all_training_documents(make, monkeypatch):
+    rows = [(i, prose(i, 30)) for i in range(12)]
+    seen, fit = [], language_model.fit_weights
+    monkeypatch.setattr(language_model, "fit_weights", lambda cells, n, v: seen.append(n.sum()) or fit(cells, n, v))
+    language_model.score_documents(make(rows)).collect()
+    assert seen == [31 * sum(zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in rows)]
