@@ -176,7 +176,7 @@ def own_shingles(sets: DataFrame) -> DataFrame:
 
 def shapes_fit(n: str, shape: str, m: str, its: str, percent: int):
     """Exact bound: in each slice a pair shares at most the smaller number."""
-    shared = F.aggregate(F.zip_with(shape, its, lambda p, q: F.least(p, q)), F.lit(0), lambda t, x: t + x)
+    shared = F.aggregate(F.zip_with(shape, its, lambda p, q: F.least(p, q).cast("long")), F.lit(0).cast("long"), lambda t, x: t + x)
     return shared * 100 >= (F.col(n) + F.col(m) - shared) * percent
 
 
