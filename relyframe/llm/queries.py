@@ -54,7 +54,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " "), r"(?i)</?(p|br|div|li|h[1-6]|tr|article|ul|ol|table|footer|title)\b[^>]*>", "\n")
     sites = pages.select(F.concat_ws("/", F.lit("page"), "page_id").alias("file"), F.concat(F.lit("pages/"), path).alias("path"), F.regexp_replace(plain, r"<[^>]*>", " ").alias("text"))
     out = licenses.scan_licences(files.union(sites))
-    return out.select(F.split("file", "/")[0].alias("kind"), F.split("file", "/")[1].cast("long").alias("id"), "licence", "cosine", "origin", "depth")
+    return out.select(F.split("file", "/")[0].alias("kind"), F.get(F.split("file", "/"), F.lit(1)).cast("long").alias("id"), "licence", "cosine", "origin", "depth")
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,3 +107,10 @@ def test_weights_are_learned_from_all_training_documents(make, monkeypatch):
     monkeypatch.setattr(language_model, "fit_weights", lambda cells, n, v: seen.append(n.sum()) or fit(cells, n, v))
     language_model.score_documents(make(rows)).collect()
     assert seen == [31 * sum(zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in rows)]
+
+
+def test_licence_query_with_null_ids(spark, tmp_path):
+    spark.createDataFrame([(None, "s", "Released under the MIT License."), (1, "s", "x")], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, "http://a/b", "<p>All rights reserved.</p>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {(r.kind, r.id) for r in queries.op6_license_scan(spark, str(tmp_path)).collect()}
+    assert got == {("doc", None), ("doc", 1), ("page", None)}
