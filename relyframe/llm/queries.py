@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from relyframe.llm import chat, decontaminate, language_id, language_model, licenses, line_dedup, mtree, near_dup, sentencepiece_codec, substring
+from relyframe.llm import chat, check_words, decontaminate, language_id, language_model, licenses, line_dedup, mtree, near_dup, periods, sentencepiece_codec, simhash, spelling, substring
 from relyframe.llm.check_sql import CHECKS
 from relyframe.llm.store import documents
 
@@ -73,13 +73,30 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents(spark, sf_dir))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, sf_dir), delete_every=spelling.DELETE_EVERY)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.periodic_runs(documents(spark, sf_dir), repeat=True)
+    line = F.transform(F.arrays_zip("starts", "lengths", "periods"), lambda r: F.concat(F.concat_ws(",", r["starts"], r["lengths"], r["periods"]), F.lit("\n")))
+    return found.select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli",
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
+
+
 def queries() -> dict[str, Query]:
     own = (
         op1_minhash_near_dedup, op2_benchmark_decontamination, op3_line_dedup, op4_mtree_top_k, op5_chat_formatting, op6_license_scan,
-        op7_lm_scoring, op8_substring_dedup, op9_sentencepiece, op10_language_id,
+        op7_lm_scoring, op8_substring_dedup, op9_sentencepiece, op10_language_id, op11_spelling_variants, op12_periodic_runs, op13_simhash_near_dedup,
     )
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(CHECKS)
+    return CHECKS | check_words.CHECKS
