@@ -2,9 +2,16 @@
 
 The model file's protobuf is parsed here; from it come the normaliser, the
 metaspace marker, the unigram scores or the merges of a BPE model, and byte
-fallback. Texts are encoded in batches by several threads and checked
-against the sentencepiece library's own ids: text by text, or, where no piece
-goes on into the next word, by every distinct word of the texts.
+fallback. Batches are encoded by several threads; where no piece goes on into
+the next word, a batch consists of the distinct words of its texts that are not
+known yet, and texts are put together from the ids of their words.
+
+Parity with the sentencepiece library is checked for every text. Its ids are
+those of the normalised text, and where no piece spans two words, merges act in
+each word alone. So a text is equal if its whole normalised form is the one
+that sentencepiece gives, and if each of its words, as it stands there, has the
+ids that sentencepiece gives for it. Models whose pieces span words are
+compared by whole ids.
 """
 
 from __future__ import annotations
@@ -13,9 +20,8 @@ import hashlib
 import os
 import re
 import struct
+from array import array
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +35,11 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 THREADS = 2
 BATCH_BYTES = 1 << 20
-# Distinct words whose ids are remembered between batches.
-KNOWN_WORDS = 200_000
+# Words and ids remembered between the batches of a task, in bytes.
+KNOWN_BYTES = 48 << 20
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+# Where a line break is in no longer piece, what is before and after it is encoded alone as well.
+_WORD_OR_BREAK = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n+")
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -113,48 +121,61 @@ class Codec:
             steps.append(normalizers.Prepend(MARK))
         steps.append(normalizers.Replace(" ", MARK))
         self.tokenizer.normalizer = normalizers.Sequence(steps)
-        # Where no piece goes on into the next word, words can be encoded alone and each distinct one once.
-        self.by_word = not any(MARK in p.lstrip(MARK) for p, _, t in all_pieces if t in (NORMAL, USER))
+        usable = [p for p, _, t in all_pieces if t in (NORMAL, USER)]
+        self.by_word = not any(MARK in p.lstrip(MARK) for p in usable)
+        breaks = m["byte_fallback"] and not any("\n" in p and len(p) > 1 for p in usable)
+        self.word = _WORD_OR_BREAK if breaks else _WORD
         self.words = Tokenizer(model)
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
         self.unequal: set[str] = set()
-        self.bytes = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else b" \xe2\x81\x87 " if t == UNKNOWN else p.replace(MARK, " ").encode() for p, _, t in all_pieces]
-        self.prefix, self.lossless = m["dummy_prefix"], not m["trim"] and not m["charsmap"]
+        self.held = 0
+        pieces_ = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else b" \xe2\x81\x87 " if t == UNKNOWN else p.replace(MARK, " ").encode() for p, _, t in all_pieces]
+        self.size = np.array([len(p) for p in pieces_], np.int64)
+        self.at = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(pieces_), np.uint8)
+        self.prefix, self.plain = m["dummy_prefix"], not m["trim"] and not m["charsmap"]
         self.judge = sentencepiece.SentencePieceProcessor(model_proto=data)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def normalized(self, text: str) -> str:
+        if not self.plain:
+            return self.tokenizer.normalizer.normalize_str(text)
+        return (MARK if self.prefix and text else "") + text.replace(" ", MARK)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_word:
-            return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        parts = [_WORD.findall(self.tokenizer.normalizer.normalize_str(t)) for t in texts]
-        held = set().union(*parts)
-        if len(self.known) > KNOWN_WORDS:
-            self.known = {w: i for w, i in self.known.items() if w in held}
-            self.unequal &= held
-        fresh = list(held.difference(self.known))
-        ids = [e.ids for e in self.words.encode_batch_fast(fresh, add_special_tokens=False)]
+            return [np.array(e.ids, "<i4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if self.held > KNOWN_BYTES:
+            self.known, self.unequal, self.held = {}, set(), 0
+        parts = [self.word.findall(self.normalized(t)) for t in texts]
+        fresh = list(set().union(*parts).difference(self.known))
+        ids = [array("i", e.ids).tobytes() for e in self.words.encode_batch_fast(fresh, add_special_tokens=False)]
         self.known.update(zip(fresh, ids, strict=True))
-        if self.prefix:
-            # Every word starts with the marker, which sentencepiece puts before a text itself.
-            theirs = self.judge.encode([w[1:].replace(MARK, " ") for w in fresh], num_threads=1)
-            # Before an empty text it puts none, so the lone marker is looked up.
-            lone = [self.judge.piece_to_id(MARK)]
-            self.unequal.update(w for w, a, b in zip(fresh, ids, theirs, strict=True) if a != (lone if w == MARK else b))
-        return [list(chain.from_iterable(map(self.known.__getitem__, p))) for p in parts]
-
-    def decode(self, ids: list[int]) -> str:
-        whole = b"".join([self.bytes[i] for i in ids])
+        self.held += sum(map(len, fresh)) + sum(map(len, ids)) + 150 * len(fresh)
+        self.unequal.update(w for w, mine, its in zip(fresh, ids, self.judged(fresh), strict=True) if mine != its)
+        known = self.known
+        return [np.frombuffer(b"".join(map(known.__getitem__, p)), "<i4") for p in parts]
+
+    def judged(self, normal: list[str]) -> list[bytes]:
+        """What sentencepiece makes of normalised words. It puts a marker before a text itself, but none before an empty one."""
+        before = self.judge.encode("\n") if self.prefix else []
+        plain = [w.replace(MARK, " ") for w in normal]
+        texts = [t[1:] if t[:1] == " " else "\n" + t for t in plain] if self.prefix else plain
+        out = self.judge.encode(texts, num_threads=1)
+        lone = [self.judge.piece_to_id(MARK)]
+        cut = len(before)
+        return [array("i", lone if w == MARK else i if w[:1] == MARK else i[cut:]).tobytes() for w, i in zip(normal, out, strict=True)]
+
+    def decode(self, ids: np.ndarray) -> str:
+        size = self.size[ids]
+        whole = self.bytes[np.repeat(self.at[ids] - (np.cumsum(size) - size), size) + np.arange(size.sum())].tobytes()
         return (whole[1:] if self.prefix and whole[:1] == b" " else whole).decode("utf-8", "replace")
 
-    def parity(self, texts: list[str], ids: list[list[int]]) -> list[bool]:
-        """Whether sentencepiece gives the same ids; by the words of a text where words are encoded alone."""
-        if self.by_word and self.prefix:
-            return [not self.unequal or self.unequal.isdisjoint(_WORD.findall(self.tokenizer.normalizer.normalize_str(t))) for t in texts]
-        return [a == b for a, b in zip(self.judge.encode(texts, num_threads=1), ids, strict=True)]
-
-
-@lru_cache(maxsize=2)
-def codec(data: bytes) -> Codec:
-    return Codec(data)
+    def parity(self, texts: list[str], ids: list[np.ndarray]) -> list[bool]:
+        """Whether sentencepiece gives the same ids for each text; where words are encoded alone, after ``encode`` of the same texts."""
+        if not self.by_word:
+            return [array("i", a).tobytes() == b.tobytes() for a, b in zip(self.judge.encode(texts, num_threads=1), ids, strict=True)]
+        mine = [self.normalized(t) for t in texts]
+        return [a == b and (not self.unequal or self.unequal.isdisjoint(self.word.findall(a))) for a, b in zip(mine, map(self.judge.normalize, texts), strict=True)]
 
 
 CODED = "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean, parity boolean"
@@ -172,23 +193,25 @@ def encode_documents(docs: DataFrame, model: str = MODEL, with_ids: bool = False
         data = f.read()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(data)
+        own = None
         for batch in batches:
+            own = own or Codec(data)
             _, offsets = buffers(batch.column(1))
             for lo, hi in pieces(offsets, BATCH_BYTES):
                 texts = [t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
                 ids = own.encode(texts)
-                flat = [np.array(x, "<i4") for x in ids]
                 columns = [
-                    batch.column(0).slice(lo, hi - lo), pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in flat]),
+                    batch.column(0).slice(lo, hi - lo), pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids]),
                     pa.array([own.decode(x) == t for x, t in zip(ids, texts, strict=True)]), pa.array(own.parity(texts, ids)),
                 ]
                 names = ["doc_id", "n_tokens", "ids_sha256", "round_trip", "parity"]
                 if with_ids:
                     at = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in ids]))), pa.int32())
-                    columns.append(pa.ListArray.from_arrays(at, pa.array(np.concatenate(flat))))
+                    columns.append(pa.ListArray.from_arrays(at, pa.array(np.concatenate(ids))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
+        # The codec goes with its task: workers are used again by other jobs.
+        own = None
         trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, CODED + (", ids array<int>" if with_ids else ""))

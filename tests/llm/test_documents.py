@@ -163,14 +163,24 @@ def test_sentencepiece(make, spark):
     assert (got.n_tokens == got.ids.map(len)).all() and got[got.doc_id == 1].n_tokens.tolist() == [0]
 
 
-def test_sentencepiece_words_give_whole_texts():
+def test_sentencepiece_words_give_whole_texts(monkeypatch):
     """Ids put together from words are those that sentencepiece gives for whole texts."""
     own = sentencepiece_codec.Codec(open(sentencepiece_codec.MODEL, "rb").read())
-    texts = [*(t or "" for _, t in EDGES), "  a  b\n\tc ", "<s> </s> <unk> <0x0A> x", " ", "   ", "é́ \x00 z", "a▁b ▁ c", "ends in space "]
-    ids = own.encode(texts)
-    assert own.by_word and ids == own.judge.encode(texts, num_threads=1) and all(own.parity(texts, ids))
-    own.unequal.add("▁b")
-    assert own.parity(["a b", "a c"], own.encode(["a b", "a c"])) == [False, True]
+    texts = [*(t or "" for _, t in EDGES), "  a  b\n\tc ", "<s> </s> <unk> <0x0A> x", " ", "   ", "é́ \x00 z", "a▁b ▁ c", "ends in space ", "a\n\n b \n", "\n", "\nword\n word\r\nword"]
+    for room in (1 << 24, 200, 0):
+        monkeypatch.setattr(sentencepiece_codec, "KNOWN_BYTES", room)
+        ids = own.encode(texts)
+        assert own.by_word and [x.tolist() for x in ids] == own.judge.encode(texts, num_threads=1) and all(own.parity(texts, ids))
+        assert all(own.decode(x) == t for x, t in zip(ids, texts) if "▁" not in t)
+
+
+def test_parity_compares_whole_texts():
+    """A normaliser that changes texts must show in the parity."""
+    own = sentencepiece_codec.Codec(open(sentencepiece_codec.MODEL, "rb").read())
+    plain = own.normalized
+    own.normalized = lambda t: plain(t).lower().replace("x", "y")
+    texts = ["Upper Case", "an x here", "unchanged words"]
+    assert own.parity(texts, own.encode(texts)) == [False, False, True]
 
 
 def test_sentencepiece_unigram_model(tmp_path):
