@@ -6,6 +6,7 @@ formatted text can be read back turn by turn without loss.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +15,12 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Template:
-    """How turns are written. A turn is open + name + colon, the text, close; ``learned`` roles carry loss on their text."""
+    """How turns are written. A turn is open + name + colon, the text, close; ``learned`` roles carry loss on their text.
+
+    ``open`` and ``close`` have two characters at least and no backslash, the
+    first two of ``close`` differ; names do not start with @ and hold neither a
+    backslash nor the first character of ``colon``.
+    """
 
     open: str = "### "
     colon: str = ": "
@@ -22,6 +28,12 @@ class Template:
     names: dict[str, str] = field(default_factory=lambda: {"system": "System", "user": "User", "assistant": "Assistant"})
     learned: tuple[str, ...] = ("assistant",)
 
+    def __post_init__(self):
+        if min(len(self.open), len(self.close)) < 2 or not self.colon or "\\" in self.open + self.colon + self.close or self.close[0] == self.close[1]:
+            raise ValueError("control strings that cannot be told from escaped texts")
+        if any(n.startswith("@") or "\\" in n or self.colon[0] in n for n in self.names.values()):
+            raise ValueError("a name that cannot be told from what follows it")
+
 
 #: The machine: state -> role -> next state. A conversation is valid if every
 #: turn has a transition and the last state is an accepting one.
@@ -35,9 +47,16 @@ ACCEPTING = ("answered",)
 BROKEN = "broken"
 
 
-def escape(text: Column) -> Column:
-    """A backslash before every backslash, every # and the slash of </; markers cannot appear in what results."""
-    return F.regexp_replace(text, r"([\\#]|(?<=<)/)", r"\\$1")
+def escape(text: Column, template: Template, more: str = "") -> Column:
+    """A backslash before every backslash and inside every control string, so that none appears in what results.
+
+    It comes between the first two characters of a control string, and before
+    each of them where they are the same; and before the characters ``more``.
+    """
+    controls = (template.open, template.close)
+    single = "".join(re.escape(c) for c in dict.fromkeys("\\" + "".join(c[0] for c in controls if c[0] == c[1]) + more))
+    pairs = [f"(?<={re.escape(c[0])}){re.escape(c[1])}" for c in dict.fromkeys(controls) if c[0] != c[1]]
+    return F.regexp_replace(text, "(" + "|".join([f"[{single}]", *pairs]) + ")", r"\\$1")
 
 
 def unescape(text: Column) -> Column:
@@ -64,12 +83,12 @@ def format_conversations(rows: DataFrame, template: Template | None = None) -> D
     transition. A conversation is one output string and is gathered as such.
     """
     t = template or Template()
-    name = F.concat(F.lit("@"), F.regexp_replace(escape(F.col("role")), ":", r"\\:"))
+    name = F.concat(F.lit("@"), escape(F.col("role"), t, t.colon[0]))
     for role, shown in t.names.items():
         name = F.when(F.col("role") == role, F.lit(shown)).otherwise(name)
     turns = rows.select(
         "conv_id", F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
-    ).select("conv_id", F.struct("turn", "role", "text", name.alias("name"), escape(F.col("text")).alias("safe")).alias("x"))
+    ).select("conv_id", F.struct("turn", "role", "text", name.alias("name"), escape(F.col("text"), t).alias("safe")).alias("x"))
     whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("x")).alias("turns"))
     learned = lambda x: x["role"].isin(*t.learned)
     segments = F.flatten(F.transform("turns", lambda x: F.array(
@@ -92,11 +111,15 @@ def format_conversations(rows: DataFrame, template: Template | None = None) -> D
     )
 
 
+def quoted(control: str) -> str:
+    return r"\Q" + control + r"\E"
+
+
 def read_back(formatted: Column, template: Template | None = None) -> Column:
     """Turns (role, text) of a formatted conversation."""
     t = template or Template()
-    pieces = F.filter(F.split(formatted, t.close), lambda p: p != "")
-    head = r"(?s)^\Q" + t.open + r"\E((?:[^\\:]|\\.)*)\Q" + t.colon + r"\E"
+    pieces = F.filter(F.split(formatted, quoted(t.close)), lambda p: p != "")
+    head = "(?s)^" + quoted(t.open) + r"((?:[^\\" + re.escape(t.colon[0]) + r"]++|\\.)*+)" + quoted(t.colon)
 
     def turn(p: Column) -> Column:
         name = F.regexp_extract(p, head, 1)

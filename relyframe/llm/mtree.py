@@ -9,11 +9,12 @@ nodes in order of their least possible distance, skips whatever the stored
 triangle-inequality bounds exclude before any distance is computed, and stops
 when no node can hold a better score than its k-th.
 
-Shards hold at most SHARD_ROWS distinct vectors that lie near one pivot.
-Every query first searches the shard of its nearest pivot; with the k-th score
-as a bound it is sent on only to shards whose covering ball can hold a better
-one. Queries of a shard are dealt out in blocks, and no group holds more than a
-shard and a block. Equal vectors are one object, of which the k + 1 smallest
+Shards hold at most SHARD_ROWS distinct vectors that lie near one of at most
+PIVOTS pivots. Every query first searches the shards of its nearest pivot; with
+the k-th score as a bound it is sent on only to pivots whose covering ball can
+hold a better one. The queries of a shard are dealt out in blocks by their
+number, and a tree is sent only to blocks that have queries for it, so no group
+holds more than a shard and a block. Equal vectors are one object, of which the k + 1 smallest
 ids can matter; equal queries are searched once.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from relyframe.llm.blocks import dump, load
-from relyframe.llm.store import stored
+from relyframe.llm.store import sized, stored
 
 SCALE = 64
 TOP = 20
@@ -37,6 +38,8 @@ QUERY_STEP = 20
 PAGE = 256
 FANOUT = 8
 SHARD_ROWS = 16_384
+# The most pivots: their balls are all that the driver holds and sends to the tasks.
+PIVOTS = 4_096
 QUERY_BLOCK = 1_024
 # Distances come from differences of squares in doubles; bounds that are this
 # close, relative to the vectors' lengths, do not prune.
@@ -78,11 +81,12 @@ def _fit_width(a: np.ndarray, width: int) -> np.ndarray:
 class MTree:
     """A bulk-loaded tree over the rows of x; arrays only, so that it can be stored."""
 
-    def __init__(self, x: np.ndarray, ids: list[list[int]]):
+    def __init__(self, x: np.ndarray, ids: list[list[int]], top: float = 0.0):
+        """``top`` is the largest squared length of all trees, so that they share one space."""
         self.x, self.ids = x.astype(np.float64), ids
         self.exact = x if np.abs(x).max(initial=0) ** 2 * max(1, x.shape[1]) >= 2**52 else None
         norms = (self.x**2).sum(axis=1)
-        self.top = float(norms.max(initial=0.0))
+        self.top = max(top, float(norms.max(initial=0.0)))
         self.lift = np.sqrt(np.maximum(self.top - norms, 0.0))
         # Node: (routing row, radius, distance to parent, children nodes or None, member rows, members' distances)
         self.nodes: list[tuple] = []
@@ -237,20 +241,28 @@ def _place(pivots: np.ndarray):
     return run
 
 
-def _build(table: pa.Table) -> pa.Table:
-    tree = MTree(matrix(table["v"]), table["ids"].to_pylist())
+def _build(table: pa.Table, top: float) -> pa.Table:
+    tree = MTree(matrix(table["v"]), table["ids"].to_pylist(), top)
     root = tree.nodes[tree.root]
     return pa.table({
-        "shard": table["shard"][:1], "tree": pa.array([dump(tree)], pa.binary()), "center": pa.array([tree.x[root[0]].astype(np.int64).tolist()], pa.list_(pa.int64())),
-        "radius": pa.array([root[1]]), "lift": pa.array([float(tree.lift[root[0]])]), "top": pa.array([tree.top]),
+        "shard": table["shard"][:1], "pivot": table["pivot"][:1], "tree": pa.array([dump(tree)], pa.binary()),
+        "center": pa.array([tree.x[root[0]].astype(np.int64).tolist()], pa.list_(pa.int64())), "radius": pa.array([root[1]]), "lift": pa.array([float(tree.lift[root[0]])]),
     })
 
 
-def _route(heads: list, own_only: bool):
-    """Rows (shard, qkey, v, bound): every query's first shard, or the others that its bound does not exclude."""
+def _cover(table: pa.Table) -> pa.Table:
+    """One ball around the trees of a pivot: about the first one's center."""
+    center = matrix(table["center"]).astype(np.float64)
+    lift, radius = table["lift"].to_numpy(), table["radius"].to_numpy()
+    away = np.sqrt(((center - center[0]) ** 2).sum(axis=1) + (lift - lift[0]) ** 2)
+    return pa.table({"pivot": table["pivot"][:1], "center": table["center"][:1], "radius": pa.array([float((away + radius).max())]), "lift": table["lift"][:1]})
+
+
+def _route(heads: list, top: float, own_only: bool):
+    """Rows (pivot, qkey, v, bound): every query's first pivot, or the others that its bound does not exclude."""
     center = matrix([h["center"] for h in heads]).astype(np.float64)
-    radius, lift, top = (np.array([h[c] for h in heads]) for c in ("radius", "lift", "top"))
-    pivot = np.array([h["shard"] for h in heads], object)
+    radius, lift = (np.array([h[c] for h in heads]) for c in ("radius", "lift"))
+    pivot = np.array([h["pivot"] for h in heads], np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,11 +281,20 @@ def _route(heads: list, own_only: bool):
             step = 65_536
             for lo in range(0, len(q), step):
                 part = pa.array(q[lo : lo + step])
-                yield pa.RecordBatch.from_arrays([pa.array(pivot[s[lo : lo + step]].tolist(), pa.string()), batch.column(0).take(part), batch.column(1).take(part), batch.column(2).take(part)], ["shard", "qkey", "v", "bound"])
+                yield pa.RecordBatch.from_arrays([pa.array(pivot[s[lo : lo + step]]), batch.column(0).take(part), batch.column(1).take(part), batch.column(2).take(part)], ["pivot", "qkey", "v", "bound"])
 
     return run
 
 
+def meetings(routed: DataFrame, trees: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Queries and trees by (shard, block): as many blocks of a shard as its queries fill, each with one copy of the tree."""
+    rows = routed.join(trees.select("pivot", "shard"), "pivot")
+    blocks = stored(rows.groupBy("shard").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks")), "blocks")
+    near = stored(rows.join(sized(blocks), "shard").withColumn("block", F.pmod(F.xxhash64("qkey"), "blocks").cast("int")).drop("pivot", "blocks"), "near")
+    held = stored(near.select("shard", "block").distinct(), "held")
+    return near, trees.select("shard", "tree").join(held, "shard")
+
+
 def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     """For queries (vec_id, v) among vectors (vec_id, v): query_id, rank, vec_id, score of the k best other rows.
 
@@ -292,29 +313,30 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int = TOP) ->
     out = "query_id long, rank int, vec_id long, score long, computed long"
     if not total:
         return spark.createDataFrame([], out)
-    # One pivot for each shard: the index's only fit, on as many rows as there are shards.
-    pivots = matrix([r["v"] for r in objects.orderBy("h", "v").limit(-(-total // SHARD_ROWS)).collect()])
+    # The index is fitted on one pivot for each shard, PIVOTS at most; every row is in it.
+    n_pivots = min(-(-total // SHARD_ROWS), PIVOTS)
+    pivots = matrix([r["v"] for r in objects.orderBy("h", "v").limit(n_pivots).collect()])
     placed = stored(objects.select("h", "v", "ids").mapInArrow(_place(pivots), "h long, v array<long>, ids array<long>, pivot int"), "placed")
     parts = placed.groupBy("pivot").agg(F.ceil(F.count("*") / SHARD_ROWS).alias("parts"))
-    named = placed.join(F.broadcast(parts), "pivot").withColumn("shard", F.concat_ws("/", "pivot", F.pmod(F.col("h"), "parts")))
-    trees = stored(named.select("shard", "v", "ids").groupBy("shard").applyInArrow(_build, "shard string, tree binary, center array<long>, radius double, lift double, top double"), "trees")
-    heads = [r.asDict() for r in trees.drop("tree").orderBy("shard").collect()]
+    named = placed.join(F.broadcast(parts), "pivot").withColumn("shard", F.concat_ws("/", "pivot", F.pmod(F.col("h"), "parts")))  # a row for each pivot
+    length = F.aggregate("v", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double"))
+    top = objects.agg(F.max(length)).first()[0]
+    ball = "center array<long>, radius double, lift double"
+    trees = stored(named.select("shard", "pivot", "v", "ids").groupBy("shard").applyInArrow(lambda t: _build(t, top), f"shard string, pivot int, tree binary, {ball}"), "trees")
+    heads = [r.asDict() for r in trees.drop("tree").groupBy("pivot").applyInArrow(_cover, f"pivot int, {ball}").orderBy("pivot").collect()]
 
     asked = stored(queries.groupBy("v").agg(F.min("vec_id").alias("qkey")).select("qkey", "v"), "asked")
-    n_blocks = -(-max(1, asked.count()) // QUERY_BLOCK)
-    routed = "shard string, qkey long, v array<long>, bound double"
+    routed = "pivot int, qkey long, v array<long>, bound double"
 
     def visit(rows: DataFrame) -> DataFrame:
-        block = F.pmod(F.xxhash64("qkey"), F.lit(n_blocks)).cast("int")
-        own = trees.select("shard", "tree", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
-        near = rows.withColumn("block", block)
+        near, own = meetings(stored(rows, "routed"), trees)
         return near.groupBy("shard", "block").cogroup(own.groupBy("shard", "block")).applyInArrow(lambda a, b: _search(a, b, k + 1), HITS)
 
     plain = asked.withColumn("bound", F.lit(None).cast("double"))
-    one = stored(visit(plain.mapInArrow(_route(heads, True), routed)), "hits")
+    one = stored(visit(plain.mapInArrow(_route(heads, top, True), routed)), "hits")
     kth = one.groupBy("qkey").agg(F.min("score").alias("low"), F.count("*").alias("n")).select("qkey", F.when(F.col("n") > k, F.col("low").cast("double")).alias("bound"))
     rest = asked.join(kth, "qkey", "left").select("qkey", "v", "bound")
-    two = visit(rest.mapInArrow(_route(heads, False), routed))
+    two = visit(rest.mapInArrow(_route(heads, top, False), routed))
     best = Window.partitionBy("qkey").orderBy(F.desc("score"), "vec_id")
     hits = one.union(two).withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k + 1)
     rows = queries.select(F.col("vec_id").alias("query_id"), "v").join(asked, "v").join(hits, "qkey").filter("query_id <> vec_id")

@@ -48,6 +48,26 @@ def test_mtree_many_shards(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+def test_mtree_hot_pivots_and_copies_of_trees(spark, monkeypatch):
+    """Few pivots with many shards each; a tree is sent once to each block of its queries and nowhere else."""
+    monkeypatch.setattr(mtree, "SHARD_ROWS", 40)
+    monkeypatch.setattr(mtree, "PIVOTS", 2)
+    monkeypatch.setattr(mtree, "QUERY_BLOCK", 8)
+    sent = []
+    plain = mtree.meetings
+
+    def counted(routed, trees):
+        near, own = plain(routed, trees)
+        sent.append((own.count(), near.select("shard", "block").distinct().count(), near.groupBy("shard", "block").count().agg({"count": "max"}).first()[0]))
+        return near, own
+
+    monkeypatch.setattr(mtree, "meetings", counted)
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.normal(size=4) * (1 + i % 3)).tolist()) for i in range(600)]
+    assert run(spark, rows) == brute(rows)
+    assert len(sent) == 2 and all(a == b and most <= 3 * mtree.QUERY_BLOCK for a, b, most in sent)
+
+
 @pytest.mark.parametrize("n", [0, 1, 5])
 def test_mtree_few_rows(spark, n):
     rows = [(20 * i, [1.0, float(i)]) for i in range(n)]
@@ -86,6 +106,41 @@ def test_chat_round_trip_and_machine(spark):
     assert chat.digests(chat.format_conversations(table.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("template", [
+    chat.Template("<|im_start|>", "\n", "<|im_end|>\n", {"system": "system", "user": "user", "assistant": "assistant"}),
+    chat.Template("[INST]", "]: ", "[/INST].*+", {"user": "U (1)"}, ("user", "assistant")),
+    chat.Template("((", "#", "</s>", {"assistant": "a.b"}),
+    chat.Template(),
+])
+def test_chat_templates_are_reversible(spark, template):
+    parts = [template.open, template.close, template.colon, template.open[0], template.close[:2], template.close[1:], "\\", "#", "\n", "]", "x", "$1", "(", "é🙂"]
+    texts = [a + b + c for a in parts for b in parts for c in ("", "\\", template.close[0])]
+    rows = [(k // 40, k % 40, ("user", "assistant", "system", template.colon + template.open, "@x\\")[k % 5], t) for k, t in enumerate(texts)]
+    table = spark.createDataFrame([(*r, "c", 1) for r in rows], TURNS)
+    out = {r.conv_id: r for r in chat.format_conversations(table, template).withColumn("back", chat.read_back(chat.F.col("formatted"), template)).collect()}
+    for conv in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == conv]
+        assert [(t.role, t.text) for t in out[conv].back] == [r[2:] for r in mine]
+        assert out[conv].formatted.count(template.close) == out[conv].formatted.count(template.open) == len(mine)
+    got = {r.conv_id: r for r in chat.digests(chat.format_conversations(table, template), template).collect()}
+    said = "".join(r[3] for r in rows if r[0] == 0 and r[2] in template.learned)
+    assert got[0].loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
+
+
+def test_chat_long_conversation(spark):
+    rows = [(1, i, ("user", "assistant")[i % 2], f"turn {i} # </turn>") for i in range(4_000)] + [(2, 0, "user", "</#\\" * 100_000), (2, 1, "assistant", "word </turn> " * 50_000)]
+    got = {r.conv_id: r for r in chat.digests(chat.format_conversations(spark.createDataFrame([(*r, "c", 1) for r in rows], TURNS))).collect()}
+    for conv in (1, 2):
+        turns = "".join(f"{r[2]}\n{r[3]}\n" for r in rows if r[0] == conv)
+        assert got[conv].valid and got[conv].turns_sha256 == hashlib.sha256(turns.encode()).hexdigest()
+
+
+@pytest.mark.parametrize("parts", [("#", ": ", "</turn>"), ("###", "", "</turn>"), ("###", ": ", "\n\n"), ("###", ": ", "<\\>")])
+def test_chat_refuses_templates_that_cannot_be_read_back(parts):
+    with pytest.raises(ValueError):
+        chat.Template(*parts)
+
+
 def test_chat_uses_no_python(spark):
     table = spark.createDataFrame([(1, 0, "user", "a", "c", 1)], TURNS)
     plan = chat.digests(chat.format_conversations(table))._jdf.queryExecution().toString()
@@ -109,6 +164,38 @@ def test_pipeline_stages(make, spark):
     assert 202 not in ids["benchmark_decontamination"] and {4, 100} <= ids["sentencepiece"] and PASSAGE
 
 
+def test_pipeline_near_duplicates_by_text(make, spark):
+    """No text is lost because its doc_id has another text, and one row of each group stays."""
+    p, q = prose(60, 80), prose(61, 80)
+    rows = [(1, p), (2, p), (2, q), (3, q + " word"), (4, prose(62, 40)), (4, prose(62, 40)), (None, prose(63, 40)), (None, prose(63, 40)), (None, p), (5, ""), (5, ""), (6, None), (7, " ")]
+    out = corpus_pipeline.near_duplicates(spark, make(rows), "")
+    assert out.columns == make(rows).columns
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert sorted(got, key=repr) == sorted([(1, p), (2, q), (4, prose(62, 40)), (None, prose(63, 40)), (5, ""), (6, None), (7, " ")], key=repr)
+
+
+@pytest.mark.parametrize("size", [0, 10**9])
+def test_components_by_rounds_and_in_one_task(spark, monkeypatch, size):
+    from relyframe.llm import components
+
+    monkeypatch.setattr(components, "ONE_TASK", size)
+    rng = np.random.default_rng(3)
+    links = [*((i, i + 1) for i in range(100, 180)), *((int(a), int(b)) for a, b in rng.integers(200, 500, (250, 2))), (7, 9), (9, 8), (5, 5)]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    parent = {x: x for ab in links for x in ab if ab[0] != ab[1]}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        if a != b:
+            lo, hi = sorted((find(a), find(b)))
+            parent[hi] = lo
+    assert got == {x: find(x) for x in parent}
+
+
 @pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES])
 def test_pipeline_empty(make, spark, stage):
     assert stage(spark, make([]), "/root/testdata/sf0.01").count() == 0
