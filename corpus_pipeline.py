@@ -1,4 +1,7 @@
-"""From raw documents to tokens: identify the language, delete repeated lines, drop near-duplicates and benchmark leaks, encode."""
+"""From raw documents to tokens: identify the language, delete repeated lines, drop near-duplicates and benchmark leaks, encode.
+
+The stages are operators of ``relyframe.llm``; without that folder this file cannot be imported.
+"""
 
 from __future__ import annotations
 
@@ -31,9 +34,24 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id."""
-    copies = stored(near_dup.near_duplicates(docs, NEAR_PERCENT).filter("NOT kept").select("doc_id").distinct(), "copies")
-    return docs.join(sized(copies), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near-duplicates, the one with the smallest doc_id; a null doc_id comes last.
+
+    Every text counts by itself: rows that share a doc_id but not the text can
+    be in different groups, and of repeated rows one stays. A text without words
+    is near to nothing but its own repetitions.
+    """
+    row = F.xxhash64("doc_id", F.lit("/"), "text")
+    texts = stored(docs.select(row.alias("doc_id"), "text", F.col("doc_id").alias("name")), "texts")
+    groups = near_dup.near_duplicates(texts.select("doc_id", "text"), NEAR_PERCENT).select("doc_id", "component_id")
+    ranked = groups.distinct().join(texts.select("doc_id", "name").distinct(), "doc_id")
+    first = ranked.groupBy("component_id").agg(F.count("*").alias("size"), F.min(F.struct(F.col("name").isNull(), "name", "doc_id")).alias("first"))
+    grouped = ranked.join(first.filter("size > 1"), "component_id")
+    copies = stored(grouped.filter("doc_id <> first.doc_id").select(F.col("doc_id").alias("relyframe_row")), "copies")
+    again = stored(texts.groupBy("doc_id").agg(F.count("*").alias("times")).filter("times > 1").select(F.col("doc_id").alias("relyframe_again")), "again")
+    kept = docs.withColumn("relyframe_row", row).join(sized(copies), "relyframe_row", "left_anti")
+    once = kept.join(sized(again), F.col("relyframe_row") == F.col("relyframe_again"), "left_anti")
+    several = kept.join(sized(again), F.col("relyframe_row") == F.col("relyframe_again"), "left_semi").dropDuplicates(["relyframe_row"])
+    return once.union(several).select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
