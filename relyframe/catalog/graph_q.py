@@ -9,8 +9,8 @@ from relyframe.sources import inputs
 from relyframe.sources.tables import table
 
 
-def _pairs(spark, root):
-    return fact_table(spark, root, "reach", lambda: graph.reach_all(inputs.edges(spark, root)))
+def _counts(spark, root):
+    return fact_table(spark, root, "reach_counts", lambda: graph.reach_counts(inputs.edges(spark, root)))
 
 
 def _asked(spark, root):
@@ -31,7 +31,7 @@ def _names(spark, root):
 def upstream_closure(spark, root):
     back = graph.flipped(inputs.edges(spark, root))
     asked = _asked(spark, root)
-    met = graph.closure_edges(back, graph.reach_from(back, asked), asked)
+    met = graph.closure_edges(back, graph.reached(back, asked), asked)
     met = met.select("root", F.col("dst").alias("src"), F.col("src").alias("dst"), "relationship")
     n = _names(spark, root).withColumnRenamed("k", "src")
     return met.join(n, "src", "left").select("root", "src", "dst", "relationship", F.coalesce("c_name", F.lit("Unknown")).alias("dataset_name"))
@@ -45,14 +45,14 @@ def upstream_closure(spark, root):
 )
 def downstream_closure(spark, root):
     asked, edges = _asked(spark, root), inputs.edges(spark, root)
-    met = graph.closure_edges(edges, graph.reach_from(edges, asked), asked)
+    met = graph.closure_edges(edges, graph.reached(edges, asked), asked)
     n = _names(spark, root).withColumnRenamed("k", "dst")
     return met.join(n, "dst", "left").select("root", "src", "dst", "relationship", F.coalesce("c_name", F.lit("Unknown")).alias("dataset_name"))
 
 
 @query("o03_blast_radius", "SELECT root, count(DISTINCT node) AS blast_radius FROM reach_v GROUP BY root")
 def blast_radius(spark, root):
-    return graph.blast_radius(_pairs(spark, root))
+    return graph.blast_radius(_counts(spark, root))
 
 
 @query(
@@ -64,7 +64,7 @@ def blast_radius(spark, root):
 def impact_risk(spark, root):
     nodes = table(spark, root, "customer").select(F.col("c_custkey").alias("root"))
     change = F.when(F.col("root") % 2 == 0, "schema_change").otherwise("data_change")
-    return graph.impact(_pairs(spark, root), nodes, change)
+    return graph.impact(_counts(spark, root), nodes, change)
 
 
 @query(

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from relyframe.catalog.registry import query, r4
 from relyframe.session import scratch
 from relyframe.sources.tables import table
+from relyframe.streaming import lifecycle
 from relyframe.streaming import monitors as m
 
 
@@ -71,4 +72,4 @@ def freshness_stream(spark, root):
               count(*) AS changes, count(*) FILTER (WHERE event_type = 'error') AS times_opened FROM events GROUP BY 1""",
 )
 def alert_states(spark, root):
-    return m.run(_feed(spark, root), m.alert_states())
+    return lifecycle.run(lifecycle.statuses(_feed(spark, root))).select("alert_id", "status", "changes", "times_opened")

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from relyframe.operators.reach_index import build_index
 from relyframe.session import settle
 
 
@@ -60,14 +61,33 @@ def closure_edges(edges: DataFrame, pairs: DataFrame, roots: DataFrame) -> DataF
     return starts.distinct().join(edges, "src").select("root", *edges.columns)
 
 
-def blast_radius(pairs: DataFrame) -> DataFrame:
-    """Distinct nodes behind each root (a root inside a loop counts itself)."""
-    return pairs.groupBy("root").agg(F.count(F.lit(1)).alias("blast_radius"))
+def reach_counts(edges: DataFrame) -> DataFrame:
+    """Rows (node, reached, itself): distinct nodes behind each node, and whether it is one of them.
+
+    From the reachability index; where the condensed graph is too large for
+    one, from all pairs of its nodes.
+    """
+    index = build_index(edges)
+    if index:
+        return index.counts()
+    pairs = reach_all(edges)
+    return pairs.groupBy(F.col("root").alias("node")).agg(F.count(F.lit(1)).alias("reached"), (F.count_if(F.col("root") == F.col("node")) > 0).alias("itself"))
+
+
+def reached(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, node) pairs for the given roots: read from the index, or walked where there can be none."""
+    index = build_index(edges)
+    return index.pairs(roots) if index else reach_from(edges, roots)
+
+
+def blast_radius(counts: DataFrame) -> DataFrame:
+    """Distinct nodes behind each root that has any (a root inside a loop counts itself)."""
+    return counts.where("reached > 0").select(F.col("node").alias("root"), F.col("reached").alias("blast_radius"))
 
 
-def impact(pairs: DataFrame, nodes: DataFrame, change_type: Column) -> DataFrame:
+def impact(counts: DataFrame, nodes: DataFrame, change_type: Column) -> DataFrame:
     """Affected nodes other than the root, the risk, and the reports involved."""
-    hit = pairs.where(F.col("root") != F.col("node")).groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    hit = counts.select(F.col("node").alias("root"), (F.col("reached") - F.col("itself").cast("long")).alias("n"))
     n = F.coalesce("n", F.lit(0))
     risk = (
         F.when(n > 3, "CRITICAL")
@@ -112,10 +132,13 @@ def _peeled(live: DataFrame, loops: DataFrame, peels: int = 4) -> DataFrame:
 def meets_cycle(edges: DataFrame) -> DataFrame:
     """For each node, whether a walk from it can come to a cycle.
 
-    Edges into dead ends are dropped, and chains of nodes with one way out are
+    Read from the reachability index where there can be one. Else, edges into dead ends are dropped, and chains of nodes with one way out are
     followed to their end at once, in turns; what remains in the end leads to a
     cycle. No path pairs are formed.
     """
+    index = build_index(edges)
+    if index:
+        return index.meets_cycle()
     live = settle(edges.select("src", "dst").distinct())
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     loops = nodes.where("false")  # nodes known to meet a cycle

@@ -241,12 +241,13 @@ def test_graph(spark):
     cyc = {r.node: r.meets_cycle for r in graph.meets_cycle(e).collect()}
     assert {n for n, c in cyc.items() if c} == {1, 2, 3, 4}
     nodes = spark.createDataFrame([(n,) for n in (1, 4, 9, 10, 5)], "root int")
-    risk = {r.root: (r.affected, r.risk) for r in graph.impact(pairs, nodes, F.lit("data_change")).collect()}
+    counts = graph.reach_counts(e)
+    risk = {r.root: (r.affected, r.risk) for r in graph.impact(counts, nodes, F.lit("data_change")).collect()}
     assert risk == {1: (2, "HIGH"), 4: (0, "LOW"), 9: (1, "MEDIUM"), 10: (0, "LOW"), 5: (5, "CRITICAL")}
     asked = spark.createDataFrame([(5,), (2,)], "root int")
     met = {(r.root, r.src, r.dst) for r in graph.closure_edges(e, graph.reach_from(e, asked), asked).collect()}
     assert met == {(2, 2, 3), (2, 3, 2), *((5, n, n + 1) for n in range(5, 10))}
-    one = graph.impact(pairs, nodes.where("root = 9"), F.lit("schema_change")).first()
+    one = graph.impact(counts, nodes.where("root = 9"), F.lit("schema_change")).first()
     assert (one.risk, one.affected_reports) == ("HIGH", 2)
 
 
