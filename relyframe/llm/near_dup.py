@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from relyframe.llm.components import components
-from relyframe.llm.store import sized, stored
+from relyframe.llm.store import sized, slim, stored
 from relyframe.llm.text import U64, mix, shingles, trim, words
 
 SHINGLE_WORDS = 5
@@ -36,6 +36,7 @@ BINS = BANDS * BAND_BINS
 PERCENT = 85
 FIRST_HUBS = 64
 SLICES = 64
+BLOCK_MEMBERS, BLOCK_HUBS = 4_096, 1_024
 _FULL = U64(2**64 - 1)
 _TRIES = 32
 
@@ -174,20 +175,54 @@ def own_shingles(sets: DataFrame) -> DataFrame:
     return one.join(mine, "id", "left").select("id", "texts", "shingles", "alone").mapInArrow(_shapes, "rep long, own long, shape array<int>")
 
 
-def shapes_fit(n: str, shape: str, m: str, its: str, percent: int):
-    """Exact bound: in each slice a pair shares at most the smaller number."""
-    shared = F.aggregate(F.zip_with(shape, its, lambda p, q: F.least(p, q).cast("long")), F.lit(0).cast("long"), lambda t, x: t + x)
-    return shared * 100 >= (F.col(n) + F.col(m) - shared) * percent
-
-
 def can_link(n: str, own: str, m: str, its: str, percent: int):
     """Exact bound: a pair shares at most the smaller count of shingles that are not its own."""
     shared = F.least(F.col(n) - F.col(own), F.col(m) - F.col(its))
     return shared * 100 >= (F.col(n) + F.col(m) - shared) * percent
 
 
-def with_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    return rows.join(keys, ["rep", "n"]).select("key", "rep", "n", "own", "component", "keys", "shape")
+def _possible(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of a hub and a member of another component that both bounds allow, for lists of members and hubs of one bucket."""
+    for batch in batches:
+        lists = batch.column(0)
+        upto, rows = np.asarray(lists.offsets), lists.flatten()
+        rep, component, n, own, hub = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("rep", "component", "n", "own", "hub"))
+        shape = rows.field("shape").flatten().to_numpy().reshape(-1, SLICES)
+        found = []
+        for lo, hi in zip(upto[:-1], upto[1:], strict=True):
+            members, hubs = (lo + np.flatnonzero(hub[lo:hi] == side) for side in (False, True))
+            for h in hubs:
+                m = members[component[members] != component[h]]
+                most = np.minimum(n[m] - own[m], n[h] - own[h])
+                m = m[most * 100 >= (n[m] + n[h] - most) * percent]
+                # In each slice of the hashes a pair shares at most the smaller number.
+                most = np.minimum(shape[m], shape[h]).sum(axis=1, dtype=np.int64)
+                m = m[most * 100 >= (n[m] + n[h] - most) * percent]
+                if len(m):
+                    found.append(np.stack([np.minimum(rep[m], rep[h]), np.maximum(rep[m], rep[h])]))
+        if found:
+            a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+    trim()
+
+
+def hub_pairs(open_rows: DataFrame, chosen: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of hubs and members of the same bucket; both are dealt out in blocks, so no list is longer than two blocks."""
+    columns = ["rep", "component", "n", "own", "shape"]
+    size = open_rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("mine"))
+    size = size.join(chosen.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_HUBS).cast("int").alias("theirs")), "key")
+    rows = open_rows.count()
+    size = stored(slim(size, rows), "blocks")
+
+    def dealt(rows: DataFrame, own: str, its: str, hub: bool) -> DataFrame:
+        block = F.pmod(F.xxhash64("rep"), own).cast("int").alias("own_block")
+        wide = rows.join(size, "key").select("key", *columns, block, F.explode(F.sequence(F.lit(0), F.col(its) - 1)).alias("its_block"))
+        blocks = ("its_block", "own_block") if hub else ("own_block", "its_block")
+        return wide.select("key", F.col(blocks[0]).alias("x"), F.col(blocks[1]).alias("y"), *columns, F.lit(hub).alias("hub"))
+
+    both = dealt(open_rows, "mine", "theirs", False).union(dealt(chosen, "theirs", "mine", True))
+    lists = both.groupBy("key", "x", "y").agg(F.collect_list(F.struct(*columns, "hub")).alias("rows")).select("rows")
+    return slim(slim(lists, 8 * rows).mapInArrow(lambda batches: _possible(batches, percent), "a long, b long").distinct(), rows)
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -207,48 +242,47 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = stored(reps.select(F.col("doc_id").alias("rep"), "n", F.explode("keys").alias("key")), "bands")
     several = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
     found = stored(rows.join(several, "key"), "members")
-    ids = stored(found.select(F.col("rep").alias("doc_id")).distinct(), "candidates")
+    size = found.count()  # tables of candidates are no longer than this
+    ids = stored(slim(found.select(F.col("rep").alias("doc_id")).distinct(), size // BANDS), "candidates")
+    few = ids.count()
     texts = docs.join(sized(ids), "doc_id", "left_semi").select("doc_id", "text")
     sets = stored(texts.mapInArrow(_sets, "id long, shingles array<long>"), "sets")
     # A candidate with more than 100 - percent % shingles of its own can link with none.
-    owned = stored(own_shingles(sets), "own")
+    owned = stored(slim(own_shingles(sets), 8 * few), "own")
     alive = found.join(owned.select("rep", "own"), "rep").filter((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent)
-    alive = stored(alive.select("key", "rep", "n", "own"), "alive")
+    alive = stored(slim(alive.select("key", "rep", "n", "own"), size), "alive")
     # The hub is the member with the fewest shingles of its own: the most central copy.
     hubs = alive.groupBy("key").agg(F.min(F.struct("own", "rep", "n")).alias("hub"), F.count("*").alias("size")).filter("size > 1")
     hubs = hubs.select("key", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.own").alias("hub_own"))
-    members = stored(alive.join(hubs, "key"), "members")
+    members = stored(slim(alive.join(hubs, "key"), size), "members")
 
     # Nodes of one doc_id with several texts hang together.
     repeated = named.groupBy("doc_id").agg(F.countDistinct("n", "h1", "h2").alias("texts")).filter("texts > 1")
     same = named.join(repeated, "doc_id").join(classes, ["n", "h1", "h2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    same = stored(same.filter("a <> b").distinct(), "same")
+    same = stored(slim(same.filter("a <> b").distinct(), few), "same")
 
     star = members.filter((F.col("hub") != F.col("rep")) & can_link("n", "own", "hub_n", "hub_own", percent))
-    star = stored(star.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct(), "pairs")
-    confirmed = stored(confirm(sets, star, percent), "confirmed")
+    star = stored(star.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct().transform(slim, 4 * few), "pairs")
+    confirmed = stored(slim(confirm(sets, star, percent), 32 * few), "confirmed")
     links = confirmed if same.isEmpty() else confirmed.union(same)
     label = components(links)
 
-    # Rounds for buckets that hold several components; a pair that shares
-    # several buckets is met in the first one only.
-    keys = reps.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n", "keys").join(owned.select("rep", "shape"), "rep")
+    # Rounds for buckets that hold several components.
+    shapes = owned.select("rep", "shape")
     pending, wide = members.filter("rep <> hub").select("key", "rep", "n", "own"), FIRST_HUBS
     while True:
         now = pending.join(label.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-        open_rows = stored(now.join(mixed, "key").select("key", "rep", "n", "own", "component"), "open")
-        if open_rows.isEmpty():
+        open_rows = stored(slim(now.join(mixed, "key").join(shapes, "rep").select("key", "rep", "n", "own", "component", "shape"), 8 * size), "open")
+        size = open_rows.count()
+        if not size:
             break
         turn = F.row_number().over(Window.partitionBy("key").orderBy("own", "rep"))
-        chosen = stored(open_rows.withColumn("turn", turn).filter(F.col("turn") <= wide).drop("turn"), "hubs")
+        chosen = stored(slim(open_rows.withColumn("turn", turn).filter(F.col("turn") <= wide).drop("turn"), size), "hubs")
         wide *= 64
-        x, y = with_keys(open_rows, keys), with_keys(chosen, keys).toDF("hub_key", "hub", "m", "its", "other", "hub_keys", "hub_shape")
-        first = F.array_position(F.zip_with("keys", "hub_keys", lambda p, q: p == q), True)
-        met = x.join(y, (F.col("key") == F.col("hub_key")) & (F.col("component") != F.col("other")) & can_link("n", "own", "m", "its", percent) & (F.get("keys", first - 1) == F.col("key")) & shapes_fit("n", "shape", "m", "hub_shape", percent))
-        pairs = stored(met.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct(), "pairs")
-        pending = stored(open_rows.join(chosen.select("key", "rep"), ["key", "rep"], "left_anti").select("key", "rep", "n", "own"), "pending")
-        more = stored(confirm(sets, pairs, percent), "confirmed")
+        pairs = stored(hub_pairs(open_rows, chosen, percent), "pairs")
+        pending = stored(slim(open_rows.join(chosen.select("key", "rep"), ["key", "rep"], "left_anti").select("key", "rep", "n", "own"), size), "pending")
+        more = stored(slim(confirm(sets, pairs, percent), 32 * pairs.count()), "confirmed")
         if not more.isEmpty():
             confirmed = confirmed.union(more)
             links = links.union(more)

@@ -10,6 +10,8 @@ from relyframe.session import scratch
 # A table is broadcast when its rows, written as JSON, stay below this.
 BROADCAST_CHARS = 64 << 20
 BATCH_BYTES = 8 << 20
+# Rows of ids, keys and counts that make a task of their own.
+TASK_ROWS = 50_000
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -19,6 +21,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def slim(df: DataFrame, rows: int) -> DataFrame:
+    """No more tasks than a table of about so many short rows needs: ``rows`` is measured, or a bound from a measured table."""
+    return df.coalesce(max(8, -(-rows // TASK_ROWS)))
+
+
 def sized(df: DataFrame, limit: int = BROADCAST_CHARS) -> DataFrame:
     """A stored table, hinted for broadcast only when its measured size stays below ``limit``; beyond it, both sides are shuffled."""
     chars = df.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0

@@ -65,6 +65,27 @@ def test_near_duplicates_brute_force(make):
     assert (got.kept == (got.doc_id == got.component_id)).all()
 
 
+@pytest.mark.parametrize(("hubs", "blocks"), [(64, (4_096, 1_024)), (2, (5, 3))])
+def test_near_duplicates_in_hot_buckets(make, monkeypatch, hubs, blocks):
+    """Large groups of copies that one star does not link: further rounds of hubs, in blocks, lose no link."""
+    import random
+
+    monkeypatch.setattr(near_dup, "FIRST_HUBS", hubs)
+    monkeypatch.setattr(near_dup, "BLOCK_MEMBERS", blocks[0])
+    monkeypatch.setattr(near_dup, "BLOCK_HUBS", blocks[1])
+    r, rows = random.Random(11), []
+    for g in range(3):
+        # Drifting versions: neighbours are near, the ends of a chain are not.
+        w = prose(70 + g, 160).split()
+        for k in range(60):
+            if k % 2:
+                w[r.randrange(len(w))] = f"drift{r.randrange(10**6)}"
+            rows.append((1_000 * g + k, " ".join(w)))
+    got = near_dup.near_duplicates(make(rows)).toPandas()
+    want = components_of(rows)
+    assert dict(zip(got.doc_id, got.component_id)) == want and 3 <= len(set(want.values())) < 60
+
+
 def test_densify_keeps_values_and_fills():
     sets = [np.unique(np.random.default_rng(s).integers(1, 2**63, n, dtype=np.uint64)) for s, n in enumerate((1, 2, 7, 5000))]
     bins = np.full((4, near_dup.BINS), near_dup._FULL, np.uint64)
