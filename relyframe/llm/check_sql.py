@@ -25,13 +25,19 @@ WITH raw AS MATERIALIZED (
 keyed AS MATERIALIZED (SELECT doc_id, line, trim(body, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS s FROM raw),
 l AS MATERIALIZED (
     SELECT doc_id, line, s, len(regexp_extract_all(s, '[^\x20\x09-\x0D]+')) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS spot FROM keyed WHERE s <> ''),
-ahead AS (
-    SELECT *, lead(s, 1) OVER o AS s1, lead(n, 1) OVER o AS n1, lead(s, 2) OVER o AS s2 FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY spot)),
+near AS MATERIALIZED (
+    SELECT *, lead(s, 1) OVER o AS s1, lead(n, 1) OVER o AS n1, lead(s, 2) OVER o AS s2, lag(s, 1) OVER o AS b1, lag(n, 1) OVER o AS m1, lag(s, 2) OVER o AS b2
+    FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY spot)),
 win AS MATERIALIZED (
-    SELECT doc_id, spot, CASE WHEN n >= 40 THEN 1 WHEN n + n1 >= 40 THEN 2 WHEN s2 IS NOT NULL THEN 3 END AS size,
-           CASE WHEN n >= 40 THEN s WHEN n + n1 >= 40 THEN s || chr(10) || s1 ELSE s || chr(10) || s1 || chr(10) || s2 END AS body
-    FROM ahead),
-late AS (SELECT doc_id, spot, size FROM (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, spot) AS place FROM win WHERE size IS NOT NULL) WHERE place > 1),
+    SELECT doc_id, spot, CASE WHEN n >= 4 THEN 1 WHEN n + n1 >= 4 THEN 2 WHEN s2 IS NOT NULL THEN 3 END AS size, false AS few,
+           CASE WHEN n >= 4 THEN s WHEN n + n1 >= 4 THEN s || chr(10) || s1 ELSE s || chr(10) || s1 || chr(10) || s2 END AS body FROM near
+    UNION
+    SELECT doc_id, spot - CASE WHEN n >= 4 THEN 0 WHEN n + m1 >= 4 THEN 1 ELSE 2 END, CASE WHEN n >= 4 THEN 1 WHEN n + m1 >= 4 THEN 2 WHEN b2 IS NOT NULL THEN 3 END, false,
+           CASE WHEN n >= 4 THEN s WHEN n + m1 >= 4 THEN b1 || chr(10) || s ELSE b2 || chr(10) || b1 || chr(10) || s END FROM near
+    UNION SELECT doc_id, spot, 1, true, s FROM l WHERE n < 4),
+held AS (SELECT body, few FROM win WHERE size IS NOT NULL GROUP BY body, few HAVING NOT few OR count(DISTINCT doc_id) >= 20),
+late AS (
+    SELECT doc_id, spot, size FROM (SELECT *, row_number() OVER (PARTITION BY body, few ORDER BY doc_id, spot) AS place FROM win JOIN held USING (body, few) WHERE size IS NOT NULL) WHERE place > 1),
 gone AS (SELECT DISTINCT l.doc_id, l.line FROM l JOIN late ON l.doc_id = late.doc_id AND l.spot >= late.spot AND l.spot < late.spot + late.size),
 kept AS (
     SELECT raw.doc_id, count(gone.line) AS n_deleted, string_agg(body, chr(10) ORDER BY raw.line) FILTER (gone.line IS NULL) AS text

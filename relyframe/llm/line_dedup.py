@@ -1,20 +1,18 @@
 """Repeated runs of lines by winnowing.
 
 A line's key is its text without surrounding white space; blank lines do not
-count. A window starts at a line and ends at the first line that makes it three
-lines or MIN_WORDS words long, so a window's extent depends on its own lines
-alone. The least line hash of a window is its fingerprint, a guaranteed one:
-wherever the window occurs, the same line is chosen. Occurrences of
-fingerprints that occur once are dropped; from the others the match is extended
-both ways over all windows around the chosen line, every such window is
-compared with its first place (smallest doc_id, then smallest line), and the
-lines of windows that start earlier somewhere are deleted as runs.
-
-``short_runs`` lowers the least run to RUN_WORDS words (or three lines), so that
-a single repeated line of a few words is one. Windows then end as well as begin
-at every line: the least windows of both kinds inside a maximal run cover all
-of it, so the whole later run goes. A line of fewer words goes by itself when
-SHARED documents hold it.
+count. A run is at least RUN_WORDS words or WINDOW_LINES lines long, a single
+line of so many words among them. A window is a least run: it starts at a line
+and ends at the first line that makes it long enough, or ends at a line and
+starts at the last one that does, so its extent depends on its own lines alone
+and the windows of both kinds inside a maximal run cover all of it. The least
+line hash of a window is its fingerprint, a guaranteed one: wherever the window
+occurs, the same line is chosen. Occurrences of fingerprints that occur once
+are dropped; from the others the match is extended both ways over all windows
+around the chosen line, every such window is compared with its first place
+(smallest doc_id, then smallest line), and the lines of windows that start
+earlier somewhere are deleted, so that the whole later run goes. A line of
+fewer words goes by itself when SHARED documents hold it and it stands earlier.
 """
 
 from __future__ import annotations
@@ -32,7 +30,6 @@ from relyframe.llm.store import sized, stored
 from relyframe.llm.text import _SYMBOL, U64, mix, shingles, span_hash, words
 
 WINDOW_LINES = 3
-MIN_WORDS = 40
 RUN_WORDS, SHARED = 4, 20
 
 # One row per chosen line: the windows it stands for begin at the lines `starts`.
@@ -48,7 +45,7 @@ def _lines(w) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return w.row[first], number[first], last - first + 1, span_hash(_SYMBOL[w.bytes], w.start[first], w.end[last])
 
 
-def _windows(row: np.ndarray, n_words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+def _windows(row: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and sizes in lines of all windows that are complete."""
     n = len(row)
     size = np.zeros(n, np.int64)
@@ -57,15 +54,15 @@ def _windows(row: np.ndarray, n_words: np.ndarray, least: int) -> tuple[np.ndarr
         at = np.arange(n - k + 1)
         at = at[(size[: n - k + 1] == 0) & (row[at] == row[at + k - 1])] if len(at) else at
         total[at] += n_words[at + k - 1]
-        size[at[(total[at] >= least) | (k == WINDOW_LINES)]] = k
+        size[at[(total[at] >= RUN_WORDS) | (k == WINDOW_LINES)]] = k
     start = np.flatnonzero(size)
     return start, size[start]
 
 
-def _short_windows(row: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _all_windows(row: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Least windows from each line on and up to each line, and every line of few words by itself."""
-    start, size = _windows(row, n_words, RUN_WORDS)
-    back, back_size = _windows(row[::-1], n_words[::-1], RUN_WORDS)
+    start, size = _windows(row, n_words)
+    back, back_size = _windows(row[::-1], n_words[::-1])
     few = np.flatnonzero(n_words < RUN_WORDS)
     start = np.concatenate((start, len(row) - back - back_size, few))
     size = np.concatenate((size, back_size, np.ones(len(few), np.int64)))
@@ -73,14 +70,14 @@ def _short_windows(row: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np
     return both // (WINDOW_LINES + 1), both % (WINDOW_LINES + 1)
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch], short_runs: bool) -> Iterator[pa.RecordBatch]:
+def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, versions = batch.column(0), batch.column(1)
         for w in words(batch.column(2)):
             if not len(w.hash):
                 continue
             row, number, n_words, h = _lines(w)
-            start, size = _short_windows(row, n_words) if short_runs else _windows(row, n_words, MIN_WORDS)
+            start, size = _all_windows(row, n_words)
             if not len(start):
                 continue
             chosen, h1, h2 = start.copy(), np.zeros(len(start), np.uint64), np.zeros(len(start), np.uint64)
@@ -105,10 +102,10 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], short_runs: bool) -> Iterat
             yield pa.RecordBatch.from_arrays([pa.array(h[chosen[head]].view(np.int64)), ids.take(rows), versions.take(rows), *lists], ["fingerprint", "doc_id", "version", "starts", "sizes", "h1", "h2", "few", "lines"])
 
 
-def repeated_lines(docs: DataFrame, short_runs: bool = False) -> DataFrame:
+def repeated_lines(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, version, lines): the numbers, from 0, of the lines to delete; stored."""
     texts = docs.filter("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("version"), "text")
-    prints = stored(texts.mapInArrow(lambda batches: _fingerprints(batches, short_runs), FINGERPRINTS), "fingerprints")
+    prints = stored(texts.mapInArrow(_fingerprints, FINGERPRINTS), "fingerprints")
     # A window can repeat inside one choice: several windows count as two places.
     often = prints.groupBy("fingerprint").agg(F.sum(F.size("starts")).alias("n")).filter("n > 1").select("fingerprint")
     near = prints.join(often, "fingerprint", "left_semi")
@@ -119,9 +116,8 @@ def repeated_lines(docs: DataFrame, short_runs: bool = False) -> DataFrame:
     )
     place = F.struct("doc_id", F.col("starts").alias("start"))
     first = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.max("few").alias("few")).filter("n > 1").select("h1", "h2", "few", "first")
-    if short_runs:
-        shared = windows.filter("few").select("h1", "h2", "doc_id").distinct().groupBy("h1", "h2").agg(F.count("*").alias("n")).filter(F.col("n") >= SHARED)
-        first = first.filter("NOT few").union(first.filter("few").join(shared, ["h1", "h2"], "left_semi"))
+    shared = windows.filter("few").select("h1", "h2", "doc_id").distinct().groupBy("h1", "h2").agg(F.count("*").alias("n")).filter(F.col("n") >= SHARED)
+    first = first.filter("NOT few").union(first.filter("few").join(shared, ["h1", "h2"], "left_semi"))
     late = windows.join(first.drop("few"), ["h1", "h2"]).filter(place > F.col("first"))
     runs = late.select("doc_id", "version", F.explode("lines").alias("line")).groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("line")).alias("lines"))
     return stored(runs, "runs")
@@ -146,7 +142,7 @@ def _delete(batches: Iterator[pa.RecordBatch], count_as: str | None) -> Iterator
         yield pa.RecordBatch.from_arrays(columns, names)
 
 
-def dedup_lines(docs: DataFrame, count_as: str | None = None, short_runs: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, count_as: str | None = None) -> DataFrame:
     """The rows of docs, all columns, with repeated runs of lines deleted from ``text``; ``count_as`` names a column for their number.
 
     Null and blank texts stay as they are, and so do rows with a null doc_id.
@@ -154,7 +150,7 @@ def dedup_lines(docs: DataFrame, count_as: str | None = None, short_runs: bool =
     Blank lines are never deleted. A text whose lines all repeat becomes what
     its blank lines leave, at least the empty text.
     """
-    runs = repeated_lines(docs, short_runs)
+    runs = repeated_lines(docs)
     keyed = docs.withColumn("relyframe_version", F.xxhash64("text"))
     lines = sized(runs).select(F.col("doc_id").alias("relyframe_id"), F.col("version").alias("relyframe_version"), F.col("lines").alias("relyframe_lines"))
     joined = keyed.join(lines, (keyed["doc_id"] == lines["relyframe_id"]) & (keyed["relyframe_version"] == lines["relyframe_version"]), "left")

@@ -37,7 +37,7 @@ def test_single_and_short_lines_are_runs(make):
     pool = ["One line of boilerplate words", "Share this", "Read more", "Next", "a b c", "So.", "Again and again we meet", "Yes", "No", "Top"]
     rows = [(i, "\n".join([prose(1000 + i, 5), *(r.choice([*pool, "", prose(r.randrange(10**6), 3)]) for _ in range(r.randint(0, 9)))])) for i in range(25)]
     rows += [(99, "Share this\nRead more"), (100, "Share this\nRead more"), (101, "One line of boilerplate words"), (102, "tail one two three\nx9\ny9"), (103, "tail one two three\nx9\ny9")]
-    got = {x.doc_id: x.gone for x in line_dedup.dedup_lines(make(rows), count_as="gone", short_runs=True).collect()}
+    got = {x.doc_id: x.gone for x in line_dedup.dedup_lines(make(rows), count_as="gone").collect()}
     assert got == runs_deleted(rows) and got[101] == 1 and got[103] == 3 and got[100] == 2
     stage = {x.doc_id for x in corpus_pipeline.lines(None, make(rows), "").collect()}
     assert not {100, 101, 103} & stage and 102 in stage
