@@ -4,7 +4,7 @@ import time
 from datetime import datetime, timedelta
 
 from relyframe.session import scratch
-from relyframe.streaming import lifecycle
+from relyframe.streaming import lifecycle, monitors
 
 CHANGE = "alert_id long, status string, ts timestamp, event_id long"
 
@@ -53,3 +53,25 @@ def test_resolved_alerts_expire_and_old_rows_are_merged(spark, monkeypatch):
         got = feed.arrive([(2, "ACKNOWLEDGED", at(20 + n), 30 + n)], expiry_ms=1)
     assert got[2] == ("ACKNOWLEDGED", 4, 1, 0, 1) and feed.held() == {1, 2, 3}
     assert spark.read.parquet(f"{feed.folder}/summary/run=0").count() == 3
+
+
+EVENT = "event_id long, ts timestamp, user_id long, event_type string, value double"
+
+
+def test_windows_close_and_late_rows_correct_them(spark, monkeypatch):
+    """The state holds the windows of the last days only, whatever came before; figures are those of all rows."""
+    monkeypatch.setattr(monitors, "COMPACT", 3)
+    feed, folder, every, sizes = scratch(spark, "feed"), scratch(spark, "watch"), [], []
+    watch = monitors.histograms()
+    for n in range(10):
+        day = [(100 * n + h, datetime(2024, 3, 1 + n, h, 30), 1, "view", 1.0) for h in range(0, 24, 6)]
+        if n == 7:
+            day.append((999, datetime(2024, 3, 1, 6, 45), 1, "view", 5.0))
+        every += day
+        spark.createDataFrame(day, EVENT).coalesce(1).write.parquet(f"{feed}/{n}")
+        monitors.start(monitors.event_stream(spark, f"{feed}/*", EVENT), watch, folder).awaitTermination(120)
+        sizes.append(monitors.open_windows(spark, folder).count())
+    assert max(sizes[3:]) == min(sizes[3:]) <= 12
+    got = {str(r.window_start): (r.n, r.total) for r in monitors.figures(spark, watch, folder).collect()}
+    assert len(got) == 40 and got["2024-03-01 06:00:00"] == (2, 6.0) and sum(n for n, _ in got.values()) == len(every)
+    assert [(r.event_id, r.batch) for r in monitors.late_rows(spark, folder).collect()] == [(999, 7)]
