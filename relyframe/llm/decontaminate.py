@@ -7,7 +7,9 @@ diagonal (document place minus item place) form an alignment, and each value
 of the item behind a placeholder must always stand for the same value in the
 document. Windows of an alignment that is not consistent count only as
 far as they hold no placeholder. Every window with placeholders is also joined
-by its own tokens, so that a verbatim copy is found whatever it is made of.
+by its own tokens, so that a verbatim copy is found whatever it is made of. A
+token is a word, a number, or one character of a script without spaces. Items
+shorter than a window are one window, with placeholders as well.
 
 Capitalised words are typed in two ways: those that open a sentence are words,
 or they are names too and names side by side (with particles such as "van"
@@ -33,7 +35,8 @@ from relyframe.llm.store import sized, stored
 from relyframe.llm.text import _SYMBOL, LOWER, U64, buffers, mix, pieces, shingles, span_hash
 
 WINDOW = 8
-LITERALS = 4
+# Literal tokens that a template needs: of a window, and of a whole item that is shorter (of it also half).
+LITERALS, SHORT_LITERALS = 4, 3
 LEAST, COVER = 13, 0.5
 SHORTEST = 3
 # Diagonals at most this far apart add up.
@@ -97,9 +100,15 @@ def templates(column: pa.Array) -> Iterator[tuple]:
             digit = kind == 2
             joint = ((b[1:-1] == 46) | (b[1:-1] == 44)) & digit[:-2] & digit[2:]
             kind[1:-1][joint] = 2
+        # Scripts without spaces, whose characters are three bytes: every character is a token.
+        lead = (b >= 0xE3) & (b <= 0xED)
+        wide = lead.copy()
+        wide[1:] |= lead[:-1]
+        wide[2:] |= lead[:-2]
+        kind[wide] = 4
         edge = np.zeros(len(b) + 1, bool)
         edge[cut] = True
-        new = edge[:-1].copy()
+        new = edge[:-1] | lead
         new[1:] |= kind[1:] != kind[:-1]
         start = np.flatnonzero(new & (kind > 0))
         stop = np.append(np.flatnonzero(new), len(b))
@@ -131,7 +140,7 @@ def _template(own: np.ndarray, slot: np.ndarray) -> np.ndarray:
 def _alike(start: np.ndarray, size: int, slot: np.ndarray) -> np.ndarray:
     """Whether a window has enough literal tokens to tell anything."""
     literal = np.concatenate(([0], np.cumsum(slot == 0)))
-    return literal[start + size] - literal[start] >= min(LITERALS, size)
+    return literal[start + size] - literal[start] >= (LITERALS if size >= WINDOW else max(SHORT_LITERALS, -(-size // 2)))
 
 
 WINDOWS = "id long, version long, size int, window long, at int, span int, typing int, slot_values array<long>"

@@ -25,7 +25,9 @@ TEMPLATES = (
     ("LGPL-3.0", "licensed under the GNU Lesser General Public License, version 3"),
     ("AGPL-3.0", "licensed under the GNU Affero General Public License, version 3"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0 Creative Commons Attribution"),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0 Creative Commons Attribution ShareAlike"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
@@ -34,9 +36,12 @@ TEMPLATES = (
     ("proprietary", "All rights reserved"),
     ("proprietary", "Copyright. All rights reserved. Unauthorized copying of this file is strictly prohibited. Proprietary and confidential"),
 )
-CUE = r"(?i)licen[sc]|copyright|spdx|all rights reserved|public domain|creative commons|permission is hereby granted|redistribution and use|\bCC0\b"
+CUE = r"(?i)licen[sc]|copyright|spdx|all rights reserved|public domain|creative commons|permission is hereby granted|redistribution and use|\bCC0\b|neither the name of"
 LICENCE_FILE = r"(?i)(^|/)(licen[sc]e|copying|copyright|notice|unlicense)[^/]*$"
 LEAST_COSINE = 0.6
+SPDX = r"SPDX-License-Identifier:[ \t]*\(?([A-Za-z0-9][A-Za-z0-9.+-]*)"
+# A licence whose text holds all of another one's: where both are found in a file, the first one counts.
+HOLDS = {"BSD-3-Clause": "BSD-2-Clause"}
 
 
 def _terms(text):
@@ -72,7 +77,14 @@ def own_licences(files: DataFrame, templates=TEMPLATES) -> DataFrame:
     # The templates are a fixed, short list.
     dots = found.join(F.broadcast(known), "term").groupBy("file", "line", "part", "template").agg(F.sum(F.col("weight") * F.col("known")).alias("cosine"))
     named = dots.filter(F.col("cosine") >= LEAST_COSINE).join(F.broadcast(model.select("template", "licence")), "template")
-    best = F.max_by(F.struct("licence", "cosine", "line"), F.struct("cosine", -F.col("line"), -F.col("part"), -F.col("template")))
+    named = named.select("file", "licence", "cosine", "line", "part", "template")
+    for wide, narrow in HOLDS.items():
+        both = named.filter(F.col("licence") == wide).select("file").distinct()
+        named = named.filter(F.col("licence") != narrow).unionByName(named.filter(F.col("licence") == narrow).join(both, "file", "left_anti"))
+    # An identifier that a file states is its licence, whatever else it says.
+    stated = cue.select("file", F.regexp_extract("body", SPDX, 1).alias("licence"), F.lit(2.0).alias("cosine"), "line", F.lit(0).alias("part"), F.lit(-1).alias("template"))
+    named = named.unionByName(stated.filter("licence <> ''"))
+    best = F.max_by(F.struct("licence", F.least("cosine", F.lit(1.0)).alias("cosine"), "line"), F.struct("cosine", -F.col("line"), -F.col("part"), -F.col("template")))
     return named.groupBy("file").agg(best.alias("b")).select("file", "b.licence", "b.cosine", "b.line")
 
 

@@ -5,6 +5,8 @@ import zlib
 
 
 import corpus_pipeline
+import pyarrow as pa
+
 from relyframe.llm import decontaminate, language_id, language_model, line_dedup, near_dup, queries
 from tests.llm.conftest import prose
 
@@ -61,7 +63,14 @@ def test_verbatim_items_of_few_literals_are_found(make, spark):
     items = ["What is 12 times 7", "Convert 5 km to miles", "WHO WROTE THE BOOK OF THE DEAD", "12 + 7 - 3 * 4 / 2 = 13", "3 4 5 6 7 8 9 10 11 12 13 14 15"]
     texts = [f"{prose(90, 20)}. {item}. {prose(91, 20)}" for item in items]
     texts += [x.lower() for x in items] + ["What is 13 times 8", "Convert 6 km to miles", "4 4 5 6 7 8 9 9 11 12 12 14 15"]
-    assert leaks(spark, make, items, texts) == {(i, i % 5) for i in range(10)}
+    # Short items asked again with other values are leaks too; a list of other numbers is not.
+    assert leaks(spark, make, items, texts) == {(i, i % 5) for i in range(10)} | {(10, 0), (11, 1)}
+
+
+def test_items_in_scripts_without_spaces(make, spark):
+    items = ["小明有12个苹果，他给了小红5个，现在还剩多少个苹果？", "東京は日本の首都です", "서울은한국의수도이다"]
+    texts = [f"一些文字。{items[0]}其他的文字。", "小明有30个苹果，他给了小红8个，现在还剩多少个苹果？", f"前の文。{items[1]}。後の文。", f"앞 {items[2]} 뒤", "這是完全不同的一段文字，沒有任何題目。"]
+    assert leaks(spark, make, items, texts) == {(0, 0), (1, 0), (2, 1), (3, 2)}
 
 
 def test_items_asked_again_with_other_values(make, spark):
@@ -95,10 +104,12 @@ def test_unlearned_languages_and_gibberish_are_rejected(make, spark):
     assert language_id.keep_identified(docs).count() == docs.count()
 
 
-def test_shapes_of_ids_with_several_texts_do_not_overflow(spark):
-    shape = "array_repeat(1048576, 64)"
-    row = spark.sql(f"SELECT 5 AS n, 5 AS m, {shape} AS shape, {shape} AS its")
-    assert row.filter(near_dup.shapes_fit("n", "shape", "m", "its", 85)).count() == 1
+def test_shapes_of_ids_with_several_texts_do_not_overflow():
+    """Two ids of several texts in one open bucket: any number of shared shingles is possible."""
+    fields = [("rep", pa.int64()), ("component", pa.int64()), ("n", pa.int64()), ("own", pa.int64()), ("shape", pa.list_(pa.int32())), ("hub", pa.bool_())]
+    rows = [{"rep": r, "component": r, "n": 5, "own": 0, "shape": [1 << 20] * 64, "hub": r == 1} for r in (1, 2)]
+    batch = pa.RecordBatch.from_arrays([pa.array([rows], pa.list_(pa.struct(fields)))], ["rows"])
+    assert [b.to_pydict() for b in near_dup._possible(iter([batch]), 85)] == [{"a": [1], "b": [2]}]
 
 
 def test_weights_are_learned_from_all_training_documents(make, monkeypatch):

@@ -257,6 +257,19 @@ def test_licences(spark):
     }
 
 
+def test_licences_stated_and_told_apart(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    third = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    rows = [
+        ("a", "a.py", "# SPDX-License-Identifier: MIT\n"), ("b", "b.py", "// SPDX-License-Identifier: Apache-2.0\n// Released under the MIT License"), ("c", "c.c", "/* SPDX-License-Identifier: GPL-2.0-only */"),
+        ("d", "u/UNLICENSE", "This is free and unencumbered software released into the public domain."), ("e", "x/LICENSE", f"{bsd}\n1. one\n2. two"), ("f", "y/LICENSE", f"{bsd}\n1. one\n2. two\n3. {third}"), ("g", "y/z.py", "code"),
+    ]
+    got = {r.file: (r.licence, r.origin) for r in licenses.scan_licences(spark.createDataFrame(rows, "file string, path string, text string")).collect()}
+    assert got == {
+        "a": ("MIT", "own"), "b": ("Apache-2.0", "own"), "c": ("GPL-2.0-only", "own"), "d": ("Unlicense", "own"), "e": ("BSD-2-Clause", "own"), "f": ("BSD-3-Clause", "own"), "g": ("BSD-3-Clause", "inherited"),
+    }
+
+
 @pytest.mark.parametrize("op", [
     near_dup.near_duplicates, line_dedup.dedup_lines, substring.remove_repeats, language_model.score_documents, language_id.identify, language_id.keep_identified,
     sentencepiece_codec.encode_documents, lambda d: licenses.scan_licences(d.selectExpr("source AS file", "source AS path", "text")),
