@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from relyframe.catalog.registry import query, r4
-from relyframe.operators import anomaly, drift, profile, schema
+from relyframe.operators import anomaly, detectors, drift, profile, schema
 from relyframe.plans import contracting, reports
 from relyframe.sources import inputs
 from relyframe.sources.tables import table
@@ -42,7 +42,7 @@ def iqr(spark, root):
 def anomaly_summary(spark, root):
     d = inputs.dirty_orders(spark, root)
     cols = [*K, "anomaly_type"]
-    rows = anomaly.iqr_anomalies(d, K, ["o_orderkey"]).select(cols).unionByName(anomaly.zscore_anomalies(d, K, ["o_orderkey"]).select(cols))
+    rows = detectors.detect(d, K, ["o_orderkey"]).select(cols).unionByName(detectors.detect(d, K, ["o_orderkey"], "z-score").select(cols))
     return rows.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).groupBy("anomaly_type").agg(
         F.sum("n").alias("anomalies"), F.count(F.lit(1)).alias("runs_with_anomalies")
     )

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from relyframe.catalog.registry import query, r4
-from relyframe.operators import drift, relational, schema
+from relyframe.operators import drift, profile, relational, schema
 from relyframe.operators.quantiles import previous_in_groups
 from relyframe.plans import reports
 from relyframe.session import with_broadcast
@@ -39,13 +39,14 @@ def filtered_join(spark, root):
 
 @query(
     "c03_left_join_default",
-    """SELECT e.src, e.dst, e.relationship, coalesce(c_name, 'Unknown') AS dataset_name FROM edges_v e
-       LEFT JOIN (SELECT c_custkey, c_name FROM customer WHERE c_acctbal >= 0) ON c_custkey = e.dst""",
+    """SELECT e.src, e.dst, e.relationship, coalesce(s_name, 'Unknown') AS dataset_name FROM edges_v e
+       LEFT JOIN supplier ON s_suppkey = e.dst""",
 )
 def left_join_default(spark, root):
-    named = table(spark, root, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("dst"), "c_name")
+    """Names come from the supplier table, which does not have all keys."""
+    named = table(spark, root, "supplier").select(F.col("s_suppkey").alias("dst"), "s_name")
     return inputs.edges(spark, root).join(named, "dst", "left").select(
-        "src", "dst", "relationship", F.coalesce("c_name", F.lit("Unknown")).alias("dataset_name")
+        "src", "dst", "relationship", F.coalesce("s_name", F.lit("Unknown")).alias("dataset_name")
     )
 
 
@@ -201,12 +202,13 @@ def previous_version(spark, root):
     "c13_range_join_bins",
     """SELECT v.dataset_id, v.version_number, v.row_key, v.column_name, CAST(coalesce(p.bin - 1, -1) AS INTEGER) AS bin FROM num_long v
        LEFT JOIN psi_bins p ON v.dataset_id = p.dataset_id AND v.column_name = p.column_name AND v.value >= p.low
-        AND (v.value < p.high OR (p.is_last AND v.value = p.high)) WHERE v.column_name = 'o_totalprice'""",
+        AND (v.value < p.high OR (p.is_last AND v.value = p.high))""",
 )
 def range_join_bins(spark, root):
-    """Each price falls in one baseline bin of its dataset, or in none (-1)."""
-    d = inputs.dirty_orders(spark, root).where("o_totalprice IS NOT NULL")
-    rows = d.select(*K, F.col("o_orderkey").alias("row_key"), F.lit("o_totalprice").alias("column_name"), F.col("o_totalprice").alias("value"))
+    """Each number falls in one baseline bin of its dataset and column, or in none (-1)."""
+    d = inputs.dirty_orders(spark, root)
+    cols = profile.numeric_columns(d, K)
+    rows = profile.long_numbers(d.select(*K, F.col("o_orderkey").alias("row_key"), *cols), [*K, "row_key"], cols)
     edges = with_broadcast(drift.bin_edges(rows.where("version_number = 1"), ["dataset_id", "column_name"]))
     return rows.join(edges, ["dataset_id", "column_name"], "left").select(
         *K, "row_key", "column_name", F.coalesce(drift.bin_of(F.col("value"), F.col("edges")), F.lit(-1)).alias("bin")
