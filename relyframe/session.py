@@ -94,24 +94,41 @@ def together(*builds):
         return [f.result() for f in [pool.submit(b) for b in builds]]
 
 
-_FACTS: dict[tuple[str, str, str], DataFrame] = {}
+_FACTS: dict[tuple[str, str, str], tuple[tuple, DataFrame]] = {}
 _LOCKS: dict[tuple[str, str, str], threading.Lock] = {}
 _LOCK = threading.Lock()
 
 
+def stored_files(spark: SparkSession, source: str) -> tuple:
+    """What lies below a path: how many files, how many bytes, and when the newest was written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(source)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        return (0, 0, 0)
+    summary, newest, todo = system.getContentSummary(path), 0, [path]
+    while todo:
+        for status in system.listStatus(todo.pop()):
+            newest = max(newest, status.getModificationTime())
+            if status.isDirectory():
+                todo.append(status.getPath())
+    return summary.getFileCount(), summary.getLength(), newest
+
+
 def fact_table(spark: SparkSession, source: str, name: str, build) -> DataFrame:
     """A result many reports read (scored reports, violations, drift rows).
 
-    It is computed once per application and input, and stored in the shared
-    folder, as a scheduled job would store it for the dashboards.
+    It is computed once per application and state of the input's files, and
+    stored in the shared folder, as a scheduled job would store it for the
+    dashboards. When files are added or rewritten it is computed anew.
     """
     key = (spark.sparkContext.applicationId, source, name)
     with _LOCK:
         mine = _LOCKS.setdefault(key, threading.Lock())
     with mine:
-        if key not in _FACTS:
-            _FACTS[key] = settle(build())
-        return _FACTS[key]
+        files = stored_files(spark, source)
+        if key not in _FACTS or _FACTS[key][0] != files:
+            _FACTS[key] = (files, settle(build()))
+        return _FACTS[key][1]
 
 
 def forget_facts() -> None:

@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import __spark_entry__ as entry  # noqa: E402
 from oracle_check import connect, differences  # noqa: E402
-from relyframe.session import scratch, shared_dir, small_rows  # noqa: E402
+from relyframe.session import fact_table, scratch, shared_dir, small_rows  # noqa: E402
 from relyframe.sources import sinks  # noqa: E402
 from relyframe.sources.tables import NA_TOKENS, format_of, load_table, read_csv  # noqa: E402
 from relyframe.streaming import monitors  # noqa: E402
@@ -107,6 +107,20 @@ def test_next_version_of_new_dataset_is_one(spark):
     assert {r.dataset_id: r.next_version for r in sinks.next_versions(d, v).collect()} == {"a": 5, "b": 1}
 
 
+def test_facts_follow_the_files(spark):
+    """Asked again a fact is read; after data were added under the same path it is computed anew."""
+    path, built = scratch(spark, "facts"), []
+
+    def count():
+        built.append(1)
+        return spark.read.parquet(f"{path}/t.parquet").agg(F.count("*").alias("n"))
+
+    spark.range(3).write.parquet(f"{path}/t.parquet")
+    assert [fact_table(spark, path, "n", count).first().n for _ in range(2)] == [3, 3] and len(built) == 1
+    spark.range(4).write.mode("append").parquet(f"{path}/t.parquet")
+    assert fact_table(spark, path, "n", count).first().n == 7 and len(built) == 2
+
+
 def test_shared_dir_is_stable(spark):
     assert shared_dir(spark) == shared_dir(spark)
 
