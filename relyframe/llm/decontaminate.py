@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relyframe.llm.store import sized, stored
-from relyframe.llm.text import _SYMBOL, LOWER, U64, buffers, mix, pieces, shingles, span_hash
+from relyframe.llm.text import _SYMBOL, LOWER, U64, buffers, mix, pieces, shingles, span_hash, trim
 
 WINDOW = 8
 # Literal tokens that a template needs: of a window, and of a whole item that is shorter (of it also half).
@@ -202,6 +202,7 @@ def window_rows(sizes: list[int], wanted: np.ndarray | None, whole_only: bool =
                             if typed == FIRST:
                                 typing[narrow[start + size] == narrow[start]] = BOTH
                             yield _rows(batch.column(0), batch.column(1), first + of[start], size, start, first_token - begin[of[start]], last - first_token, typing, hashes, values, kinds)
+        trim()
 
     return run
 

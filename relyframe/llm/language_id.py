@@ -144,6 +144,8 @@ def fit(docs: DataFrame) -> dict:
         least = [float(np.quantile(cosines.max(axis=1), 0.01))] * len(centroids)
         limits = rising_limits(table["text"], idf, centroids, max(least[0] * REACH, LEAST_COSINE))
         lang = table["lang"][0].as_py()
+        del x
+        trim()
         return pa.table({"lang": pa.array([lang] * len(centroids), pa.string()), "least": pa.array(least, pa.float64()), "limits": pa.array([limits] * len(centroids), pa.list_(pa.float64())), "centroid": pa.array([c.astype("<f4").tobytes() for c in centroids], pa.binary())})
 
     found = sample.select("doc_id", "version", "lang", "text").groupBy("lang").applyInArrow(learn, "lang string, least double, limits array<double>, centroid binary").collect()

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from relyframe.llm.store import sized, stored
-from relyframe.llm.text import _SYMBOL, U64, mix, shingles, span_hash, words
+from relyframe.llm.text import _SYMBOL, U64, mix, shingles, span_hash, trim, words
 
 WINDOW_LINES = 3
 RUN_WORDS, SHARED = 4, 20
@@ -100,6 +100,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             lists.insert(4, pa.ListArray.from_arrays(at, pa.array(few)))
             rows = pa.array(w.first + row[chosen[head]])
             yield pa.RecordBatch.from_arrays([pa.array(h[chosen[head]].view(np.int64)), ids.take(rows), versions.take(rows), *lists], ["fingerprint", "doc_id", "version", "starts", "sizes", "h1", "h2", "few", "lines"])
+    trim()
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -140,6 +141,7 @@ def _delete(batches: Iterator[pa.RecordBatch], count_as: str | None) -> Iterator
             columns.append(pc.fill_null(pc.list_value_length(batch.column(gone_at)), 0).cast(pa.int32()))
             names.append(count_as)
         yield pa.RecordBatch.from_arrays(columns, names)
+    trim()
 
 
 def dedup_lines(docs: DataFrame, count_as: str | None = None) -> DataFrame:

@@ -36,7 +36,7 @@ UNIGRAM, BPE = 1, 2
 THREADS = 2
 BATCH_BYTES = 1 << 20
 # Words and ids remembered between the batches of a task, in bytes.
-KNOWN_BYTES = 48 << 20
+KNOWN_BYTES = 24 << 20
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 # Where a line break is in no longer piece, what is before and after it is encoded alone as well.
 _WORD_OR_BREAK = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n+")

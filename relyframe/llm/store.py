@@ -9,7 +9,7 @@ from relyframe.session import scratch
 
 # A table is broadcast when its rows, written as JSON, stay below this.
 BROADCAST_CHARS = 64 << 20
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 # Rows of ids, keys and counts that make a task of their own.
 TASK_ROWS = 50_000
 
