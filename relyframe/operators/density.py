@@ -3,16 +3,22 @@
 Breunig, Kriegel, Ng, Sander: LOF, SIGMOD 2000.
 
 Equal rows become one weighted point, so a value held by a third of the table
-costs one point. Space is cut into cells of a few thousand points by repeated
-quantile splits; each point first looks in its own cell, then only in the
-cells its search radius touches. No pairs are formed beyond that.
+costs one point. Space is cut into cells of some hundred points by repeated
+quantile splits; each point first looks in its own cell, and only points whose
+search radius leaves it ask the cells that it touches. Each cell is given once
+the outside points that are among the nearest of one of its own. Distances,
+densities and factors are then figures of a cell and those points, so one
+number per point moves between the steps and no list of pairs is stored.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relyframe.operators.profile import impute_median
@@ -20,69 +26,104 @@ from relyframe.operators.quantiles import exact_quantiles
 from relyframe.session import settle, with_broadcast
 
 NEIGHBOURS = 20
-CELL = 1024
+CELL = 512
 FANOUT = 16
 _MAX_LEVELS = 14
-_BLOCK = 128
-_NEAR = "x array<double>, cnt bigint, cell bigint, radius double, near array<struct<x: array<double>, d: double, w: bigint>>"
-_FAR = "x array<double>, near array<struct<x: array<double>, d: double, w: bigint>>"
+# Distances held at once by a task, and points that one split is fitted on while cells are far above their size.
+_PAIRS = 1 << 18
+_PER_SPLIT = 4096
+_WIDER = 1 + 1e-9
+_ASKS = "home bigint, x array<double>, radius double"
+_OUTSIDE = "home bigint, id bigint, x array<double>, cnt bigint"
 
 
-def _nearest(q: np.ndarray, p: np.ndarray, w: np.ndarray, k: int, own: np.ndarray | None, reach: np.ndarray):
-    """The k nearest of the weighted points p for each row of q, nearest first.
+def _nearest(q: np.ndarray, p: np.ndarray, w: np.ndarray, k: int, own: np.ndarray | None = None, reach: np.ndarray | None = None) -> Iterator[tuple]:
+    """The k nearest of the weighted points p for blocks of rows of q: slice of q, its row, place in p, distance, weight; nearest first.
 
     ``own`` holds each query's position in p: it counts once less there.
-    Points beyond ``reach`` are left out. Ties go by coordinates.
+    Points beyond ``reach`` are left out. Ties go by the order of p.
     """
-    order = np.lexsort(p.T[::-1])
-    p, w = p[order], w[order]
-    if own is not None:
-        back = np.empty(len(order), dtype=int)
-        back[order] = np.arange(len(order))
-        own = back[own]
-    for start in range(0, len(q), _BLOCK):
-        part = q[start : start + _BLOCK]
-        dist = np.sqrt(((part[:, None, :] - p[None, :, :]) ** 2).sum(axis=2))
-        m = min(len(p), k + 1)
+    m = min(len(p), k + 1)
+    step = max(1, _PAIRS // len(p))
+    for start in range(0, len(q), step):
+        part = q[start : start + step]
+        dist = np.square(part[:, 0, None] - p[None, :, 0])
+        for j in range(1, p.shape[1]):
+            dist += np.square(part[:, j, None] - p[None, :, j])
+        np.sqrt(dist, out=dist)
         edge = np.partition(dist, m - 1, axis=1)[:, m - 1]
-        for i in range(len(part)):
-            cand = np.flatnonzero(dist[i] <= min(edge[i], reach[start + i]))
-            cand = cand[np.argsort(dist[i][cand], kind="stable")]
-            weight = w[cand].copy()
-            if own is not None:
-                weight[cand == own[start + i]] -= 1
-            have = np.cumsum(weight)
-            take = (have - weight < k) & (weight > 0)
-            radius = dist[i][cand][np.argmax(have >= k)] if len(have) and have[-1] >= k else np.inf
-            yield radius, [{"x": p[c], "d": float(dist[i][c]), "w": int(v)} for c, v in zip(cand[take], weight[take])]
+        if reach is not None:
+            edge = np.minimum(edge, reach[start : start + step])
+        row, col = np.nonzero(dist <= edge[:, None])
+        d = dist[row, col]
+        order = np.lexsort((d, row))
+        row, col, d = row[order], col[order], d[order]
+        weight = w[col]
+        if own is not None:
+            weight = weight - (col == own[start + row])
+        have = np.concatenate([[0], np.cumsum(weight)])
+        before = have[:-1] - have[np.searchsorted(row, np.arange(len(part)))][row]
+        take = (weight > 0) & (before < k)
+        yield slice(start, start + len(part)), row[take], col[take], d[take], np.minimum(weight, k - before)[take]
+
+
+def _radius(n: int, row: np.ndarray, d: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
+    """Distance of the k-th neighbour of each of n queries; infinite where there are fewer."""
+    last = np.searchsorted(row, np.arange(n), side="right") - 1
+    enough = np.bincount(row, weight, n) >= k
+    out = np.full(n, np.inf)
+    out[enough] = d[last[enough]]
+    return out
+
+
+def _points(t: pa.Table, dims: int) -> np.ndarray:
+    return t["x"].combine_chunks().flatten().to_numpy().reshape(-1, dims)
 
 
 def _place(rows: DataFrame, splits: list[DataFrame], reach: str | None = None) -> DataFrame:
-    """Send rows down the split levels; with a radius a row can enter several cells."""
+    """Send rows down the split levels; with a radius a row can enter several cells.
+
+    Without one, ``slack`` becomes the distance to the nearest cut.
+    """
     for s in splits:
         rows = rows.join(s, "cell", "left")
         v = F.element_at("x", F.col("dim"))
         below = lambda e: F.size(F.filter("cuts", lambda c: c <= e))
         if reach is None:
-            step = F.when(F.col("dim").isNull(), F.col("cell")).otherwise(F.col("cell") * (FANOUT + 1) + 1 + below(v))
-            rows = rows.withColumn("cell", step)
+            rows = rows.withColumn("_b", F.when(F.col("dim").isNotNull(), below(v)))
+            near = F.least("slack", v - F.get("cuts", F.col("_b") - 1), F.get("cuts", F.col("_b")) - v)  # skips nulls
+            step = F.when(F.col("dim").isNull(), F.col("cell")).otherwise(F.col("cell") * (FANOUT + 1) + 1 + F.col("_b"))
+            rows = rows.withColumn("slack", near).withColumn("cell", step).drop("_b")
         else:
-            wide = F.col(reach) * (1 + 1e-9)
+            wide = F.col(reach) * _WIDER
             inside = F.transform(F.sequence(below(v - wide), below(v + wide)), lambda i: F.col("cell") * (FANOUT + 1) + 1 + i)
             rows = rows.withColumn("cell", F.explode(F.when(F.col("dim").isNull(), F.array("cell")).otherwise(inside)))
         rows = rows.drop("dim", "cuts")
     return rows
 
 
+def _at_root(points: DataFrame) -> DataFrame:
+    return points.withColumns({"cell": F.lit(0).cast("bigint"), "slack": F.lit(float("inf"))})
+
+
 def _split_levels(points: DataFrame, dims: int, cell: int) -> list[DataFrame]:
-    """Quantile splits of every cell above ``cell`` points, level by level."""
+    """Quantile splits of every cell above ``cell`` points, level by level.
+
+    While cells are far too large, a level is fitted on some points of each,
+    chosen by hash. It ends when counts of all points find no cell too large.
+    """
     at = [i / FANOUT for i in range(1, FANOUT)]
-    splits: list[DataFrame] = []
-    base = points.select("x").withColumn("cell", F.lit(0).cast("bigint"))
+    total, splits, share = points.count(), [], 0.0
+    base = _at_root(points.select("id", "x"))
     while len(splits) < _MAX_LEVELS:
-        placed = _place(base, splits)
-        cuts = [F.array_distinct(F.percentile_approx(F.element_at("x", d + 1), at, 10_000)).alias(f"c{d}") for d in range(dims)]
-        each = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *cuts)
+        share = 1.0 if share == 1.0 else min(1.0, _PER_SPLIT * FANOUT ** len(splits) / total)
+        some = base.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1.0 else base
+        placed = _place(some, splits)
+        if share == 1.0:
+            full = with_broadcast(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell))
+            placed = placed.join(full.select("cell"), "cell", "left_semi")
+        cuts = [F.array_distinct(F.percentile_approx(F.element_at("x", d + 1), at, 1_000)).alias(f"c{d}") for d in range(dims)]
+        each = placed.groupBy("cell").agg((F.count(F.lit(1)) / share).alias("n"), *cuts)
         # Cut the widest side; a side whose quantiles are all equal has no width.
         choice = F.array_max(
             F.array(
@@ -92,11 +133,17 @@ def _split_levels(points: DataFrame, dims: int, cell: int) -> list[DataFrame]:
                 ]
             )
         )
-        big = each.where(F.col("n") > cell).withColumn("s", choice).where("s.width > 0")
-        level = with_broadcast(big.select("cell", "s.dim", "s.cuts"))
-        if not level.take(1):
+        big = each.where(F.col("n") > cell).withColumn("s", choice).where("s.width > 0").select("cell", "n", "s.dim", "s.cuts")
+        # No more strips than give cells three quarters full.
+        strips = F.least(F.ceil(F.col("n") / (0.75 * cell)), F.lit(FANOUT)).cast("int")
+        picked = F.transform(F.sequence(F.lit(1), strips - 1), lambda i: F.element_at("cuts", F.greatest(F.lit(1), (i * (F.size("cuts") + 1) / strips).cast("int"))))
+        level = with_broadcast(big.select("cell", "dim", F.array_distinct(picked).alias("cuts")))
+        if level.take(1):
+            splits.append(level)
+        elif share == 1.0:
             break
-        splits.append(level)
+        else:
+            share = 1.0
     return splits
 
 
@@ -110,61 +157,95 @@ def local_outlier_factor(
     if n < 5 or not cols:
         return rows.withColumn("lof", F.lit(0.0)).where("false")
     k = min(k, n - 1)
-    points = settle(rows.groupBy("x").agg(F.count(F.lit(1)).alias("cnt")))
+    # Numbers ascend with the coordinates, so ties go by coordinates.
+    distinct = rows.groupBy("x").agg(F.count(F.lit(1)).alias("cnt"))
+    points = settle(distinct.orderBy("x").withColumn("id", F.monotonically_increasing_id()))
     splits = _split_levels(points, len(cols), cell)
-    placed = settle(_place(points.withColumn("cell", F.lit(0).cast("bigint")), splits))
+    placed = settle(_place(_at_root(points), splits))
+    outside = outside_points(points, placed, splits, len(cols), k, cell)
+
+    def figures(kind: str, own: DataFrame, held: DataFrame) -> DataFrame:
+        schema = "x array<double>, lof double" if kind == "factor" else "id bigint, v double"
+        return own.groupBy("cell").cogroup(held.groupBy("home")).applyInArrow(_figures(kind, len(cols), k), schema)
 
+    own = placed.select("cell", "id", "x", "cnt")
+    far = settle(figures("distance", own, outside))
+    near = settle(figures("density", own.join(far, "id"), outside.join(far.toDF("id", "v"), "id")))
+    factor = figures("factor", own.join(near, "id"), outside.join(near.toDF("id", "v"), "id"))
+    return rows.join(factor, "x").select(*row_key, "x", "lof")
+
+
+def _figures(kind: str, dims: int, k: int):
+    """A figure of each of a cell's points: distance of the k-th neighbour, from those the density, from that the factor."""
+
+    def run(own: pa.Table, held: pa.Table) -> pa.Table:
+        n, column = own.num_rows, lambda c: np.concatenate([own[c].to_numpy(), held[c].to_numpy()])
+        ids, order = np.unique(column("id"), return_index=True)
+        at = np.searchsorted(ids, own["id"].to_numpy())
+        q = _points(own, dims)
+        p, w = np.concatenate([q, _points(held, dims)])[order], column("cnt")[order]
+        v = column("v")[order] if kind != "distance" else None
+        out = np.empty(n)
+        for part, row, col, d, weight in _nearest(q, p, w, k, at):
+            m = len(out[part])
+            if kind == "distance":
+                out[part] = _radius(m, row, d, weight, k)
+            elif kind == "density":
+                out[part] = 1.0 / (np.bincount(row, weight * np.maximum(v[col], d), m) / k + 1e-10)
+            else:
+                out[part] = np.bincount(row, weight * v[col], m) / k / v[at[part]]
+        if kind == "factor":
+            return pa.table({"x": own["x"], "lof": out})
+        return pa.table({"id": own["id"], "v": out})
+
+    return run
+
+
+def outside_points(points: DataFrame, placed: DataFrame, splits: list[DataFrame], dims: int, k: int, cell: int) -> DataFrame:
+    """Rows (home, id, x, cnt): for each cell, once, the points of other cells that are among the k nearest of one of its points.
+
+    A cell asked by many points answers in slices.
+    """
+    if not splits:
+        return placed.where("false").select("cell", "id", "x", "cnt").toDF("home", "id", "x", "cnt")
     # A bounded set of points that gives cells with too few neighbours a search radius.
     probe = [(r.x, r.cnt) for r in points.orderBy(F.xxhash64("x"), "x").limit(max(64, 2 * k + 2)).collect()]
     probe_x, probe_w = np.array([p[0] for p in probe]), np.array([p[1] for p in probe])
 
-    def near(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, w = np.array(pdf["x"].tolist()), pdf["cnt"].to_numpy()
-        found = list(_nearest(p, p, w, k, np.arange(len(p)), np.full(len(p), np.inf)))
-        radius = np.array([f[0] for f in found])
+    def leaving(t: pa.Table) -> pa.Table:
+        p, w, radius = _points(t, dims), t["cnt"].to_numpy(), np.empty(t.num_rows)
+        for part, row, _, d, weight in _nearest(p, p, w, k, np.arange(len(p))):
+            radius[part] = _radius(len(radius[part]), row, d, weight, k)
         short = np.flatnonzero(~np.isfinite(radius))
-        for i, (r, _) in zip(short, _nearest(p[short], probe_x, probe_w, k + 1, None, np.full(len(short), np.inf))):
-            radius[i] = r  # k + 1 of them, as the point may be one itself
-        return pd.DataFrame({"x": pdf["x"], "cnt": w, "cell": pdf["cell"], "radius": radius, "near": [f[1] for f in found]})
-
-    local = settle(placed.groupBy("cell").applyInPandas(near, _NEAR))
-    lists = local.select("x", "near")
-    if splits:
-        lists = lists.unionByName(_other_cells(local, placed, splits, k, cell))
-    order = Window.partitionBy("x").orderBy("d", "y")
-    pairs = lists.select("x", F.explode("near").alias("e")).select("x", F.col("e.x").alias("y"), F.col("e.d").alias("d"), F.col("e.w").alias("w"))
-    before = F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("w")
-    kept = settle(
-        pairs.withColumn("before", before).where(F.col("before") < k).select("x", "y", "d", F.least("w", k - F.col("before")).alias("w"))
-    )
-    kdist = kept.groupBy("x").agg(F.max("d").alias("kd"))
-    reach = kept.join(kdist.withColumnRenamed("x", "y"), "y").withColumn("reach", F.greatest("kd", "d"))
-    density = settle(reach.groupBy("x").agg((F.lit(1.0) / (F.sum(F.col("w") * F.col("reach")) / k + 1e-10)).alias("lrd")))
-    around = kept.join(density.select(F.col("x").alias("y"), F.col("lrd").alias("y_lrd")), "y")
-    mean = around.groupBy("x").agg((F.sum(F.col("w") * F.col("y_lrd")) / k).alias("m"))
-    factor = mean.join(density, "x").select("x", (F.col("m") / F.col("lrd")).alias("lof"))
-    return rows.join(factor, "x").select(*row_key, "x", "lof")
-
+        for part, row, _, d, weight in _nearest(p[short], probe_x, probe_w, k + 1):
+            radius[short[part]] = _radius(len(short[part]), row, d, weight, k + 1)  # k + 1 of them, as the point may be one itself
+        asks = pa.array(np.flatnonzero(~(radius * _WIDER < t["slack"].to_numpy())))
+        return pa.table({"home": t["cell"].take(asks), "x": t["x"].take(asks), "radius": pa.array(radius).take(asks)})
 
-def _other_cells(local: DataFrame, placed: DataFrame, splits: list[DataFrame], k: int, cell: int) -> DataFrame:
-    """Neighbours outside the home cell. A cell asked by many points is served in slices."""
-    asks = local.select("x", "radius", F.col("cell").alias("home"), F.lit(0).cast("bigint").alias("cell"))
-    asks = settle(_place(asks, splits, "radius").where("cell <> home").select("x", "radius", "cell"))
+    asks = placed.groupBy("cell").applyInArrow(leaving, _ASKS).withColumn("cell", F.lit(0).cast("bigint"))
+    asks = settle(_place(settle(asks), splits, "radius").where("cell <> home"))
     load = with_broadcast(
         asks.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(4 * cell))).cast("int").alias("slices"))
     )
-    asked = asks.join(load, "cell").select("cell", F.pmod(F.xxhash64("x"), "slices").cast("int").alias("slice"), "x", "radius")
+    asked = asks.join(load, "cell").select("cell", F.pmod(F.xxhash64("x"), "slices").cast("int").alias("slice"), "home", "x", "radius")
     served = placed.join(load, "cell").select(
-        "cell", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "x", "cnt"
+        "cell", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "id", "x", "cnt"
     )
 
-    def far(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        if len(q) == 0 or len(p) == 0:
-            return pd.DataFrame({"x": [], "near": []})
-        found = _nearest(np.array(q["x"].tolist()), np.array(p["x"].tolist()), p["cnt"].to_numpy(), k, None, q["radius"].to_numpy())
-        return pd.DataFrame({"x": q["x"], "near": [f[1] for f in found]})
+    def answer(q: pa.Table, p: pa.Table) -> pa.Table:
+        if not q.num_rows or not p.num_rows:
+            return pa.table({"home": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "x": pa.array([], pa.list_(pa.float64())), "cnt": pa.array([], pa.int64())})
+        p = p.sort_by("id")
+        homes, code = np.unique(q["home"].to_numpy(), return_inverse=True)
+        found = [
+            np.unique(code[part][row] * p.num_rows + col)
+            for part, row, col, _, _ in _nearest(_points(q, dims), _points(p, dims), p["cnt"].to_numpy(), k, reach=q["radius"].to_numpy())
+        ]
+        home, at = np.divmod(np.unique(np.concatenate(found)), p.num_rows)
+        return p.select(["id", "x", "cnt"]).take(pa.array(at)).add_column(0, "home", pa.array(homes[home]))
 
-    return asked.groupBy("cell", "slice").cogroup(served.groupBy("cell", "slice")).applyInPandas(far, _FAR)
+    found = asked.groupBy("cell", "slice").cogroup(served.groupBy("cell", "slice")).applyInArrow(answer, _OUTSIDE)
+    return settle(found.dropDuplicates(["home", "id"]))
 
 
 def lof_anomalies(df: DataFrame, row_key: list[str], cols: list[str], contamination: float = 0.05, k: int = NEIGHBOURS, cell: int = CELL) -> DataFrame:
