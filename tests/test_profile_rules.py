@@ -1,10 +1,11 @@
 """Profiles, quality rules and contracts on small tables with known answers."""
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from relyframe.operators import contracts, profile, quality
+from relyframe.operators import contracts, profile, quality, quantiles
 from relyframe.operators.anomaly import iqr_anomalies
 from relyframe.operators.quantiles import exact_quantiles, previous_in_groups, rank_in_groups
 from relyframe.operators.relational import share_of_total
@@ -202,3 +203,23 @@ def test_distinct_counts_keep_large_integers_apart(spark):
     df = spark.createDataFrame([(2**60,), (2**60 + 1,), (None,)], "a bigint").withColumn("b", F.col("a").cast("double"))
     got = {r.column_name: r.unique_count for r in profile.distinct_counts(df, [], ["a", "b"]).collect()}
     assert got == {"a": 2, "b": 1}
+
+
+def test_quantiles_keep_few_values_and_count_all_rows(spark):
+    """Only values around the wanted ranks leave the tasks; a hot value, overlapping brackets and small groups stay exact."""
+    rng = np.random.default_rng(3)
+    groups = {"wide": rng.normal(0, 1, 100_000), "hot": np.r_[np.full(9_000, 7.0), rng.uniform(0, 14, 3_000)], "few": [3.0, 1.0], "one": [5.0], None: rng.uniform(-1, 0, 500)}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs], "g string, v double").repartition(4)
+    probs = [0.0, 0.05, 0.25, 0.26, 0.5, 0.75, 1.0]
+    got = {r.g: r for r in quantiles.exact_quantiles(df, ["g"], "v", probs).collect()}
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        assert got[g].n == len(vs) and got[g].q == pytest.approx(np.quantile(vs, probs).tolist(), abs=1e-12)
+    kept = quantiles._narrowed(df.select("g", F.col("v").alias("_v")), ["g"], [0.25, 0.5, 0.75]).where("g = 'wide'")
+    assert kept.agg(F.sum("_c")).first()[0] == 100_000 and kept.count() < 30_000
+
+
+def test_quantiles_outside_their_brackets_count_all_values(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "_brackets", lambda rows, keys, probs: spark.createDataFrame([(0, [1.0, 2.0], [1.5, 2.5])], "_all int, _lo array<double>, _hi array<double>"))
+    df = spark.createDataFrame([(float((7 * i) % 1000),) for i in range(1000)], "v double")
+    assert quantiles.exact_quantiles(df, [], "v", [0.3, 0.9]).first().q == pytest.approx([299.7, 899.1])
