@@ -30,7 +30,7 @@ CELL = 512
 FANOUT = 16
 _MAX_LEVELS = 14
 # Distances held at once by a task, and points that one split is fitted on while cells are far above their size.
-_PAIRS = 1 << 18
+_PAIRS = 1 << 16
 _PER_SPLIT = 4096
 _WIDER = 1 + 1e-9
 _ASKS = "home bigint, x array<double>, radius double"
@@ -45,11 +45,15 @@ def _nearest(q: np.ndarray, p: np.ndarray, w: np.ndarray, k: int, own: np.ndarra
     """
     m = min(len(p), k + 1)
     step = max(1, _PAIRS // len(p))
+    sides, held = [np.ascontiguousarray(p[:, j]) for j in range(p.shape[1])], np.empty((2, min(step, len(q)), len(p)))
     for start in range(0, len(q), step):
         part = q[start : start + step]
-        dist = np.square(part[:, 0, None] - p[None, :, 0])
-        for j in range(1, p.shape[1]):
-            dist += np.square(part[:, j, None] - p[None, :, j])
+        dist, gap = held[0][: len(part)], held[1][: len(part)]
+        for j, side in enumerate(sides):
+            np.subtract(part[:, j, None], side, out=gap)
+            np.multiply(gap, gap, out=gap if j else dist)
+            if j:
+                dist += gap
         np.sqrt(dist, out=dist)
         edge = np.partition(dist, m - 1, axis=1)[:, m - 1]
         if reach is not None:
