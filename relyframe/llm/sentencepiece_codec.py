@@ -110,7 +110,8 @@ class Codec:
         all_pieces = m["pieces"]
         unknown = next((i for i, p in enumerate(all_pieces) if p[2] == UNKNOWN), 0)
         if m["kind"] == BPE:
-            model = models.BPE(vocab={p: i for i, (p, _, _) in enumerate(all_pieces)}, merges=merges_of(all_pieces), unk_token=all_pieces[unknown][0], fuse_unk=True, byte_fallback=m["byte_fallback"])
+            # Every word is encoded once, and the library keeps a cache for each of its threads beyond the model's end.
+            model = models.BPE(vocab={p: i for i, (p, _, _) in enumerate(all_pieces)}, merges=merges_of(all_pieces), unk_token=all_pieces[unknown][0], fuse_unk=True, byte_fallback=m["byte_fallback"], cache_capacity=0)
         else:
             model = models.Unigram([(p, s) for p, s, _ in all_pieces], unknown, m["byte_fallback"])
         self.tokenizer = Tokenizer(model)
