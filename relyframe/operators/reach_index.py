@@ -10,6 +10,7 @@ joined from the lists of its successors. Counts are lengths of ranges, and no
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,9 +23,11 @@ from pyspark.sql.types import StructField, StructType
 from relyframe.operators.quantiles import rank_in_groups
 from relyframe.session import settle
 
-# Links of a graph that one task takes, and ranges that it holds: some 400 MB each.
+# Links of a graph that one task takes, and ranges that it holds, at 16 bytes each.
 ONE_TASK = 1_000_000
 MOST_RANGES = 10_000_000
+# Rows of an answer that are sent at a time.
+SENT_ROWS = 50_000
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
@@ -35,17 +38,22 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
     return tuple(t.column(i).to_numpy() for i in (0, 1))
 
 
-def _outgoing(n: int, src: np.ndarray, dst: np.ndarray) -> tuple[list[int], list[int]]:
+def _numbers(values: np.ndarray) -> array:
+    """Numbers for loops: eight bytes each, where a list holds an object for each."""
+    return array("q", np.ascontiguousarray(values, np.int64).tobytes())
+
+
+def _outgoing(n: int, src: np.ndarray, dst: np.ndarray) -> tuple[array, array]:
     """Where each node's successors begin in the list of all successors."""
     order = np.argsort(src, kind="stable")
-    return np.searchsorted(src[order], np.arange(n + 1)).tolist(), dst[order].tolist()
+    return _numbers(np.searchsorted(src[order], np.arange(n + 1))), _numbers(dst[order])
 
 
-def tarjan(n: int, src: np.ndarray, dst: np.ndarray) -> list[int]:
+def tarjan(n: int, src: np.ndarray, dst: np.ndarray) -> array:
     """Component number of each of n nodes; a component's number is above those of all that it reaches."""
     begin, to = _outgoing(n, src, dst)
-    at, low, number, found = begin[:-1], [0] * n, [0] * n, [-1] * n
-    clock, count, path, open_ = 0, 0, [], []
+    at, low, number, found = begin[:-1], array("q", bytes(8 * n)), array("q", bytes(8 * n)), array("q", [-1]) * n
+    clock, count, path, open_ = 0, 0, array("q"), array("q")
     for start in range(n):
         if number[start]:
             continue
@@ -81,7 +89,7 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     src, dst = _rows(batches)
     if len(src):
         nodes, ends = np.unique(np.concatenate([src, dst]), return_inverse=True)
-        comp = np.array(tarjan(len(nodes), ends[: len(src)], ends[len(src) :]))
+        comp = np.frombuffer(tarjan(len(nodes), ends[: len(src)], ends[len(src) :]), np.int64)
         name = np.zeros(comp.max() + 1, np.int64)
         np.maximum.at(name, comp, np.arange(len(nodes)))
         yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[name[comp]])], ["node", "component"])
@@ -152,44 +160,69 @@ def _joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def ranges_of(n: int, src: np.ndarray, dst: np.ndarray, size: list[int], most: int) -> tuple[list[int], list[list[tuple[int, int]]]] | None:
-    """First place of each node of an acyclic graph and the ranges of places that it reaches, its own first; None above ``most`` ranges."""
-    order = np.argsort(np.array(tarjan(n, src, dst))).tolist()  # successors first
+def ranges_of(n: int, src: np.ndarray, dst: np.ndarray, size: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """First place of each node of an acyclic graph, and the ranges of places that it reaches, its own first; None above ``most`` ranges.
+
+    Ranges are numbers in a row: node v's are those from the second array's v-th
+    to the third's, of the fourth, a low and a high one after the other.
+    """
+    order = _numbers(np.argsort(np.frombuffer(tarjan(n, src, dst), np.int64)))  # successors first
     begin, to = _outgoing(n, src, dst)
     # Each node hangs below one of its predecessors; a walk through this forest gives the places.
-    parent = [-1] * n
-    below: list[list[int]] = [[] for _ in range(n)]
+    parent = array("q", [-1]) * n
     for v in reversed(order):
-        for w in to[begin[v] : begin[v + 1]]:
-            if parent[w] < 0:
-                parent[w] = v
-                below[v].append(w)
-    first, end, place = [0] * n, [0] * n, 0
-    for root in (v for v in range(n) if parent[v] < 0):
-        path = [(root, False)]
+        for i in range(begin[v], begin[v + 1]):
+            if parent[to[i]] < 0:
+                parent[to[i]] = v
+    above = np.frombuffer(parent, np.int64)
+    child = np.flatnonzero(above >= 0)
+    below_at, below = _outgoing(n, above[child], child)
+    first, end, width, place = array("q", bytes(8 * n)), array("q", bytes(8 * n)), _numbers(size), 0
+    for root in np.flatnonzero(above < 0).tolist():
+        path = array("q", [root])
         while path:
-            v, left = path.pop()
-            if left:
-                end[v] = place
+            v = path.pop()
+            if v < 0:
+                end[~v] = place
                 continue
             first[v] = place
-            place += size[v]
-            path.append((v, True))
-            path.extend((w, False) for w in below[v])
-    held: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-    total = 0
+            place += width[v]
+            path.append(~v)
+            path.extend(below[below_at[v] : below_at[v + 1]])
+    lows, highs, held = array("q", bytes(8 * n)), array("q", bytes(8 * n)), array("q")
     for v in order:
-        mine = [(first[v], end[v])]
-        for w in to[begin[v] : begin[v + 1]]:
-            if parent[w] != v:
-                mine += held[w]
-            else:
-                mine += [r for r in held[w] if not (first[v] <= r[0] and r[1] <= end[v])]
-        held[v] = _joined(mine)
-        total += len(held[v])
-        if total > most:
+        lo, hi = first[v], end[v]
+        mine = [(lo, hi)]
+        for i in range(begin[v], begin[v + 1]):
+            w = to[i]
+            for k in range(lows[w], highs[w], 2):
+                if parent[w] != v or not (lo <= held[k] and held[k + 1] <= hi):
+                    mine.append((held[k], held[k + 1]))
+        lows[v] = len(held)
+        for r in mine if len(mine) == 1 else _joined(mine):
+            held.extend(r)
+        highs[v] = len(held)
+        if len(held) > 2 * most:
             return None
-    return first, held
+    return tuple(np.frombuffer(x, np.int64) for x in (first, lows, highs, held))
+
+
+def _sent(names: np.ndarray, first: np.ndarray, size: np.ndarray, loop: np.ndarray, meets: np.ndarray, lows: np.ndarray, highs: np.ndarray, held: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of RANGES, a batch at a time."""
+    at = 0
+    counts = (highs - lows) // 2
+    while at < len(names):
+        # As many rows as hold up to SENT_ROWS ranges, one at least.
+        part = slice(at, at + max(1, int(np.searchsorted(np.cumsum(counts[at : at + SENT_ROWS]), SENT_ROWS, side="right"))))
+        n = counts[part]
+        upto = np.concatenate(([0], np.cumsum(n)))
+        own = np.repeat(lows[part] - 2 * upto[:-1], n) + 2 * np.arange(upto[-1])
+        lists = [pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(held[own + side])) for side in (0, 1)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(names[part]), pa.array(first[part]), pa.array(size[part]), pa.array(loop[part]), pa.array(meets[part]), *lists],
+            ["component", "first", "size", "loops", "meets", "lo", "hi"],
+        )
+        at = part.stop
 
 
 RANGES = "first long, size long, loops boolean, meets boolean, lo array<long>, hi array<long>"
@@ -243,25 +276,20 @@ def build_index(edges: DataFrame, most: int = MOST_RANGES) -> ReachIndex | None:
         t = pa.Table.from_batches(held)
         own = t.filter(t["size"].is_valid())
         names, at = np.unique(own["a"].to_numpy(), return_index=True)
-        size_, loop = own["size"].to_numpy()[at], own["loops"].to_numpy(zero_copy_only=False)[at]
+        size_, loop = own["size"].to_numpy()[at], own["loops"].to_numpy(zero_copy_only=False)[at].astype(bool)
         link = t.filter(t["size"].is_null())
         src, dst = (np.searchsorted(names, link[c].to_numpy()) for c in ("a", "b"))
+        del held, t, own, at, link
         order = np.argsort(src, kind="stable")
         src, dst = src[order], dst[order]
         begin = np.searchsorted(src, np.arange(len(names) + 1))
-        found = ranges_of(len(names), src, dst, size_.tolist(), most)
+        found = ranges_of(len(names), src, dst, size_, most)
         if found:
-            first, held_ = found
-            meets = loop.astype(bool)
-            for v in np.argsort(np.array(tarjan(len(names), src, dst))):
+            first, *ranges = found
+            meets = loop.copy()
+            for v in np.argsort(np.frombuffer(tarjan(len(names), src, dst), np.int64)):
                 meets[v] |= meets[dst[begin[v] : begin[v + 1]]].any()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(names), pa.array(first, pa.int64()), pa.array(size_, pa.int64()), pa.array(loop.astype(bool)), pa.array(meets),
-                    pa.array([[lo for lo, _ in r] for r in held_], pa.list_(pa.int64())), pa.array([[hi for _, hi in r] for r in held_], pa.list_(pa.int64())),
-                ],
-                ["component", "first", "size", "loops", "meets", "lo", "hi"],
-            )
+            yield from _sent(names, first, size_, loop, meets, *ranges)
 
     schema = StructType([StructField("component", kind), *StructType.fromDDL(RANGES).fields])
     numbered = settle(fed.coalesce(1).mapInArrow(number, schema))

@@ -75,3 +75,23 @@ def test_ladder_and_ring_need_few_rounds(spark, monkeypatch):
     index = reach_index.build_index(ring)
     assert index.counts().where("reached = 10000 AND itself").count() == 10_000 and len(rounds) < 30
     assert index.meets_cycle().where("meets_cycle").count() == 10_000
+
+
+def test_numbering_holds_a_few_numbers_per_node():
+    """A tree of 60,000 nodes whose every seventh node also has a way to another branch: at most 250 bytes a node, no object for each."""
+    import tracemalloc
+
+    import numpy as np
+
+    from relyframe.operators.reach_index import ranges_of
+
+    n = 60_000
+    child, far = np.arange(1, n), np.arange(1, n // 2, 7)
+    src, dst = np.concatenate([(child - 1) // 2, far]), np.concatenate([child, far + n // 2])
+    tracemalloc.start()
+    try:
+        found = ranges_of(n, src, dst, np.ones(n, np.int64), 10_000_000)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found and most < 250 * n
