@@ -68,8 +68,9 @@ def _sample(rows: DataFrame, n: int, order: list[str], trees: int, sample: int)
     span = 1 << 62
     below = int(min(1.0, 2.0 * sample / n) * span)
     hashed = rows.select(F.xxhash64(F.lit(SEED), *order, "x").alias("h"), "x")
-    mine = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64("h", t), F.lit(span)) < below)
-    drawn = hashed.select("h", "x", F.explode(mine).alias("tree"))
+    # A row per tree that is dropped at once runs as compiled code, a lambda over the trees does not.
+    each = hashed.select("h", "x", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    drawn = each.where(F.pmod(F.xxhash64("h", "tree"), F.lit(span)) < below)
     w = Window.partitionBy("tree").orderBy(F.xxhash64("h", "tree"), "x")
     return drawn.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= sample).select("tree", "x")
 
